@@ -1,0 +1,22 @@
+"""Size checks in front of plan choices."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
+
+
+def fits(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; stops reading beyond that."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def broadcast_within(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast if its counted rows allow it.
+
+    For narrow rows only (keys and numbers). Beyond the bound the join is left
+    to the optimizer, which sorts and merges and splits skewed partitions.
+    """
+    return F.broadcast(df) if fits(df, rows) else df
