@@ -37,8 +37,14 @@ def fixed_decimals(c: Column, digits: int) -> Column:
     return F.replace(F.format_number(lifted, digits), F.lit(","), F.lit(""))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """Division that gives infinity or NaN for a zero divisor, as doubles do."""
+    over_zero = F.when(a == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
+    return F.when(b == 0, over_zero).otherwise(a / b)
+
+
 def share(part: Column, total: Column) -> Column:
-    return F.try_divide(part, total) * 100
+    return quotient(part, total) * 100
 
 
 def percent_text(part: Column, total: Column) -> Column:
@@ -46,10 +52,13 @@ def percent_text(part: Column, total: Column) -> Column:
 
 
 def ratio(first: Column, repeat: Column) -> Column:
-    return F.try_divide(repeat, first)
+    return quotient(repeat, first)
 
 
 def ratio_text(first: Column, repeat: Column, digits: int = 1) -> Column:
     """``1 : x`` text; a dash without repeats, unbounded without firsts."""
-    shown = F.coalesce(fixed_decimals(ratio(first, repeat), digits), F.lit(UNBOUNDED))
+    shown = (
+        F.when(first == 0, F.lit(UNBOUNDED))
+        .otherwise(fixed_decimals(ratio(first, repeat), digits))
+    )
     return F.when(repeat == 0, F.lit(NO_RATIO)).otherwise(F.concat(F.lit(RATIO_PREFIX), shown))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clearledger.operators.typing import column
+from clearledger.sources.small import small_table
 from clearledger.sources.tables import quoted
 
 # Displayed type names, name shape, kinds of tables and messages.
@@ -35,11 +36,16 @@ NAME_REQUIRED = "table_name is required"
 NAME_INVALID = "Invalid table name"
 SAMPLE_ROWS = 3
 
-TABLE_FIELDS = "table_schema string, table_name string, table_type string"
-COLUMN_FIELDS = (
-    "table_schema string, table_name string, ordinal_position int, "
-    "column_name string, data_type string, is_nullable boolean"
-)
+TABLE_FIELDS = {"table_schema": "string", "table_name": "string", "table_type": "string"}
+COLUMN_FIELDS = {
+    "table_schema": "string",
+    "table_name": "string",
+    "ordinal_position": "int",
+    "column_name": "string",
+    "data_type": "string",
+    "is_nullable": "boolean",
+}
+DESCRIBED_FIELDS = {"column": "string", "type": "string", "nullable": "boolean"}
 
 
 def not_found(table: str) -> str:
@@ -75,8 +81,8 @@ def catalog_of(spark: SparkSession, schemas: Mapping[str, T.StructType], name: s
     tables = [(name, table, BASE_TABLE) for table in schemas]
     columns = [row for table, schema in schemas.items() for row in _column_rows(name, table, schema)]
     return Catalog(
-        spark.createDataFrame(tables, TABLE_FIELDS),
-        spark.createDataFrame(columns, COLUMN_FIELDS),
+        small_table(spark, TABLE_FIELDS, tables),
+        small_table(spark, COLUMN_FIELDS, columns),
     )
 
 
@@ -94,8 +100,8 @@ def session_catalog(spark: SparkSession, database: str | None = None) -> Catalog
         path = [entry.name] if entry.isTemporary else [database, entry.name]
         columns += _column_rows(database, entry.name, spark.table(quoted(*path)).schema)
     return Catalog(
-        spark.createDataFrame(tables, TABLE_FIELDS),
-        spark.createDataFrame(columns, COLUMN_FIELDS),
+        small_table(spark, TABLE_FIELDS, tables),
+        small_table(spark, COLUMN_FIELDS, columns),
     )
 
 
@@ -178,7 +184,7 @@ def describe_table(
         raise ValueError(not_found(name))
     df = spark.table(quoted(database, name))
     described = [(r[3], r[4], r[5]) for r in _column_rows(database, name, df.schema)]
-    columns = spark.createDataFrame(described, "column string, type string, nullable boolean")
+    columns = small_table(spark, DESCRIBED_FIELDS, described)
     return Description(columns, sample_rows(df, order_by))
 
 

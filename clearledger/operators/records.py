@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from clearledger.functions import jsonvalues as J
 from clearledger.functions import messages as M
 from clearledger.functions import text
-from clearledger.plans.sizing import broadcast_within, fits
+from clearledger.sources.small import small_table
 
 # Request members, route shape, status codes and messages.
 PROMPT_MEMBERS = ("prompt", "input", "inputText")
@@ -135,7 +135,7 @@ class Routes:
     default_model: str
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(n,) for n in self.names], "known_route string")
+        return small_table(spark, {"known_route": "string"}, [(n,) for n in self.names])
 
 
 def route_requests(df: DataFrame, path: str, body: str, routes: Routes) -> DataFrame:
@@ -166,7 +166,7 @@ def route_requests(df: DataFrame, path: str, body: str, routes: Routes) -> DataF
         .when(F.col("status") == STATUS_BAD_REQUEST, NO_MESSAGES)
     )
     accepted = F.col("status") == STATUS_OK
-    known = broadcast_within(routes.table(df.sparkSession))
+    known = routes.table(df.sparkSession)
     listed = F.try_variant_get(given, "$", "array<variant>")
     return (
         _parsed(df, body)
@@ -271,12 +271,21 @@ def assemble_deltas(
     return join_parts(texts, session, order, F.col("delta"), "", rows_per_part)
 
 
-def _spans(turns: DataFrame, key: str, part: Column) -> DataFrame:
-    """First and last part of the keys that have more than one."""
+def _part_ends(turns: DataFrame, key: str, part: Column) -> DataFrame:
+    """First and last part of each key, as ``key, part, is_first, is_last``."""
+    first, last = F.col("first_part"), F.col("last_part")
+
+    def end(at: Column, is_first: Column, is_last: Column) -> Column:
+        return F.struct(
+            at.alias("part"), is_first.alias("is_first"), is_last.alias("is_last")
+        )
+
+    only = F.array(end(first, F.lit(True), F.lit(True)))
+    both = F.array(end(first, F.lit(True), F.lit(False)), end(last, F.lit(False), F.lit(True)))
     return (
-        turns.groupBy(F.col(key).alias("span_key"))
+        turns.groupBy(key)
         .agg(F.min(part).alias("first_part"), F.max(part).alias("last_part"))
-        .where(F.col("first_part") < F.col("last_part"))
+        .select(key, F.inline(F.when(first == last, only).otherwise(both)))
     )
 
 
@@ -290,10 +299,12 @@ def fold_prompts(
 ) -> DataFrame:
     """Fold each conversation's turns into a prompt: ``key, part, prompt``.
 
-    A conversation of up to ``rows_per_part`` turns has one part. A longer one
-    has several, which make up its prompt when joined by line breaks; like in
-    ``join_parts`` that bounds every group. Starts a count of the long ones,
-    which decides whether a join is needed at all and how it is done.
+    ``key`` must not be NULL. A conversation of up to ``rows_per_part`` turns
+    has one part. A longer one has several, which make up its prompt when
+    joined by line breaks; as in ``join_parts`` that bounds every group. The
+    texts are shuffled once: they are grouped by key and part, and where a part
+    stands in its conversation is joined on those same two columns from a scan
+    of the numbers alone.
     """
     part = _part(order, rows_per_part)
     message = F.struct(
@@ -302,23 +313,18 @@ def fold_prompts(
     grouped = turns.groupBy(key, part.alias("part")).agg(
         F.sort_array(F.collect_list(message)).alias("messages")
     )
-    spans = _spans(turns, key, part)
-    if fits(spans, 0):
-        return grouped.select(key, "part", M.prompt_of(F.col("messages")).alias("prompt"))
+    ends = _part_ends(turns, key, part).hint("shuffle_hash")
 
     messages = F.col("messages")
     lines = F.transform(messages, lambda m: M.history_line(m["role"], m["content"]))
-    all_lines = F.array_join(lines, "\n")
-    question = M.question_lines(F.element_at(messages, -1)["content"])
     but_last = F.slice(lines, F.lit(1), F.size(lines) - 1)
-    first_part = F.concat_ws("\n", F.lit(M.HISTORY_HEADING), all_lines)
-    last_part = F.array_join(F.array_append(but_last, question), "\n")
+    question = M.question_lines(F.element_at(messages, -1)["content"])
+    opening = F.concat_ws("\n", F.lit(M.HISTORY_HEADING), F.array_join(lines, "\n"))
+    closing = F.array_join(F.array_append(but_last, question), "\n")
     prompt = (
-        F.when(F.col("span_key").isNull(), M.prompt_of(messages))
-        .when(F.col("part") == F.col("first_part"), first_part)
-        .when(F.col("part") == F.col("last_part"), last_part)
-        .otherwise(all_lines)
+        F.when(F.col("is_first") & F.col("is_last"), M.prompt_of(messages))
+        .when(F.col("is_first"), opening)
+        .when(F.col("is_last"), closing)
+        .otherwise(F.array_join(lines, "\n"))
     )
-    return grouped.join(
-        broadcast_within(spans), F.col(key) == F.col("span_key"), "left"
-    ).select(key, "part", prompt.alias("prompt"))
+    return grouped.join(ends, [key, "part"], "left").select(key, "part", prompt.alias("prompt"))

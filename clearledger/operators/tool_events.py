@@ -11,7 +11,6 @@ from clearledger.functions import jsonvalues as J
 from clearledger.functions import text
 from clearledger.operators import catalog as C
 from clearledger.operators import readonly_sql as Q
-from clearledger.plans.sizing import broadcast_within
 
 # Tool names, the argument that selects each, and messages.
 EXECUTE_SQL = "execute_sql"
@@ -68,7 +67,7 @@ def dispatch(events: DataFrame, body: str, tables: DataFrame) -> DataFrame:
     """Route a table of JSON events and mark the ones that would be refused.
 
     Adds ``tool``, ``argument``, ``ok`` and ``error``. A key selects its tool
-    even with a null value. ``tables`` holds the known ``table_name`` values.
+    even with a null value. ``tables`` holds each known ``table_name`` once.
     """
     keys = F.coalesce(F.json_object_keys(F.col(body)), F.array().cast("array<string>"))
     tool = (
@@ -80,7 +79,7 @@ def dispatch(events: DataFrame, body: str, tables: DataFrame) -> DataFrame:
         F.when(F.col("tool") == EXECUTE_SQL, F.get_json_object(body, f"$.{QUERY_KEY}"))
         .when(F.col("tool") == DESCRIBE_TABLE, F.get_json_object(body, f"$.{TABLE_KEY}"))
     )
-    known = broadcast_within(tables.select(F.col("table_name").alias("known_table")).distinct())
+    known = tables.select(F.col("table_name").alias("known_table"))
     error = (
         F.when(F.col("tool") == EXECUTE_SQL, _query_problem(F.col("argument")))
         .when(F.col("tool") == DESCRIBE_TABLE, _table_problem(F.col("argument"), F.col("known_table")))

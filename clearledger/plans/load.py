@@ -11,6 +11,7 @@ from clearledger.operators.counts import table_counts
 from clearledger.operators.masking import apply_policy
 from clearledger.operators.typing import prepare
 from clearledger.sources.files import scan
+from clearledger.sources.small import small_table
 from clearledger.sources.tables import ensure_database, quoted, refresh_table
 from clearledger.specs import MANIFEST, MASK_POLICIES, MaskPolicy, TableSpec
 
@@ -56,7 +57,7 @@ def load_tables(
         for spec in manifest
     ]
     stored = {spec.table: spark.table(quoted(database, spec.table)) for spec in manifest}
-    sent = spark.createDataFrame(written, "table_name string, n_written bigint")
+    sent = small_table(spark, {"table_name": "string", "n_written": "bigint"}, written)
     return (
         table_counts(stored)
         .join(sent, "table_name")

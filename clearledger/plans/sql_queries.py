@@ -79,6 +79,7 @@ _register(
     """,
 )
 
+# One alarm window per calendar day, so the broadcast side stays small.
 _register(
     "sql_join_range",
     ("events",),
@@ -87,7 +88,7 @@ _register(
         SELECT date_trunc('day', ts) AS day, min(ts) AS opened, min(ts) + INTERVAL 2 HOURS AS closed
         FROM events WHERE event_type = 'error' GROUP BY date_trunc('day', ts)
     )
-    SELECT e.event_type, count(*) AS n_events,
+    SELECT /*+ BROADCAST(a) */ e.event_type, count(*) AS n_events,
            CAST(sum(CAST(e.value AS DECIMAL(18,2))) AS DOUBLE) AS total_value
     FROM events e JOIN alarms a
       ON date_trunc('day', e.ts) = a.day AND e.ts >= a.opened AND e.ts < a.closed
@@ -116,10 +117,11 @@ _register(
     """
     SELECT c.c_custkey, c.c_mktsegment
     FROM customer c
-    WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)
-      AND NOT EXISTS (SELECT 1 FROM orders o
-                      WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT'
-                        AND o.o_orderstatus = 'P')
+    WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 300000) o
+                  WHERE o.o_custkey = c.c_custkey)
+      AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT o_custkey FROM orders
+                                     WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P') o
+                      WHERE o.o_custkey = c.c_custkey)
       AND c.c_nationkey IN (SELECT DISTINCT s_nationkey FROM supplier WHERE s_acctbal > 1000)
       AND c.c_nationkey NOT IN (SELECT DISTINCT s_nationkey FROM supplier WHERE s_acctbal < 0)
     """,
@@ -138,35 +140,35 @@ _register(
 )
 
 # The latest purchase before each error of a user. A user's time line is cut
-# into hours: the window stays within one, and what earlier hours left behind
-# comes from one row per hour.
+# into minutes: the window stays within one, and what earlier minutes left
+# behind comes from one row per minute.
 _register(
     "sql_asof",
     ("events",),
     """
     WITH line AS (
-        SELECT event_id, user_id, ts, date_trunc('hour', ts) AS hour, event_type,
+        SELECT event_id, user_id, ts, date_trunc('minute', ts) AS slice, event_type,
                CASE WHEN event_type = 'purchase' THEN event_id END AS bought
         FROM events WHERE event_type IN ('purchase', 'error')
-    ), hourly AS (
-        SELECT user_id, hour, max_by(bought, CASE WHEN bought IS NOT NULL THEN ts END) AS closing
-        FROM line GROUP BY user_id, hour
+    ), slices AS (
+        SELECT user_id, slice, max_by(bought, CASE WHEN bought IS NOT NULL THEN ts END) AS closing
+        FROM line GROUP BY user_id, slice
     ), carried AS (
-        SELECT user_id, hour,
+        SELECT user_id, slice,
                last_value(closing) IGNORE NULLS OVER (
-                   PARTITION BY user_id ORDER BY hour
+                   PARTITION BY user_id ORDER BY slice
                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
-        FROM hourly
-    ), within AS (
-        SELECT event_id, user_id, hour, event_type,
+        FROM slices
+    ), inside AS (
+        SELECT event_id, user_id, slice, event_type,
                last_value(bought) IGNORE NULLS OVER (
-                   PARTITION BY user_id, hour ORDER BY ts
-                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS same_hour
+                   PARTITION BY user_id, slice ORDER BY ts
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS same_slice
         FROM line
     )
-    SELECT w.event_id, w.user_id, coalesce(w.same_hour, c.earlier) AS purchase_id
-    FROM within w JOIN carried c ON c.user_id = w.user_id AND c.hour = w.hour
-    WHERE w.event_type = 'error'
+    SELECT i.event_id, i.user_id, coalesce(i.same_slice, c.earlier) AS purchase_id
+    FROM inside i JOIN carried c ON c.user_id = i.user_id AND c.slice = i.slice
+    WHERE i.event_type = 'error'
     """,
     """
     SELECT e.event_id, e.user_id, p.event_id AS purchase_id
@@ -410,16 +412,13 @@ _register(
 
 _register(
     "sql_subqueries",
-    ("orders",),
+    ("customer", "orders"),
     """
-    WITH typical AS (
-        SELECT o_custkey AS buyer, avg(CAST(o_totalprice AS DECIMAL(18,2))) AS usual
-        FROM orders GROUP BY o_custkey
-    )
-    SELECT o.o_orderkey, o.o_custkey, o.o_totalprice
-    FROM orders o
-    WHERE o.o_totalprice > (SELECT 2 * max(t.usual) FROM typical t WHERE t.buyer = o.o_custkey)
-      AND o.o_orderdate > (SELECT min(o_orderdate) FROM orders WHERE o_orderstatus = 'P')
+    SELECT c.c_custkey, c.c_acctbal,
+           (SELECT CAST(avg(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) FROM orders) AS usual_price
+    FROM customer c
+    WHERE 20 * c.c_acctbal > (SELECT avg(CAST(o.o_totalprice AS DECIMAL(18,2)))
+                              FROM orders o WHERE o.o_custkey = c.c_custkey)
     """,
 )
 
@@ -563,10 +562,11 @@ _register(
     "sql_json_fn",
     ("events",),
     """
-    SELECT event_type, CAST(get_json_object(props, '$.k') AS INT) AS k, count(*) AS n_events,
-           max(from_json(props, 'k INT').k + 1) AS next_k,
-           max(to_json(named_struct('k', CAST(get_json_object(props, '$.k') AS INT)))) AS again
-    FROM events GROUP BY event_type, CAST(get_json_object(props, '$.k') AS INT)
+    SELECT event_type, k, count(*) AS n_events, max(parsed.k + 1) AS next_k,
+           to_json(named_struct('k', k)) AS again
+    FROM (SELECT event_type, CAST(get_json_object(props, '$.k') AS INT) AS k,
+                 from_json(props, 'k INT') AS parsed FROM events)
+    GROUP BY event_type, k
     """,
     """
     SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n_events,
