@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clearledger.functions.moments import iso_timestamp
+from clearledger.functions.moments import iso_timestamp, iso_zoned_timestamp
 
 JSON_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 JSON_SCALARS = (T.StringType, T.BooleanType, T.NullType, *JSON_NUMBERS)
@@ -68,8 +68,10 @@ def _strict_leaf(c: Column, kind: T.DataType) -> Column:
         return c
     if isinstance(kind, T.DecimalType):
         return c.cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(kind, T.TimestampNTZType):
         return iso_timestamp(c)
+    if isinstance(kind, T.TimestampType):
+        return iso_zoned_timestamp(c)
     if isinstance(kind, (T.DateType, T.TimeType)):
         return c.cast("string")
     raise TypeError(f"Object of type {kind.simpleString()} is not JSON serializable")
@@ -78,8 +80,10 @@ def _strict_leaf(c: Column, kind: T.DataType) -> Column:
 def _lenient_leaf(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, JSON_SCALARS + (T.VariantType,)):
         return c
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(kind, T.TimestampNTZType):
         return iso_timestamp(c, " ")
+    if isinstance(kind, T.TimestampType):
+        return iso_zoned_timestamp(c, " ")
     return c.cast("string")
 
 

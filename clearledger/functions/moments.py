@@ -32,7 +32,13 @@ def month_label(c: Column) -> Column:
 
 
 def iso_timestamp(c: Column, separator: str = "T") -> Column:
-    """ISO text with microseconds only where there are any."""
-    whole = F.date_format(c, f"yyyy-MM-dd'{separator}'HH:mm:ss")
-    micros = F.date_format(c, f"yyyy-MM-dd'{separator}'HH:mm:ss.SSSSSS")
-    return F.when(micros.endswith(".000000"), whole).otherwise(micros)
+    """ISO text of a zoneless timestamp, with six decimals only where there are any."""
+    shown = c.cast("string")
+    point = F.instr(shown, ".")
+    padded = F.when(point > 0, F.rpad(shown, point + 6, "0")).otherwise(shown)
+    return padded if separator == " " else F.replace(padded, F.lit(" "), F.lit(separator))
+
+
+def iso_zoned_timestamp(c: Column, separator: str = "T") -> Column:
+    """The same for a timestamp with zone: session time and its offset."""
+    return F.concat(iso_timestamp(c, separator), F.date_format(c, "xxx"))

@@ -26,11 +26,11 @@ QUERY_SETTINGS = {
 }
 
 
-def checked_query(query: str | None) -> str:
+def checked_query(query: str | None, on_empty: str = QUERY_REQUIRED) -> str:
     """The query without a closing semicolon, if it begins like a query."""
     stripped = (query or "").strip()
     if not stripped:
-        raise ValueError(QUERY_REQUIRED)
+        raise ValueError(on_empty)
     if not stripped.upper().startswith(QUERY_STARTS):
         raise ValueError(ONLY_SELECT)
     return stripped.removesuffix(";").rstrip()
@@ -61,6 +61,7 @@ def query_as_json(spark: SparkSession, query: str | None, stringify: bool = Fals
 def agent_query(spark: SparkSession, query: str | None) -> tuple[DataFrame | None, str | None]:
     """JSON rows or the error text, never an exception."""
     try:
+        checked_query(query, on_empty=ONLY_SELECT)
         return query_as_json(spark, query, stringify=True), None
     except ValueError as problem:
         return None, str(problem)

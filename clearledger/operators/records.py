@@ -185,6 +185,12 @@ def route_requests(df: DataFrame, path: str, body: str, routes: Routes) -> DataF
     )
 
 
+def request_log(routed: DataFrame, *keys: str) -> DataFrame:
+    """One row per accepted request: where it went, its size, and who sent it."""
+    logged = ("route", "model", "n_messages", "stream", "session_id", "user_id")
+    return routed.where(F.col("status") == STATUS_OK).select(*keys, *logged)
+
+
 def request_summary(routed: DataFrame) -> DataFrame:
     """Accepted requests per route and model."""
     return (

@@ -292,6 +292,22 @@ def route_status(spark: SparkSession, folder: str) -> DataFrame:
     return _routed(spark, folder).drop("shape", "request_id", "body", "path")
 
 
+def _logged(spark: SparkSession, folder: str) -> DataFrame:
+    return X.session_context(_routed(spark, folder), "body", "request_id")
+
+
+@query(
+    f"""
+    SELECT conv_id, turn, route, model, n_messages, stream,
+           CASE WHEN shape = 0 THEN 'chat-' || conv_id ELSE sha256(request_id) END AS session_id,
+           CASE WHEN shape = 0 THEN 'user-' || conv_id END AS user_id
+    FROM ({DUCK_ROUTED}) WHERE status = 200
+    """
+)
+def request_log(spark: SparkSession, folder: str) -> DataFrame:
+    return X.request_log(_logged(spark, folder), "conv_id", "turn")
+
+
 @query(
     f"""
     SELECT route, model, count(*) AS n_requests, CAST(sum(n_messages) AS BIGINT) AS n_turns,
@@ -301,7 +317,7 @@ def route_status(spark: SparkSession, folder: str) -> DataFrame:
     """
 )
 def request_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return X.request_summary(X.session_context(_routed(spark, folder), "body", "request_id"))
+    return X.request_summary(_logged(spark, folder))
 
 
 def _payloads(spark: SparkSession, folder: str) -> DataFrame:

@@ -35,14 +35,17 @@ JSON_SQL = """
 """
 
 
-def _json_fields(rows: DataFrame) -> DataFrame:
-    text = {n: F.get_json_object("row_json", f"$.{n}") for n in ("o_orderdate", "price", "buyer")}
-    return rows.select(
-        F.get_json_object("row_json", "$.o_orderkey").cast("bigint").alias("o_orderkey"),
-        text["o_orderdate"].alias("order_date"),
-        text["price"].cast("double").alias("price"),
-        text["buyer"].cast("bigint").alias("buyer"),
-        F.get_json_object("row_json", "$.o_orderpriority").alias("priority"),
+JSON_MEMBERS = "o_orderkey bigint, o_orderdate string, o_orderpriority string, price {}, buyer bigint"
+
+
+def _json_fields(rows: DataFrame, price: str) -> DataFrame:
+    parsed = rows.select("row_json", F.from_json("row_json", JSON_MEMBERS.format(price)).alias("r"))
+    return parsed.select(
+        "r.o_orderkey",
+        F.col("r.o_orderdate").alias("order_date"),
+        F.col("r.price").cast("double").alias("price"),
+        "r.buyer",
+        F.col("r.o_orderpriority").alias("priority"),
         F.array_join(F.json_object_keys("row_json"), ",").alias("members"),
     )
 
@@ -58,7 +61,7 @@ def _json_fields(rows: DataFrame) -> DataFrame:
 )
 def sql_json(spark: SparkSession, folder: str) -> DataFrame:
     register_views(spark, folder, ["orders"])
-    return _json_fields(Q.query_as_json(spark, JSON_SQL))
+    return _json_fields(Q.query_as_json(spark, JSON_SQL), "double")
 
 
 @query(
@@ -72,7 +75,7 @@ def sql_json(spark: SparkSession, folder: str) -> DataFrame:
 )
 def sql_json_text(spark: SparkSession, folder: str) -> DataFrame:
     register_views(spark, folder, ["orders"])
-    return _json_fields(Q.query_as_json(spark, JSON_SQL, stringify=True))
+    return _json_fields(Q.query_as_json(spark, JSON_SQL, stringify=True), "string")
 
 
 SCHEMA = "public"

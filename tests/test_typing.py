@@ -1,0 +1,174 @@
+"""Types from data and declarations, on values that are easy to get wrong."""
+
+from __future__ import annotations
+
+import datetime as dt
+import math
+
+import pytest
+from pyspark.sql import types as T
+
+from clearledger.operators import typing as Y
+from clearledger.specs import MANIFEST, TableSpec
+
+NAN, INF = math.nan, math.inf
+
+FLOATS = {
+    "whole": ([1.0, 2.0, None], "BIGINT"),
+    "whole_and_nan": ([1.0, NAN, -3.0], "BIGINT"),
+    "negative_zero": ([-0.0, 0.0, None], "BIGINT"),
+    "fractional": ([1.0, 1.5, None], "DOUBLE PRECISION"),
+    "infinite": ([1.0, INF, None], "DOUBLE PRECISION"),
+    "beyond_bigint": ([1.0, 1e19, None], "DOUBLE PRECISION"),
+    "all_missing": ([None, None, None], "BIGINT"),
+    "all_nan": ([NAN, NAN, NAN], "BIGINT"),
+}
+
+
+def frame(spark, columns: dict[str, list], kind: str):
+    rows = list(zip(*columns.values(), strict=True))
+    return spark.createDataFrame(rows, ", ".join(f"`{n}` {kind}" for n in columns))
+
+
+def test_float_columns(spark):
+    df = frame(spark, {n: v for n, (v, _) in FLOATS.items()}, "double")
+    prepared = Y.prepare(df, TableSpec("t"))
+    assert prepared.types == {n: kind for n, (_, kind) in FLOATS.items()}
+    rows = prepared.frame.collect()
+    assert [r["whole_and_nan"] for r in rows] == [1, None, -3]
+    assert [r["infinite"] for r in rows] == [1.0, INF, None]
+    assert [r["all_nan"] for r in rows] == [None, None, None]
+
+
+def test_one_fractional_value_at_the_end_is_found(spark):
+    rows = Y.PROBED_ROWS * 5
+    df = spark.range(rows).selectExpr(
+        f"CAST(id AS DOUBLE) AS a", f"IF(id = {rows - 1}, 0.5D, CAST(id AS DOUBLE)) AS b"
+    )
+    assert Y.whole_columns(df) == {"a": True, "b": False}
+
+
+def test_table_without_rows(spark):
+    df = spark.createDataFrame([], "a double, b string, c int")
+    assert Y.resolve_types(df, TableSpec("t")) == {"a": "BIGINT", "b": "TEXT", "c": "BIGINT"}
+
+
+def test_narrowing_keeps_values(spark):
+    df = frame(spark, {"a": [0.0, -7.0, 9007199254740992.0, None]}, "double")
+    narrowed = Y.prepare(df, TableSpec("t")).frame
+    assert [r.a for r in narrowed.collect()] == [0, -7, 9007199254740992, None]
+
+
+def test_every_width_and_native_type(spark):
+    df = spark.sql(
+        """
+        SELECT 1Y AS a, 1S AS b, 1 AS c, 1L AS d, CAST(1.5 AS FLOAT) AS e, true AS f,
+               TIMESTAMP'2024-01-02 03:04:05' AS g, TIMESTAMP_NTZ'2024-01-02 03:04:05' AS h,
+               DATE'2024-01-02' AS i, 1.20BD AS j, array(1) AS k
+        """
+    )
+    prepared = Y.prepare(df, TableSpec("t"))
+    assert list(prepared.types.values()) == [
+        "BIGINT", "BIGINT", "BIGINT", "BIGINT", "DOUBLE PRECISION", "BOOLEAN",
+        "TIMESTAMP", "TIMESTAMP", "DATE", "DECIMAL(3,2)", "ARRAY<INT>",
+    ]
+    assert [f.dataType.simpleString() for f in prepared.frame.schema.fields] == [
+        "bigint", "bigint", "bigint", "bigint", "double", "boolean",
+        "timestamp_ntz", "timestamp_ntz", "date", "decimal(3,2)", "array<int>",
+    ]
+    assert prepared.frame.first().h == dt.datetime(2024, 1, 2, 3, 4, 5)
+
+
+TIMES = {
+    "12:34": "12:34:00",
+    "12:34:56": "12:34:56",
+    "00:00": "00:00:00",
+    "24:00": "24:00:00",
+    "24:00:01": None,
+    "25:00": None,
+    "12:60": None,
+    "1:02": None,
+    "12:34:56.5": None,
+    "junk": None,
+    "": None,
+    None: None,
+}
+STAMPS = {
+    "2020-01-01 00:00:00": dt.datetime(2020, 1, 1),
+    "2020-01-02": dt.datetime(2020, 1, 2),
+    "2020-01-02 03:04:05.678901": dt.datetime(2020, 1, 2, 3, 4, 5, 678901),
+    " 2020-01-02 03:04:05 ": dt.datetime(2020, 1, 2, 3, 4, 5),
+    "9999-12-31 00:00:00": dt.datetime(9999, 12, 31),
+    "2020": None,
+    "01/02/2020": None,
+    "2020-02-30": None,
+    "junk": None,
+    "": None,
+    None: None,
+}
+
+
+@pytest.mark.parametrize(
+    ("cases", "spec"),
+    [
+        (TIMES, TableSpec("t", time_columns=("v",))),
+        (STAMPS, TableSpec("t", timestamp_columns=("v",))),
+    ],
+)
+def test_declared_strings(spark, cases, spec):
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, v string")
+    prepared = Y.prepare(df, spec).frame.orderBy("i").collect()
+    assert [r.v for r in prepared] == list(cases.values())
+    rejected = sum(1 for text, value in cases.items() if text and value is None)
+    assert Y.reject_counts(df, spec).first().n_rejected == rejected
+
+
+def test_escaped_and_empty_text(spark):
+    df = spark.createDataFrame([("a_x0020_b", ""), ("_x0020_", "x"), (None, None)], "p string, q string")
+    spec = TableSpec("t", escaped_text_columns=("p",))
+    assert [tuple(r) for r in Y.prepare(df, spec).frame.collect()] == [
+        ("a b", None), (" ", "x"), (None, None),
+    ]
+
+
+def test_names_that_need_quoting(spark):
+    df = spark.createDataFrame([(1.0, "x")], "`a.b` double, `c ``d` string")
+    prepared = Y.prepare(df, TableSpec("t"))
+    assert prepared.frame.columns == ["a.b", "c `d"]
+    assert Y.ddl_text("t", prepared.types) == 'CREATE TABLE "t" (\n  "a.b" BIGINT,\n  "c `d" TEXT\n)'
+    assert Y.schema_report(df, prepared.types).count() == 2
+
+
+def test_given_types_skip_the_data(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,)], "a double")
+    assert Y.prepare(df, TableSpec("t"), {"a": "DOUBLE PRECISION"}).frame.dtypes == [("a", "double")]
+
+
+def test_samples(spark):
+    df = spark.createDataFrame(
+        [(2, "07:00", None), (1, None, None), (3, "08:00", None)], "k int, a string, b string"
+    )
+    types = {"k": "BIGINT", "a": "TIME", "b": "TIMESTAMP"}
+    samples = Y.first_samples(df, types, "k").collect()
+    assert [(r.column_name, r.sample, r.n_moment_columns) for r in samples] == [
+        ("a", "07:00", 2), ("b", "all null", 2),
+    ]
+
+
+def test_at_most_five_samples(spark):
+    df = spark.createDataFrame([(1,) + ("07:00",) * 7], "k int, " + ", ".join(f"t{i} string" for i in range(7)))
+    types = {"k": "BIGINT"} | {f"t{i}": "TIME" for i in range(7)}
+    samples = Y.first_samples(df, types, "k").collect()
+    assert len(samples) == 5
+    assert {r.n_moment_columns for r in samples} == {7}
+
+
+def test_manifest_declares_each_column_once():
+    assert [s.table for s in MANIFEST] == ["emd", "inpatient_movement", "surgery", "soc"]
+    for spec in MANIFEST:
+        declared = spec.time_columns + spec.timestamp_columns + spec.escaped_text_columns
+        assert len(declared) == len(set(declared))
+
+
+def test_types_are_spark_types(spark):
+    assert Y.storage_type(T.StructField("a", T.StringType()), TableSpec("t"), {}) == "TEXT"
