@@ -22,8 +22,10 @@ ESCAPED_CHARACTERS = {
     "_x0020_": " ",
 }
 ESCAPE_PREFIX = "_x00"
-PHONE_PATTERN = r"(?U)^[0-9]{4}[\s\x1c-\x1f]?[0-9]{4}$"
-PHONE_MASK = " XXXX"
+PHONE_PATTERN = (
+    r"(?U)^[\s\x1c-\x1f]*([0-9]{4})[\s\x1c-\x1f]?[0-9]{4}[\s\x1c-\x1f]*\z"
+)
+PHONE_MASK = "$1 XXXX"
 REDACTION = "XXXXX"
 WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -58,13 +60,16 @@ def decode_phone(c: Column) -> Column:
 
 
 def is_phone(c: Column) -> Column:
-    return strip(c).rlike(PHONE_PATTERN)
+    return c.rlike(PHONE_PATTERN)
 
 
 def mask_phone(c: Column) -> Column:
-    """Keep the first four digits of an eight-digit number; leave the rest alone."""
-    masked = F.concat(F.substring(strip(c), 1, 4), F.lit(PHONE_MASK))
-    return F.when(is_phone(c), masked).otherwise(c)
+    """Keep the first four digits of an eight-digit number; leave the rest alone.
+
+    White space around a number does not matter; a value that is no number
+    keeps its own.
+    """
+    return F.regexp_replace(c, PHONE_PATTERN, PHONE_MASK)
 
 
 def redact(c: Column) -> Column:

@@ -69,26 +69,27 @@ def dispatch(events: DataFrame, body: str, tables: DataFrame) -> DataFrame:
     Adds ``tool``, ``argument``, ``ok`` and ``error``. A key selects its tool
     even with a null value. ``tables`` holds each known ``table_name`` once.
     """
-    keys = F.coalesce(F.json_object_keys(F.col(body)), F.array().cast("array<string>"))
+    document = F.col("document")
     tool = (
-        F.when(F.array_contains(keys, QUERY_KEY), EXECUTE_SQL)
-        .when(F.array_contains(keys, TABLE_KEY), DESCRIBE_TABLE)
+        F.when(J.field(document, QUERY_KEY).isNotNull(), EXECUTE_SQL)
+        .when(J.field(document, TABLE_KEY).isNotNull(), DESCRIBE_TABLE)
         .otherwise(LIST_TABLES)
     )
     argument = (
-        F.when(F.col("tool") == EXECUTE_SQL, F.get_json_object(body, f"$.{QUERY_KEY}"))
-        .when(F.col("tool") == DESCRIBE_TABLE, F.get_json_object(body, f"$.{TABLE_KEY}"))
+        F.when(F.col("tool") == EXECUTE_SQL, J.text_of(J.field(document, QUERY_KEY)))
+        .when(F.col("tool") == DESCRIBE_TABLE, J.text_of(J.field(document, TABLE_KEY)))
     )
     known = tables.select(F.col("table_name").alias("known_table"))
     error = (
         F.when(F.col("tool") == EXECUTE_SQL, _query_problem(F.col("argument")))
         .when(F.col("tool") == DESCRIBE_TABLE, _table_problem(F.col("argument"), F.col("known_table")))
     )
-    routed = events.withColumn("tool", tool).withColumn("argument", text.strip(argument))
+    parsed = events.withColumn("document", F.try_parse_json(F.col(body)))
+    routed = parsed.withColumn("tool", tool).withColumn("argument", text.strip(argument))
     described = (F.col("tool") == DESCRIBE_TABLE) & (F.col("argument") == F.col("known_table"))
     return (
         routed.join(known, described, "left")
         .withColumn("error", error)
         .withColumn("ok", F.col("error").isNull())
-        .drop("known_table")
+        .drop("document", "known_table")
     )

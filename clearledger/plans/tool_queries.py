@@ -12,6 +12,7 @@ from clearledger.operators.counts import table_counts
 from clearledger.operators.tool_events import dispatch
 from clearledger.plans.registry import TABLES, query
 from clearledger.sources.files import register_views, scan_table
+from clearledger.sources.small import small_table
 
 READONLY_SQL = """
     SELECT "o_orderstatus" AS "status", count(*) AS n_orders,
@@ -206,8 +207,8 @@ def _event_bodies(spark: SparkSession, folder: str) -> DataFrame:
     """
 )
 def tool_dispatch(spark: SparkSession, folder: str) -> DataFrame:
-    catalog, _ = _catalog(spark, folder)
-    return dispatch(_event_bodies(spark, folder), "body", catalog.tables).drop("body")
+    known = small_table(spark, {"table_name": "string"}, [(t,) for t in TABLES])
+    return dispatch(_event_bodies(spark, folder), "body", known).drop("body")
 
 
 @query(
