@@ -24,7 +24,8 @@ def timestamp_or_null(c: Column) -> Column:
 
 
 def month_start(c: Column) -> Column:
-    return F.date_trunc("month", c).cast("timestamp_ntz")
+    """First day of the month; by way of dates, so that no time zone has a say."""
+    return F.trunc(c.cast("date"), "month").cast("timestamp_ntz")
 
 
 def month_label(c: Column) -> Column:

@@ -41,37 +41,39 @@ def coverage(df: DataFrame, policy: MaskPolicy) -> DataFrame:
     )
 
 
+def _fits(policy: MaskPolicy) -> dict[str, Column]:
+    """Whether a cell that is visited ends up masked."""
+    fits = {n: text.is_phone(text.decode_phone(column(n))) for n in policy.escaped_phones}
+    fits |= {n: text.is_phone(column(n)) for n in policy.phones}
+    return fits | {n: F.lit(True) for n in policy.redacted}
+
+
+def cell_metrics(policy: MaskPolicy) -> dict[str, tuple[Column, Column]]:
+    """Aggregates over unmasked rows: cells visited and cells masked per column."""
+    metrics = {}
+    for name, fits in _fits(policy).items():
+        visited = column(name) != ""
+        metrics[name] = (F.count_if(visited), F.count_if(visited & fits))
+    return metrics
+
+
 def mask_metrics(df: DataFrame, policy: MaskPolicy) -> DataFrame:
     """Per column: cells visited, masked, and left readable.
 
     A phone that does not fit the pattern is visited but stays as it is; those
     are the ``n_residue`` cells. One aggregate over the unmasked table.
     """
-    tests = []
-    for name in policy.columns:
-        value = column(name)
-        if name in policy.redacted:
-            tests.append((name, F.lit(True)))
-        elif name in policy.phones:
-            tests.append((name, text.is_phone(value)))
-        else:
-            tests.append((name, text.is_phone(text.decode_phone(value))))
-    counts = []
-    for i, (name, fits) in enumerate(tests):
-        visited = column(name) != ""
-        counts += [
-            F.count_if(visited).alias(f"v{i}"),
-            F.count_if(visited & fits).alias(f"m{i}"),
-        ]
-    entries = [
-        F.struct(
-            F.lit(name).alias("column_name"),
-            F.col(f"v{i}").alias("n_visited"),
-            F.col(f"m{i}").alias("n_masked"),
-            (F.col(f"v{i}") - F.col(f"m{i}")).alias("n_residue"),
+    counts, entries = [], []
+    for i, (name, (visited, masked)) in enumerate(cell_metrics(policy).items()):
+        counts += [visited.alias(f"v{i}"), masked.alias(f"m{i}")]
+        entries.append(
+            F.struct(
+                F.lit(name).alias("column_name"),
+                F.col(f"v{i}").alias("n_visited"),
+                F.col(f"m{i}").alias("n_masked"),
+                (F.col(f"v{i}") - F.col(f"m{i}")).alias("n_residue"),
+            )
         )
-        for i, (name, _) in enumerate(tests)
-    ]
     return df.agg(*counts).select(F.inline(F.array(*entries)))
 
 

@@ -3,19 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import astuple, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from clearledger.operators.counts import table_counts
-from clearledger.operators.masking import apply_policy
-from clearledger.operators.typing import prepare
+from clearledger.operators.masking import apply_policy, cell_metrics
+from clearledger.operators.typing import apply_types, reject_metrics, resolve_types
 from clearledger.sources.files import scan
 from clearledger.sources.small import small_table
 from clearledger.sources.tables import ensure_database, quoted, refresh_table
 from clearledger.specs import MANIFEST, MASK_POLICIES, MaskPolicy, TableSpec
 
 
+@dataclass(frozen=True)
+class Loaded:
+    """What one load wrote: rows, unreadable values, and cells the mask met."""
+
+    table: str
+    n_written: int
+    n_rejected: int
+    n_visited: int
+    n_masked: int
+
+
+def _observed(df: DataFrame, metrics: Mapping[str, Column]) -> tuple[DataFrame, Observation | None]:
+    if not metrics:
+        return df, None
+    seen = Observation()
+    return df.observe(seen, *[c.alias(name) for name, c in metrics.items()]), seen
+
+
+def _total(seen: Observation | None, prefix: str = "") -> int:
+    return sum(n for name, n in seen.get.items() if name.startswith(prefix)) if seen else 0
+
+
 def load_table(
     spark: SparkSession,
     spec: TableSpec,
@@ -23,16 +46,39 @@ def load_table(
     database: str,
     root: str,
     policy: MaskPolicy | None = None,
-) -> int:
-    """Load one table and return the rows written.
+) -> Loaded:
+    """Type, clean, mask and replace one table.
 
     Masking is part of the projection in front of the write, so unmasked
-    values never reach the table.
+    values never reach the table. All counts are taken while writing.
     """
-    frame = prepare(scan(spark, source_folder, spec.source or f"{spec.table}.parquet"), spec).frame
+    raw = scan(spark, source_folder, spec.source or f"{spec.table}.parquet")
+    types = resolve_types(raw, spec)
+    counted, rejects = _observed(raw, reject_metrics(spec))
+    frame, cells = apply_types(counted, spec, types), None
     if policy:
+        pairs = cell_metrics(policy).items()
+        visited = {f"visited {n}": v for n, (v, _) in pairs}
+        masked = {f"masked {n}": m for n, (_, m) in pairs}
+        frame, cells = _observed(frame, visited | masked)
         frame = apply_policy(frame, policy)
-    return refresh_table(frame, database, root, spec.table).rows_written
+    staged = refresh_table(frame, database, root, spec.table)
+    return Loaded(
+        spec.table,
+        staged.n_rows,
+        _total(rejects),
+        _total(cells, "visited "),
+        _total(cells, "masked "),
+    )
+
+
+LOADED_FIELDS = {
+    "table_name": "string",
+    "n_written": "bigint",
+    "n_rejected": "bigint",
+    "n_visited": "bigint",
+    "n_masked": "bigint",
+}
 
 
 def load_tables(
@@ -45,21 +91,17 @@ def load_tables(
 ) -> DataFrame:
     """Load every table of the manifest and reconcile the counts.
 
-    Returns ``table_name, n_rows, n_columns, n_written, complete`` with
-    ``n_rows`` counted from the published tables.
+    Returns the counts of ``Loaded`` per table, with ``n_rows`` and
+    ``n_columns`` of the published table and whether it is ``complete``.
     """
     ensure_database(spark, database)
-    written = [
-        (
-            spec.table,
-            load_table(spark, spec, source_folder, database, root, policies.get(spec.table)),
-        )
-        for spec in manifest
+    loaded = [
+        astuple(load_table(spark, s, source_folder, database, root, policies.get(s.table)))
+        for s in manifest
     ]
-    stored = {spec.table: spark.table(quoted(database, spec.table)) for spec in manifest}
-    sent = small_table(spark, {"table_name": "string", "n_written": "bigint"}, written)
+    stored = {s.table: spark.table(quoted(database, s.table)) for s in manifest}
     return (
         table_counts(stored)
-        .join(sent, "table_name")
+        .join(small_table(spark, LOADED_FIELDS, loaded), "table_name")
         .withColumn("complete", F.col("n_rows") == F.col("n_written"))
     )

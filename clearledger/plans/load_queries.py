@@ -14,6 +14,7 @@ from clearledger.sources.files import scan_table
 from clearledger.sources.tables import ensure_database, quoted
 from clearledger.specs import TableSpec
 
+SCRATCH = "clearledger_scratch"
 WIDTHS = dict(zip(TABLES, (2, 3, 5, 4, 6, 6, 11, 6, 5, 3, 3, 2, 3, 4), strict=True))
 
 
@@ -35,10 +36,9 @@ def load_counts(spark: SparkSession, folder: str) -> DataFrame:
 )
 def refresh_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     root = shared_folder(spark, "refresh")
-    database = "refresh_" + root.rsplit("-", 1)[1]
-    ensure_database(spark, database, f"{root}/database")
-    load_table(spark, TableSpec("customer"), folder, database, root)
-    return spark.table(quoted(database, "customer"))
+    ensure_database(spark, SCRATCH, f"{root}/database")
+    load_table(spark, TableSpec("customer"), folder, SCRATCH, root)
+    return spark.table(quoted(SCRATCH, "customer"))
 
 
 BLANKED = "CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END"
@@ -52,31 +52,25 @@ def empty_to_null(spark: SparkSession, folder: str) -> DataFrame:
     return Y.prepare(blanked, TableSpec("customer")).frame
 
 
-def _number_entry(ordinal: int, name: str) -> str:
+def _duck_kind(name: str) -> str:
     kind = f"CASE WHEN bool_and({name} % 1 = 0) THEN 'BIGINT' ELSE 'DOUBLE PRECISION' END"
-    return _entry(ordinal, name, kind)
-
-
-def _entry(ordinal: int, name: str, kind: str) -> str:
-    return (
-        f"SELECT {ordinal} AS ordinal, '{name}' AS column_name, {kind} AS storage_type, "
-        f"count({name}) AS n_values FROM lineitem"
-    )
+    return f"(SELECT {kind} FROM lineitem)"
 
 
 @query(
-    " UNION ALL ".join(
-        [_entry(i + 1, n, "'BIGINT'") for i, n in enumerate(
-            ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))]
-        + [_number_entry(i + 5, n) for i, n in enumerate(
-            ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))]
-        + [_entry(9, "l_returnflag", "'TEXT'"), _entry(10, "l_linestatus", "'TEXT'")]
-        + [_entry(11, "l_shipdate", "'TIMESTAMP'")]
-    )
+    f"""
+    SELECT * FROM (VALUES
+        (1, 'l_orderkey', 'BIGINT'), (2, 'l_partkey', 'BIGINT'), (3, 'l_suppkey', 'BIGINT'),
+        (4, 'l_linenumber', 'BIGINT'), (5, 'l_quantity', {_duck_kind('l_quantity')}),
+        (6, 'l_extendedprice', {_duck_kind('l_extendedprice')}),
+        (7, 'l_discount', {_duck_kind('l_discount')}), (8, 'l_tax', {_duck_kind('l_tax')}),
+        (9, 'l_returnflag', 'TEXT'), (10, 'l_linestatus', 'TEXT'), (11, 'l_shipdate', 'TIMESTAMP')
+    ) AS report(ordinal, column_name, storage_type)
+    """
 )
 def type_report(spark: SparkSession, folder: str) -> DataFrame:
     lineitem = scan_table(spark, folder, "lineitem")
-    return Y.schema_report(lineitem, Y.resolve_types(lineitem, TableSpec("lineitem")))
+    return Y.schema_report(spark, Y.resolve_types(lineitem, TableSpec("lineitem")))
 
 
 @query(

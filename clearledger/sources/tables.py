@@ -19,14 +19,13 @@ def ensure_database(spark: SparkSession, database: str, location: str | None = N
 
 
 @dataclass(frozen=True)
-class Refresh:
+class Staged:
     table: str
     location: str
-    rows_written: int
-    columns: int
+    n_rows: int
 
 
-def stage(df: DataFrame, root: str, table: str) -> Refresh:
+def stage(df: DataFrame, root: str, table: str) -> Staged:
     """Write a new version next to the current one, counting rows on the way.
 
     No shuffle: every scan task writes its own file. A lost executor only
@@ -34,11 +33,11 @@ def stage(df: DataFrame, root: str, table: str) -> Refresh:
     """
     location = f"{root.rstrip('/')}/{table}/version-{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(location)
-    return Refresh(table, location, seen.get["rows"], len(df.columns))
+    df.observe(seen, F.count(F.lit(1)).alias("n_rows")).write.parquet(location)
+    return Staged(table, location, seen.get["n_rows"])
 
 
-def publish(spark: SparkSession, database: str, staged: Refresh) -> None:
+def publish(spark: SparkSession, database: str, staged: Staged) -> None:
     """Point the table at the staged files.
 
     Readers see the old version until this metadata change, so a failed load
@@ -55,7 +54,7 @@ def publish(spark: SparkSession, database: str, staged: Refresh) -> None:
     spark.catalog.refreshTable(name)
 
 
-def refresh_table(df: DataFrame, database: str, root: str, table: str) -> Refresh:
+def refresh_table(df: DataFrame, database: str, root: str, table: str) -> Staged:
     """Replace ``database.table`` by ``df``; runs the write."""
     staged = stage(df, root, table)
     publish(df.sparkSession, database, staged)

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from clearledger.operators import catalog as C
+from clearledger.operators import records as X
 from clearledger.operators.typing import resolve_types
-from clearledger.plans.load import load_tables
+from clearledger.plans.load import load_table, load_tables
 from clearledger.session import shared_folder
 from clearledger.sources import jdbc
 from clearledger.sources.files import scan
@@ -40,6 +41,10 @@ def test_manifest_load(spark, place):
     report = load_tables(spark, f"{place}/raw", "loaded", f"{place}/tables").collect()
     assert {r.table_name for r in report} == {s.table for s in MANIFEST}
     assert all(r.n_rows == r.n_written == 200 and r.complete for r in report)
+    counts = {r.table_name: (r.n_rejected, r.n_visited, r.n_masked) for r in report}
+    assert counts == {
+        "emd": (0, 400, 400), "inpatient_movement": (0, 800, 800), "surgery": (0, 0, 0), "soc": (0, 0, 0),
+    }
     emd = spark.table("loaded.emd")
     row = emd.first()
     assert (row.PERIOD, row.RESIDENT_TEL, row.CONTACT_TEL) == ("a b", "8501 XXXX", "8501 XXXX")
@@ -52,6 +57,21 @@ def test_manifest_load(spark, place):
     assert all(r.n_rows == 200 for r in again)
 
 
+def test_counts_taken_while_writing(spark, place):
+    raw = spark.createDataFrame(
+        [("07:00", "98765432", "x"), ("25:00", "123", ""), ("", "", None), (None, None, "y")],
+        "at string, tel string, home string",
+    )
+    raw.write.parquet(f"{place}/visits.parquet")
+    ensure_database(spark, "counted", f"{place}/counted")
+    spec, policy = TableSpec("visits", time_columns=("at",)), MaskPolicy(phones=("tel",), redacted=("home",))
+    loaded = load_table(spark, spec, place, "counted", f"{place}/tables", policy)
+    assert (loaded.n_written, loaded.n_rejected, loaded.n_visited, loaded.n_masked) == (4, 1, 4, 3)
+    assert sorted(map(tuple, spark.table("counted.visits").collect()), key=str) == [
+        ("07:00:00", "9876 XXXX", "XXXXX"), (None, "123", None), (None, None, "XXXXX"), (None, None, None),
+    ]
+
+
 def test_catalog_of_loaded_tables(spark, place):
     ensure_database(spark, "small", f"{place}/small")
     refresh_table(spark.sql("SELECT 1L AS a, 'x' AS b, 1.5D AS c"), "small", place, "t1")
@@ -119,6 +139,26 @@ def test_continuous_load_equals_batch(spark, place):
     assert taken.count() == 200
 
 
+def test_records_on_a_stream(spark, place):
+    bodies = spark.sql(
+        """
+        SELECT CAST(id AS STRING) AS id, '/one/v1/chat/completions' AS path,
+               IF(id % 2 = 0, '{"messages":[{"role":"user","content":"x"}]}', 'broken') AS body
+        FROM range(50)
+        """
+    )
+    bodies.write.parquet(f"{place}/bodies")
+
+    def process(df):
+        routed = X.route_requests(df, "path", "body", X.Routes(("one",), "one", "m"))
+        return X.request_log(X.session_context(routed, "body", "id"), "id")
+
+    stream = process(intake.arriving(spark, f"{place}/bodies", bodies.schema))
+    intake.append_to(stream, f"{place}/logged", f"{place}/logged-progress").awaitTermination()
+    assert scan(spark, place, "logged").exceptAll(process(bodies)).count() == 0
+    assert scan(spark, place, "logged").count() == 25
+
+
 def test_shared_folder_is_required_off_a_single_machine(spark, monkeypatch):
     class Conf:
         def get(self, key, default=None):
