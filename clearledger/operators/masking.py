@@ -32,11 +32,15 @@ def apply_policy(df: DataFrame, policy: MaskPolicy) -> DataFrame:
     return df.withColumns(_masked(policy))
 
 
+def holds_pii(policy: MaskPolicy) -> Column:
+    """Whether any column of the policy has a value."""
+    return reduce(or_, [column(n).isNotNull() for n in policy.columns])
+
+
 def coverage(df: DataFrame, policy: MaskPolicy) -> DataFrame:
-    """Rows in which any column of the policy has a value."""
-    held = reduce(or_, [column(n).isNotNull() for n in policy.columns])
+    """Rows in which any column of the policy has a value, and all rows."""
     return df.agg(
-        F.count_if(held).alias("rows_with_pii"),
+        F.count_if(holds_pii(policy)).alias("rows_with_pii"),
         F.count(F.lit(1)).alias("rows_total"),
     )
 

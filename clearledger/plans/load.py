@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from clearledger.operators.counts import table_counts
-from clearledger.operators.masking import apply_policy, cell_metrics
+from clearledger.operators.masking import apply_policy, cell_metrics, holds_pii
 from clearledger.operators.typing import apply_types, reject_metrics, resolve_types
 from clearledger.sources.files import scan
 from clearledger.sources.small import small_table
@@ -39,6 +39,12 @@ def _total(seen: Observation | None, prefix: str = "") -> int:
     return sum(n for name, n in seen.get.items() if name.startswith(prefix)) if seen else 0
 
 
+def _mask_metrics(policy: MaskPolicy) -> dict[str, Column]:
+    pairs = cell_metrics(policy).items()
+    visited = {f"visited {n}": v for n, (v, _) in pairs}
+    return visited | {f"masked {n}": m for n, (_, m) in pairs}
+
+
 def load_table(
     spark: SparkSession,
     spec: TableSpec,
@@ -57,10 +63,7 @@ def load_table(
     counted, rejects = _observed(raw, reject_metrics(spec))
     frame, cells = apply_types(counted, spec, types), None
     if policy:
-        pairs = cell_metrics(policy).items()
-        visited = {f"visited {n}": v for n, (v, _) in pairs}
-        masked = {f"masked {n}": m for n, (_, m) in pairs}
-        frame, cells = _observed(frame, visited | masked)
+        frame, cells = _observed(frame, _mask_metrics(policy))
         frame = apply_policy(frame, policy)
     staged = refresh_table(frame, database, root, spec.table)
     return Loaded(
@@ -105,3 +108,34 @@ def load_tables(
         .join(small_table(spark, LOADED_FIELDS, loaded), "table_name")
         .withColumn("complete", F.col("n_rows") == F.col("n_written"))
     )
+
+
+@dataclass(frozen=True)
+class Masked:
+    """What masking a stored table met: rows, rows with a value, and cells."""
+
+    table: str
+    n_rows: int
+    n_with_pii: int
+    n_visited: int
+    n_masked: int
+
+
+def mask_stored_table(
+    spark: SparkSession, database: str, table: str, root: str, policy: MaskPolicy
+) -> Masked:
+    """Replace a table that was loaded unmasked by its masked version.
+
+    One pass that also takes the counts. The unmasked version stays on disk
+    until the caller removes it.
+    """
+    metrics = _mask_metrics(policy) | {"held": F.count_if(holds_pii(policy))}
+    stored, cells = _observed(spark.table(quoted(database, table)), metrics)
+    staged = refresh_table(apply_policy(stored, policy), database, root, table)
+    return Masked(
+        table,
+        staged.n_rows,
+        _total(cells, "held"),
+        _total(cells, "visited "),
+        _total(cells, "masked "),
+    )

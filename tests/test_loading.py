@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clearledger.operators import catalog as C
 from clearledger.operators import records as X
 from clearledger.operators.typing import resolve_types
-from clearledger.plans.load import load_table, load_tables
+from clearledger.plans.load import load_table, load_tables, mask_stored_table
 from clearledger.session import shared_folder
 from clearledger.sources import jdbc
 from clearledger.sources.files import scan
@@ -72,6 +72,30 @@ def test_counts_taken_while_writing(spark, place):
     ]
 
 
+def test_tables_without_rows(spark, place):
+    nothing = spark.createDataFrame([], "at string, tel string, x double")
+    nothing.write.parquet(f"{place}/nothing.parquet")
+    ensure_database(spark, "counted", f"{place}/counted")
+    spec, policy = TableSpec("nothing", time_columns=("at",)), MaskPolicy(phones=("tel",))
+    loaded = load_table(spark, spec, place, "counted", f"{place}/tables", policy)
+    assert loaded.n_written == loaded.n_rejected == loaded.n_visited == 0
+    assert spark.table("counted.nothing").dtypes == [("at", "string"), ("tel", "string"), ("x", "bigint")]
+
+
+def test_masking_a_stored_table(spark, place):
+    ensure_database(spark, "stored", f"{place}/stored")
+    raw = spark.createDataFrame([("9875 5676", "a"), ("12", None), (None, None)], "tel string, home string")
+    refresh_table(raw, "stored", place, "people")
+    policy = MaskPolicy(phones=("tel",), redacted=("home",))
+    first = mask_stored_table(spark, "stored", "people", place, policy)
+    assert (first.n_rows, first.n_with_pii, first.n_visited, first.n_masked) == (3, 2, 3, 2)
+    again = mask_stored_table(spark, "stored", "people", place, policy)
+    assert (again.n_visited, again.n_masked) == (3, 1)
+    assert sorted(map(tuple, spark.table("stored.people").collect()), key=str) == [
+        ("12", None), ("9875 XXXX", "XXXXX"), (None, None),
+    ]
+
+
 def test_catalog_of_loaded_tables(spark, place):
     ensure_database(spark, "small", f"{place}/small")
     refresh_table(spark.sql("SELECT 1L AS a, 'x' AS b, 1.5D AS c"), "small", place, "t1")
