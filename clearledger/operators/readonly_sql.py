@@ -19,8 +19,10 @@ OUTSIDE_CODE = (
     '"class":"org.apache.spark.sql.catalyst.plans.logical.ScriptTransformation"',
 )
 
-# Double quotes name columns, and tables cannot be reached by file path.
+# Double quotes name columns (in ANSI mode only), errors are raised rather than
+# turned into NULL, and tables cannot be reached by file path.
 QUERY_SETTINGS = {
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.ansi.doubleQuotedIdentifiers": "true",
     "spark.sql.runSQLOnFiles": "false",
 }

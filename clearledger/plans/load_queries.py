@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from clearledger.operators import typing as Y
 from clearledger.operators.counts import table_counts
-from clearledger.plans.load import load_table
-from clearledger.plans.registry import TABLES, query
+from clearledger.plans.load import load_table, load_tables
+from clearledger.plans.registry import SCRATCH, TABLES, query
 from clearledger.session import shared_folder
-from clearledger.sources.files import scan_table
+from clearledger.sources.files import scan, scan_table
 from clearledger.sources.tables import ensure_database, quoted
-from clearledger.specs import TableSpec
+from clearledger.specs import MaskPolicy, TableSpec
+from clearledger.streaming import intake
 
-SCRATCH = "clearledger_scratch"
 WIDTHS = dict(zip(TABLES, (2, 3, 5, 4, 6, 6, 11, 6, 5, 3, 3, 2, 3, 4), strict=True))
 
 
@@ -41,6 +41,54 @@ def refresh_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return spark.table(quoted(SCRATCH, "customer"))
 
 
+LOADED = ("customer", "supplier", "orders", "lineitem")
+
+
+@query(
+    " UNION ALL ".join(
+        f"""
+        SELECT '{t}' AS table_name, count(*) AS n_rows, {WIDTHS[t]} AS n_columns,
+               count(*) AS n_written, CAST(0 AS BIGINT) AS n_rejected,
+               {"count(*) FILTER (WHERE length(c_name) > 0)" if t == "customer" else "CAST(0 AS BIGINT)"}
+                   AS n_visited,
+               {"count(*) FILTER (WHERE length(c_name) > 0)" if t == "customer" else "CAST(0 AS BIGINT)"}
+                   AS n_masked,
+               true AS complete
+        FROM {t}
+        """
+        for t in LOADED
+    )
+)
+def load_report(spark: SparkSession, folder: str) -> DataFrame:
+    root = shared_folder(spark, "load")
+    database = f"{SCRATCH}_load"
+    ensure_database(spark, database, f"{root}/database")
+    manifest = [TableSpec(t) for t in LOADED]
+    policies = {"customer": MaskPolicy(redacted=("c_name",))}
+    return load_tables(spark, folder, database, root, manifest, policies)
+
+
+@query(
+    """
+    SELECT c_custkey, 'XXXXX' AS c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal,
+           c_mktsegment
+    FROM customer
+    """
+)
+def stream_intake(spark: SparkSession, folder: str) -> DataFrame:
+    root = shared_folder(spark, "intake")
+    source, spec = f"{folder}/customer*.parquet", TableSpec("customer")
+    raw = spark.read.parquet(source)
+    stream = intake.clean_and_mask(
+        intake.arriving(spark, source, raw.schema),
+        spec,
+        Y.resolve_types(raw, spec),
+        MaskPolicy(redacted=("c_name",)),
+    )
+    intake.append_to(stream, f"{root}/table", f"{root}/progress").awaitTermination()
+    return scan(spark, root, "table")
+
+
 BLANKED = "CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END"
 
 

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from clearledger.functions import text
 from clearledger.operators import masking as K
-from clearledger.plans.registry import query
+from clearledger.plans.load import mask_stored_table
+from clearledger.plans.registry import SCRATCH, query
+from clearledger.session import shared_folder
 from clearledger.sources.files import scan_table
+from clearledger.sources.tables import ensure_database, quoted, refresh_table
 from clearledger.specs import MaskPolicy
 
 # Phone texts built from a key, valid in both SQL dialects: empty, foreign, joined or spaced.
@@ -119,6 +122,21 @@ def policy_decode_mask(spark: SparkSession, folder: str) -> DataFrame:
     return K.apply_policy(_raw_contacts(spark, folder), DECODED_POLICY)
 
 
+@query(
+    f"""
+    SELECT c_custkey, {_duck_masked(_duck_decoded('home_tel'))} AS home_tel,
+           {_duck_masked(_duck_decoded('contact_tel'))} AS contact_tel
+    FROM ({DUCK_CONTACTS})
+    """
+)
+def mask_stored(spark: SparkSession, folder: str) -> DataFrame:
+    root = shared_folder(spark, "mask")
+    ensure_database(spark, SCRATCH, f"{root}/database")
+    refresh_table(_raw_contacts(spark, folder), SCRATCH, root, "contacts")
+    mask_stored_table(spark, SCRATCH, "contacts", root, DECODED_POLICY)
+    return spark.table(quoted(SCRATCH, "contacts"))
+
+
 SUPPLIER_COLUMNS = {
     "contact_tel": SUPPLIER_PHONE,
     "address1": "CASE WHEN s_suppkey % 4 > 0 THEN s_name ELSE '' END",
