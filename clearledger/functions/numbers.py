@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 RATIO_PREFIX = "1 : "
 NO_RATIO = "—"
 UNBOUNDED = "Infinity"
+UNDEFINED = "NaN"
 
 
 def without_nan(c: Column) -> Column:
@@ -16,9 +17,9 @@ def without_nan(c: Column) -> Column:
 
 
 def is_whole(c: Column) -> Column:
-    """True for whole numbers that fit a BIGINT; NULL where there is no value."""
-    value = without_nan(c.cast("double"))
-    return (value % 1 == 0) & (F.abs(value) < 9.2e18)
+    """Whether a double is whole and fits a BIGINT; NaN, a missing value, does not object."""
+    value = c.cast("double")
+    return F.isnan(value) | ((F.rint(value) == value) & (F.abs(value) < 9.2e18))
 
 
 def thousands(c: Column) -> Column:
@@ -56,9 +57,15 @@ def ratio(first: Column, repeat: Column) -> Column:
 
 
 def ratio_text(first: Column, repeat: Column, digits: int = 1) -> Column:
-    """``1 : x`` text; a dash without repeats, unbounded without firsts."""
+    """``1 : x`` text, with x as a number even where it has no finite value."""
     shown = (
-        F.when(first == 0, F.lit(UNBOUNDED))
+        F.when((first == 0) & (repeat == 0), F.lit(UNDEFINED))
+        .when(first == 0, F.lit(UNBOUNDED))
         .otherwise(fixed_decimals(ratio(first, repeat), digits))
     )
-    return F.when(repeat == 0, F.lit(NO_RATIO)).otherwise(F.concat(F.lit(RATIO_PREFIX), shown))
+    return F.concat(F.lit(RATIO_PREFIX), shown)
+
+
+def ratio_or_dash(first: Column, repeat: Column) -> Column:
+    """The same with one decimal, and a dash where there are no repeats."""
+    return F.when(repeat == 0, F.lit(NO_RATIO)).otherwise(ratio_text(first, repeat))

@@ -51,7 +51,7 @@ def with_shares(trend: DataFrame) -> DataFrame:
             "ratio": numbers.ratio(fv, rv),
             "fv_text": numbers.percent_text(fv, total),
             "rv_text": numbers.percent_text(rv, total),
-            "ratio_text": numbers.ratio_text(fv, rv),
+            "ratio_text": numbers.ratio_or_dash(fv, rv),
         }
     )
 

@@ -37,7 +37,9 @@ def monthly_trend(spark: SparkSession, folder: str) -> DataFrame:
     return trend(spark, folder)
 
 
-SHOWN_RATIO = "CASE WHEN rv = 0 THEN '—' WHEN fv = 0 THEN '1 : Infinity' ELSE '1 : ' || {} END"
+SHOWN_RATIO = """
+    '1 : ' || CASE WHEN fv = 0 AND rv = 0 THEN 'NaN' WHEN fv = 0 THEN 'Infinity' ELSE {} END
+"""
 
 
 def _duck_decimals(value: str, digits: int) -> str:
@@ -57,7 +59,8 @@ def _duck_ratio(digits: int) -> str:
     SELECT CAST(month AS TIMESTAMP) AS month, strftime(month, '%b %Y') AS month_label,
            round(fv / total * 100, 6) AS fv_share, round(rv / total * 100, 6) AS rv_share,
            round(rv / fv, 6) AS ratio, {_duck_percent('fv')} AS fv_text,
-           {_duck_percent('rv')} AS rv_text, {_duck_ratio(1)} AS ratio_text
+           {_duck_percent('rv')} AS rv_text,
+           CASE WHEN rv = 0 THEN '—' ELSE {_duck_ratio(1)} END AS ratio_text
     FROM ({DUCK_TREND})
     """
 )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
@@ -31,20 +32,27 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_settings_lock = threading.RLock()
+
+
 @contextmanager
 def session_conf(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
-    """Set runtime settings and put the previous ones back afterwards."""
-    before = {key: spark.conf.get(key, None) for key in settings}
-    try:
-        for key, value in settings.items():
-            spark.conf.set(key, value)
-        yield
-    finally:
-        for key, value in before.items():
-            if value is None:
-                spark.conf.unset(key)
-            else:
+    """Set runtime settings and put the previous ones back afterwards.
+
+    Threads that share a session take turns, so none sees another's settings.
+    """
+    with _settings_lock:
+        before = {key: spark.conf.get(key, None) for key in settings}
+        try:
+            for key, value in settings.items():
                 spark.conf.set(key, value)
+            yield
+        finally:
+            for key, value in before.items():
+                if value is None:
+                    spark.conf.unset(key)
+                else:
+                    spark.conf.set(key, value)
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -90,6 +91,19 @@ def test_settings_are_put_back(spark, tables):
     assert spark.sql("SELECT 1 FROM parquet.`/root/testdata/sf0.001/region.parquet`").count() == 5
 
 
+def test_threads_do_not_lift_each_others_guard(spark, tables):
+    files = "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`"
+
+    def attempt(i):
+        try:
+            return Q.run_query(spark, files if i % 2 else "SELECT 1 AS x") is not None and i % 2 == 0
+        except Exception:
+            return i % 2 == 1
+
+    with ThreadPoolExecutor(8) as pool:
+        assert all(pool.map(attempt, range(64)))
+
+
 def test_agent_form_never_raises(spark, tables):
     rows, error = Q.agent_query(spark, "SELECT CAST(1.50 AS DECIMAL(5,2)) AS price, DATE'2024-01-02' AS day")
     assert error is None

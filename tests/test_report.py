@@ -118,6 +118,14 @@ def test_nothing_to_divide_by(spark):
     assert third.ratio_text == "—"
 
 
+def test_numbers_stay_numbers_outside_the_table(spark):
+    trend = trend_of(spark, [(1, 2, 2, 0, 0), (2, 2, 0, 2, 0), (3, 1, 0, 0, 1)])
+    detail = [r.ratio_detail for r in R.trend_detail(trend).orderBy("month").collect()]
+    assert detail == ["1 : 0.00", "1 : Infinity", "1 : NaN"]
+    without_repeats = R.kpi_table(trend.where("rv = 0")).where("label = 'Avg FV:RV Ratio'").first()
+    assert without_repeats["value"] == "1 : 0.0"
+
+
 def test_period_over_several_years(spark):
     trend = trend_of(spark, [(2, 5, 5, 0, 0)]).union(
         spark.sql("SELECT TIMESTAMP_NTZ'2026-03-01' AS month, 9L, 4L, 5L, 0L")
