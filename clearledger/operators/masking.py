@@ -13,17 +13,22 @@ from clearledger.operators.typing import column
 from clearledger.specs import MaskPolicy
 
 
+def _cell(name: str) -> Column:
+    """A cell as text, so that a number kept as a number is masked too."""
+    return column(name).cast("string")
+
+
 def _masked(policy: MaskPolicy) -> dict[str, Column]:
     masked = {}
     for name in policy.escaped_phones:
-        value = column(name)
+        value = _cell(name)
         masked[name] = F.when(value == "", value).otherwise(
             text.mask_phone(text.decode_phone(value))
         )
     for name in policy.phones:
-        masked[name] = text.mask_phone(text.empty_to_null(column(name)))
+        masked[name] = text.mask_phone(text.empty_to_null(_cell(name)))
     for name in policy.redacted:
-        masked[name] = text.redact(column(name))
+        masked[name] = text.redact(_cell(name))
     return masked
 
 
@@ -47,8 +52,8 @@ def coverage(df: DataFrame, policy: MaskPolicy) -> DataFrame:
 
 def _fits(policy: MaskPolicy) -> dict[str, Column]:
     """Whether a cell that is visited ends up masked."""
-    fits = {n: text.is_phone(text.decode_phone(column(n))) for n in policy.escaped_phones}
-    fits |= {n: text.is_phone(column(n)) for n in policy.phones}
+    fits = {n: text.is_phone(text.decode_phone(_cell(n))) for n in policy.escaped_phones}
+    fits |= {n: text.is_phone(_cell(n)) for n in policy.phones}
     return fits | {n: F.lit(True) for n in policy.redacted}
 
 
@@ -56,7 +61,7 @@ def cell_metrics(policy: MaskPolicy) -> dict[str, tuple[Column, Column]]:
     """Aggregates over unmasked rows: cells visited and cells masked per column."""
     metrics = {}
     for name, fits in _fits(policy).items():
-        visited = column(name) != ""
+        visited = _cell(name) != ""
         metrics[name] = (F.count_if(visited), F.count_if(visited & fits))
     return metrics
 

@@ -68,6 +68,13 @@ def test_mask_and_redact_policy(spark):
     assert K.coverage(df, policy).first().rows_with_pii == 2
 
 
+def test_numbers_are_masked_as_text(spark):
+    df = spark.sql("SELECT 98755676L AS a, 98755676L AS b, 12.5D AS c")
+    policy = MaskPolicy(escaped_phones=("a",), phones=("b",), redacted=("c",))
+    assert tuple(K.apply_policy(df, policy).first()) == ("9875 XXXX", "9875 XXXX", "XXXXX")
+    assert [r.n_masked for r in K.mask_metrics(df, policy).collect()] == [1, 1, 1]
+
+
 def test_metrics_add_up(spark):
     df = column(spark, PHONES)
     row = K.mask_metrics(df, MaskPolicy(phones=("v",))).first()
