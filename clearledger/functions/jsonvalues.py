@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 from clearledger.functions.moments import iso_timestamp, iso_zoned_timestamp
 
+# Fixed value: how the text of a JSON object begins.
+OBJECT_START = r"^[ \t\n\r]*\{"
+
 JSON_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 JSON_SCALARS = (T.StringType, T.BooleanType, T.NullType, *JSON_NUMBERS)
 
@@ -21,8 +24,9 @@ def text_of(value: Column) -> Column:
     return value.cast("string")
 
 
-def is_object(document: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(document).startswith("OBJECT<"), F.lit(False))
+def begins_object(body: Column) -> Column:
+    """Whether the text of a JSON document is an object's, without walking it."""
+    return body.rlike(OBJECT_START)
 
 
 def is_text(value: Column) -> Column:
@@ -30,17 +34,20 @@ def is_text(value: Column) -> Column:
 
 
 def is_truthy(value: Column) -> Column:
-    """False for absent, null, ``""``, ``[]``, ``{}``, ``0`` and ``false``."""
+    """False for absent, null, ``""``, ``[]``, ``{}``, ``0`` and ``false``.
+
+    A first element settles the case of a list, however long it is.
+    """
     kind = F.schema_of_variant(value)
-    empty = (
-        F.when(kind.isNull() | kind.isin("VOID", "OBJECT<>"), True)
-        .when(kind == "STRING", text_of(value) == "")
-        .when(kind.startswith("ARRAY<"), F.try_variant_get(value, "$[0]", "variant").isNull())
-        .when(kind.startswith("OBJECT<"), False)
-        .when(kind == "BOOLEAN", text_of(value) == "false")
-        .otherwise(text_of(value).try_cast("double") == 0)
+    first = F.try_variant_get(value, "$[0]", "variant")
+    by_kind = (
+        F.when(kind.isin("VOID", "ARRAY<VOID>", "OBJECT<>"), False)
+        .when(kind == "STRING", text_of(value) != "")
+        .when(kind.startswith("OBJECT<"), True)
+        .when(kind == "BOOLEAN", text_of(value) == "true")
+        .otherwise(text_of(value).try_cast("double") != 0)
     )
-    return ~F.coalesce(empty, F.lit(False))
+    return F.when(value.isNull(), False).when(first.isNotNull(), True).otherwise(by_kind)
 
 
 def collapse_duplicates(df: DataFrame) -> DataFrame:

@@ -35,9 +35,19 @@ MESSAGE_LIST = "array<struct<role:string,content:variant>>"
 ROWS_PER_PART = 256
 
 
-def _parsed(df: DataFrame, body: str) -> DataFrame:
-    """Parse the body once; later columns read members off the VARIANT."""
-    return df.withColumn("document", F.try_parse_json(F.col(body)))
+def _parsed(df: DataFrame, body: str, *members: str) -> DataFrame:
+    """Parse the body once and take members out once, as VARIANT columns.
+
+    Adds ``document`` and ``member_<name>``; ``_dropped`` removes them. They
+    are steps of their own so that what follows can refer to them repeatedly
+    without repeating the work.
+    """
+    parsed = df.withColumn("document", F.try_parse_json(F.col(body)))
+    return parsed.withColumns({f"member_{m}": J.field(F.col("document"), m) for m in members})
+
+
+def _dropped(df: DataFrame, *members: str) -> DataFrame:
+    return df.drop("document", *[f"member_{m}" for m in members])
 
 
 def normalise_requests(df: DataFrame, body: str) -> DataFrame:
@@ -46,11 +56,11 @@ def normalise_requests(df: DataFrame, body: str) -> DataFrame:
     ``messages`` is the body's list or, if that is empty, the first non-empty
     of ``prompt``, ``input`` and ``inputText`` as one user message.
     """
-    document = F.col("document")
-    given = J.field(document, "messages")
+    members = ("messages", *PROMPT_MEMBERS)
+    given = F.col("member_messages")
     prompt = F.coalesce(
         *[
-            F.when(J.is_truthy(J.field(document, m)), J.field(document, m))
+            F.when(J.is_truthy(F.col(f"member_{m}")), F.col(f"member_{m}"))
             for m in PROMPT_MEMBERS
         ]
     )
@@ -61,31 +71,29 @@ def normalise_requests(df: DataFrame, body: str) -> DataFrame:
         )
     )
     status = (
-        F.when(document.isNull(), STATUS_BAD_REQUEST)
-        .when(~J.is_object(document), STATUS_FAILED)
+        F.when(F.col("document").isNull(), STATUS_BAD_REQUEST)
+        .when(~J.begins_object(F.col(body)), STATUS_FAILED)
         .when(~F.col("has_messages") & F.col("prompt").isNull(), STATUS_BAD_REQUEST)
         .otherwise(STATUS_OK)
     )
     error = (
-        F.when(document.isNull(), NOT_JSON)
+        F.when(F.col("document").isNull(), NOT_JSON)
         .when(F.col("status") == STATUS_FAILED, NOT_OBJECT)
         .when(F.col("status") == STATUS_BAD_REQUEST, NO_INPUT)
     )
     listed = F.try_variant_get(given, "$", MESSAGE_LIST)
-    return (
-        _parsed(df, body)
+    messages = F.when(
+        F.col("status") == STATUS_OK,
+        F.when(F.col("has_messages"), listed).otherwise(from_prompt),
+    )
+    normalised = (
+        _parsed(df, body, *members)
         .withColumns({"has_messages": J.is_truthy(given), "prompt": prompt})
         .withColumn("status", status)
         .withColumn("error", error)
-        .withColumn(
-            "messages",
-            F.when(
-                F.col("status") == STATUS_OK,
-                F.when(F.col("has_messages"), listed).otherwise(from_prompt),
-            ),
-        )
-        .drop("document", "has_messages", "prompt")
+        .withColumn("messages", messages)
     )
+    return _dropped(normalised, *members).drop("has_messages", "prompt")
 
 
 def text_messages(messages: Column) -> Column:
@@ -98,19 +106,16 @@ def text_messages(messages: Column) -> Column:
 
 def session_context(df: DataFrame, body: str, request_id: str) -> DataFrame:
     """Adds ``session_id`` (a stable digest where none is given) and ``user_id``."""
-    document = F.col("document")
-    chat = J.field(document, "chat_id")
+    chat = F.col("member_chat_id")
     generated = M.stable_id(F.col(request_id))
-    return (
-        _parsed(df, body)
-        .withColumns(
-            {
-                "session_id": F.when(J.is_truthy(chat), J.text_of(chat)).otherwise(generated),
-                "user_id": F.try_variant_get(document, "$.model_item.info.user_id", "string"),
-            }
-        )
-        .drop("document")
+    user = F.try_variant_get(F.col("document"), "$.model_item.info.user_id", "string")
+    found = _parsed(df, body, "chat_id").withColumns(
+        {
+            "session_id": F.when(J.is_truthy(chat), J.text_of(chat)).otherwise(generated),
+            "user_id": user,
+        }
     )
+    return _dropped(found, "chat_id")
 
 
 def block_messages(df: DataFrame, body: str) -> DataFrame:
@@ -123,7 +128,7 @@ def block_messages(df: DataFrame, body: str) -> DataFrame:
             M.content_blocks(m["content"]).alias("content"),
         ),
     )
-    return _parsed(df, body).withColumn("messages", normalised).drop("document")
+    return _dropped(_parsed(df, body).withColumn("messages", normalised))
 
 
 @dataclass(frozen=True)
@@ -148,14 +153,13 @@ def route_requests(df: DataFrame, path: str, body: str, routes: Routes) -> DataF
     named = text.empty_to_null(F.regexp_extract(F.col(path), ROUTE_PATTERN, 1))
     is_bare = F.col(path).rlike(ROUTE_PATTERN) & named.isNull()
     route = F.when(is_bare, routes.default).otherwise(F.coalesce(named, F.col(path)))
-    given = J.field(document, "messages")
-    model = J.field(document, "model")
-    stream = J.field(document, "stream")
+    members = ("messages", "model", "stream")
+    given, model, stream = (F.col(f"member_{m}") for m in members)
     own_name = F.when(is_bare, routes.default_model).otherwise(F.col("route"))
     status = (
         F.when(F.col("known_route").isNull(), STATUS_NOT_FOUND)
         .when(document.isNull(), STATUS_BAD_REQUEST)
-        .when(~J.is_object(document), STATUS_FAILED)
+        .when(~J.begins_object(F.col(body)), STATUS_FAILED)
         .when(~J.is_truthy(given), STATUS_BAD_REQUEST)
         .otherwise(STATUS_OK)
     )
@@ -168,8 +172,8 @@ def route_requests(df: DataFrame, path: str, body: str, routes: Routes) -> DataF
     accepted = F.col("status") == STATUS_OK
     known = routes.table(df.sparkSession)
     listed = F.try_variant_get(given, "$", "array<variant>")
-    return (
-        _parsed(df, body)
+    routed = (
+        _parsed(df, body, *members)
         .withColumn("route", route)
         .join(known, F.col("route") == F.col("known_route"), "left")
         .withColumn("status", status)
@@ -181,8 +185,8 @@ def route_requests(df: DataFrame, path: str, body: str, routes: Routes) -> DataF
                 "n_messages": F.when(accepted, F.size(listed)),
             }
         )
-        .drop("document", "known_route")
     )
+    return _dropped(routed, *members).drop("known_route")
 
 
 def request_log(routed: DataFrame, *keys: str) -> DataFrame:
@@ -207,19 +211,15 @@ def request_summary(routed: DataFrame) -> DataFrame:
 
 def unwrap_results(df: DataFrame, payload: str) -> DataFrame:
     """Adds ``result`` (empty if absent) and ``answer`` (the payload if absent)."""
-    document = F.col("document")
-    result = J.text_of(J.field(document, "result"))
-    present = J.field(document, "result").isNotNull()
-    return (
-        _parsed(df, payload)
-        .withColumns(
-            {
-                "result": F.when(present, result).otherwise(F.lit("")),
-                "answer": F.when(present, result).otherwise(F.col(payload)),
-            }
-        )
-        .drop("document")
+    result = J.text_of(F.col("member_result"))
+    present = F.col("member_result").isNotNull()
+    unwrapped = _parsed(df, payload, "result").withColumns(
+        {
+            "result": F.when(present, result).otherwise(F.lit("")),
+            "answer": F.when(present, result).otherwise(F.col(payload)),
+        }
     )
+    return _dropped(unwrapped, "result")
 
 
 def with_validity(df: DataFrame, role: str, content: str) -> DataFrame:

@@ -254,10 +254,10 @@ def _routed(spark: SparkSession, folder: str) -> DataFrame:
     """Requests with a path: bare, to either known route, or to an unknown one."""
     place = F.col("conv_id") % 4
     path = (
-        F.when(place == 0, "/v1/chat/completions")
-        .when(place == 1, "/main/v1/chat/completions")
+        F.when(place == 1, "/main/v1/chat/completions")
         .when(place == 2, "/tools/v1/chat/completions")
-        .otherwise("/other/v1/chat/completions")
+        .when(place == 3, "/other/v1/chat/completions")
+        .otherwise("/v1/chat/completions")
     )
     requests = _requests(spark, folder).withColumn("path", path)
     return X.route_requests(requests, "path", "body", ROUTES)
@@ -265,7 +265,7 @@ def _routed(spark: SparkSession, folder: str) -> DataFrame:
 
 DUCK_ROUTED = f"""
     SELECT *,
-           CASE WHEN status = 200 THEN CASE WHEN shape = 6 THEN 'small' WHEN place = 0 THEN 'assistant'
+           CASE WHEN status = 200 THEN CASE WHEN shape = 6 THEN 'small' WHEN place NOT IN (1, 2, 3) THEN 'assistant'
                 ELSE route END END AS model,
            CASE WHEN status = 200 THEN shape = 0 END AS stream,
            CASE WHEN status = 200 THEN CASE WHEN shape = 6 THEN 2 ELSE 1 END END AS n_messages
