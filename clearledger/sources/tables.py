@@ -13,8 +13,13 @@ def quoted(*parts: str) -> str:
     return ".".join(f"`{p.replace('`', '``')}`" for p in parts)
 
 
+def _literal(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def ensure_database(spark: SparkSession, database: str, location: str | None = None) -> None:
-    where = f" LOCATION '{location}'" if location else ""
+    where = f" LOCATION {_literal(location)}" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(database)}{where}")
 
 
@@ -42,15 +47,16 @@ def publish(spark: SparkSession, database: str, staged: Staged) -> None:
 
     Readers see the old version until this metadata change, so a failed load
     never leaves an empty table. A table whose columns are unchanged only gets
-    a new location; otherwise it is declared anew. Older versions stay on disk.
+    a new location. Otherwise it is dropped and declared anew, and for the moment
+    between the two statements there is no table. Older versions stay on disk.
     """
     name = quoted(database, staged.table)
     new_schema = spark.read.parquet(staged.location).schema
     if spark.catalog.tableExists(name) and spark.table(name).schema == new_schema:
-        spark.sql(f"ALTER TABLE {name} SET LOCATION '{staged.location}'")
+        spark.sql(f"ALTER TABLE {name} SET LOCATION {_literal(staged.location)}")
     else:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{staged.location}'")
+        spark.sql(f"CREATE TABLE {name} USING parquet LOCATION {_literal(staged.location)}")
     spark.catalog.refreshTable(name)
 
 

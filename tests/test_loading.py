@@ -130,6 +130,9 @@ def test_replacing_a_table(spark, place):
     assert spark.table(name).count() == 5
     refresh_table(spark.sql("SELECT 'x' AS other"), "swaps", place, "t")
     assert [tuple(r) for r in spark.table(name).collect()] == [("x",)]
+    refresh_table(spark.range(3), "swaps", f"{place}/it's here", "quoted")
+    refresh_table(spark.range(4), "swaps", f"{place}/it's here", "quoted")
+    assert spark.table(quoted("swaps", "quoted")).count() == 4
 
 
 def test_failed_load_keeps_the_table(spark, place):
