@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import threading
 import uuid
 from collections.abc import Iterator, Mapping
@@ -56,13 +55,12 @@ def session_conf(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[N
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the cluster's shared checkpoint directory.
+    """A new folder that all executors share, for tables between the steps of a job.
 
-    Only a local session without that setting may use a machine-local folder.
+    Below spark.checkpoint.dir. A session without that setting, such as one in
+    a test, uses its warehouse, which every executor reaches as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-        root = tempfile.mkdtemp(prefix="clearledger-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_between"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
