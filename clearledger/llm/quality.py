@@ -105,7 +105,8 @@ def rejected_hosts(flagged: DataFrame, host: str, max_rates: Mapping[str, float]
     worst = over[0]
     for one in over[1:]:
         worst = worst | one
-    return rates.where(worst).select("host")
+    # Written, so that Spark knows the size: it broadcasts a list below its threshold and deals out a longer one.
+    return stored(rates.where(worst).select("host"), "quality-hosts")
 
 
 def judged(

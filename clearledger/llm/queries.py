@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearledger.llm import chat, quality, simhash
+from clearledger.llm import chat, packing, pii, quality, simhash, toxicity
 from clearledger.llm.common import scan_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,31 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(scan_table(spark, sf_dir, "documents"), scan_table(spark, sf_dir, "labels"))
+
+
+@query()
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.pack_documents(scan_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query()
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.with_spans(scan_table(spark, sf_dir, "documents"), keep=("doc_id",))
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return rows.select(
+        "doc_id",
+        *(count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)),
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
