@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearledger.llm import chat, packing, pii, quality, simhash, toxicity
+from clearledger.llm import ann, chat, licenses, packing, pii, quality, secrets, segmentation, simhash, toxicity
 from clearledger.llm.common import scan_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query()
+def op1_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(scan_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query()
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(scan_table(spark, sf_dir, "documents"))
@@ -86,3 +91,32 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
         pii.listed(F.col("spans")).alias("spans"),
     )
+
+
+@query()
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licence_scan(scan_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation, as data for training with subword regularisation."""
+    turns = scan_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    keys = ("conv_id", "turn")
+    drawn = segmentation.decoded(segmentation.sampled_segmentations(turns, keys))
+    digest = F.xxhash64("decoded")
+    return drawn.select(
+        *keys, "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+        digest.alias("text_hash"), "log_prob", "perturbed", "inclusion",
+    )
+
+
+@query()
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_findings(spark))
+    rows = secrets.secret_scan(scan_table(spark, sf_dir, "documents"), model)
+    span = F.transform("secrets", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return rows.select(
+        "doc_id", F.col("n_candidates").cast("long").alias("n_candidates"),
+        F.size("secrets").cast("long").alias("n_secrets"), F.array_join(span, ",").alias("spans"),
+    )
