@@ -234,3 +234,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that score below the threshold, with all their columns as they were."""
+    score = "__toxicity_score"
+    return scored(docs, train(docs, labels, key, text), text, score).where(F.col(score) < THRESHOLD).drop(score)
