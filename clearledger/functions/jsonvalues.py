@@ -50,12 +50,18 @@ def is_truthy(value: Column) -> Column:
     return F.when(value.isNull(), False).when(first.isNotNull(), True).otherwise(by_kind)
 
 
+def _numbered(df: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """Columns by place, and for each name, as written, the place of its last column.
+
+    Names may repeat or differ by case only, so nothing is looked up by name.
+    """
+    last = {name: i for i, name in enumerate(df.columns)}
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), last
+
+
 def collapse_duplicates(df: DataFrame) -> DataFrame:
     """Keep one column per name: the place of the first, the value of the last."""
-    if len(set(df.columns)) == len(df.columns):
-        return df
-    last = {name: i for i, name in enumerate(df.columns)}
-    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    numbered, last = _numbered(df)
     return numbered.select(*[F.col(f"c{i}").alias(name) for name, i in last.items()])
 
 
@@ -65,7 +71,13 @@ def _nested(c: Column, kind: T.DataType, leaf) -> Column:
     if isinstance(kind, T.MapType):
         return F.transform_values(c, lambda _, v: _nested(v, kind.valueType, leaf))
     if isinstance(kind, T.StructType):
-        fields = [_nested(c.getField(f.name), f.dataType, leaf).alias(f.name) for f in kind.fields]
+        names = [f.name for f in kind.fields]
+        if len({n.lower() for n in names}) < len(names):  # then fields are told apart by place only
+            names = [f"f{i}" for i in range(len(names))]
+            c = c.cast(T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, kind.fields, strict=True)]))
+        fields = [
+            _nested(c.getField(n), f.dataType, leaf).alias(f.name) for n, f in zip(names, kind.fields, strict=True)
+        ]
         return F.when(c.isNotNull(), F.struct(*fields))
     return leaf(c, kind)
 
@@ -95,9 +107,9 @@ def _lenient_leaf(c: Column, kind: T.DataType) -> Column:
 
 
 def _ready(df: DataFrame, leaf) -> DataFrame:
-    df = collapse_duplicates(df)
-    quoted = [(F.col(f"`{f.name.replace('`', '``')}`"), f) for f in df.schema.fields]
-    return df.select(*[_nested(c, f.dataType, leaf).alias(f.name) for c, f in quoted])
+    kinds = [f.dataType for f in df.schema.fields]
+    numbered, last = _numbered(df)
+    return numbered.select(*[_nested(F.col(f"c{i}"), kinds[i], leaf).alias(name) for name, i in last.items()])
 
 
 def json_ready(df: DataFrame, stringify: bool = False) -> DataFrame:

@@ -18,18 +18,24 @@ FINISH_REASON = "stop"
 CHUNK_PREFIX = "data: "
 CHUNK_END = "\n\n"
 STREAM_END = "data: [DONE]\n\n"
+NO_VALUE = "None"
 
 
 def capitalized(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 2147483647)))
 
 
+def shown(c: Column) -> Column:
+    """A text as a prompt shows it: a NULL has its place there, it is never left out."""
+    return F.coalesce(c, F.lit(NO_VALUE))
+
+
 def history_line(role: Column, content: Column) -> Column:
-    return F.concat(capitalized(role), F.lit(": "), content)
+    return F.concat(capitalized(shown(role)), F.lit(": "), shown(content))
 
 
 def question_lines(content: Column) -> Column:
-    return F.concat(F.lit("\n" + QUESTION_HEADING), content)
+    return F.concat(F.lit("\n" + QUESTION_HEADING), shown(content))
 
 
 def prompt_of(messages: Column) -> Column:
@@ -54,10 +60,20 @@ def prompt_of(messages: Column) -> Column:
 
 
 def content_blocks(content: Column) -> Column:
-    """VARIANT content as ``ARRAY<STRUCT<text>>``: text is wrapped, lists stay."""
-    blocks = F.try_variant_get(content, "$", "array<struct<text:string>>")
-    wrapped = F.array(F.struct(J.text_of(content).alias("text")))
-    return F.when(J.is_text(content), wrapped).otherwise(blocks)
+    """VARIANT content as ``ARRAY<VARIANT>`` of blocks.
+
+    A list stays as it is, block by block with all members. Text becomes one
+    block, as does absent content, which counts as empty text. Any other value
+    is a block itself.
+    """
+    text = F.coalesce(J.text_of(content), F.lit(""))
+    wrapped = F.array(F.to_variant_object(F.struct(text.alias("text"))))
+    blocks = F.try_variant_get(content, "$", "array<variant>")
+    return F.when(content.isNull() | J.is_text(content), wrapped).otherwise(F.coalesce(blocks, F.array(content)))
+
+
+def block_text(block: Column) -> Column:
+    return F.try_variant_get(block, "$.text", "string")
 
 
 def delta_text(event: Column) -> Column:
@@ -71,8 +87,14 @@ def assembled_text(events: Column) -> Column:
 
 
 def stable_id(*key: Column, digits: int = 64) -> Column:
-    """Hex digest of a record key, in place of a random identifier."""
-    return F.substring(F.sha2(F.concat_ws(":", *[k.cast("string") for k in key]), 256), 1, digits)
+    """Hex digest of a record key, in place of a random identifier.
+
+    Taken of the key as a JSON object with NULL members, so that keys differ
+    wherever a part does. Twelve digits collide from some ten million records
+    on: keep the key columns beside a short identifier.
+    """
+    parts = F.struct(*[k.cast("string").alias(f"k{i}") for i, k in enumerate(key)])
+    return F.substring(F.sha2(J.to_json_text(parts), 256), 1, digits)
 
 
 def completion_id(*key: Column) -> Column:

@@ -10,6 +10,8 @@ RATIO_PREFIX = "1 : "
 NO_RATIO = "—"
 UNBOUNDED = "Infinity"
 UNDEFINED = "NaN"
+# The first double beyond a BIGINT; its negative is the least BIGINT.
+BIGINT_END = 2.0**63
 
 
 def without_nan(c: Column) -> Column:
@@ -19,7 +21,8 @@ def without_nan(c: Column) -> Column:
 def is_whole(c: Column) -> Column:
     """Whether a double is whole and fits a BIGINT; NaN, a missing value, does not object."""
     value = c.cast("double")
-    return F.isnan(value) | ((F.rint(value) == value) & (F.abs(value) < 9.2e18))
+    fits = (value >= -BIGINT_END) & (value < BIGINT_END)
+    return F.isnan(value) | ((F.rint(value) == value) & fits)
 
 
 def thousands(c: Column) -> Column:

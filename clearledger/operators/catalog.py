@@ -89,16 +89,17 @@ def catalog_of(spark: SparkSession, schemas: Mapping[str, T.StructType], name: s
 def session_catalog(spark: SparkSession, database: str | None = None) -> Catalog:
     """Metadata of a database's tables, read anew at each call.
 
-    Temporary views are listed without a schema of their own and marked as
-    views, so the operators below leave them out.
+    Temporary views belong to the session and may be called like a table: they are
+    listed under an empty schema and marked as views, so the operators below leave them out.
     """
     database = database or spark.catalog.currentDatabase()
     tables, columns = [], []
     for entry in spark.catalog.listTables(database):
         is_view = entry.isTemporary or entry.tableType == "VIEW"
-        tables.append((database, entry.name, "VIEW" if is_view else BASE_TABLE))
+        schema = "" if entry.isTemporary else database
+        tables.append((schema, entry.name, "VIEW" if is_view else BASE_TABLE))
         path = [entry.name] if entry.isTemporary else [database, entry.name]
-        columns += _column_rows(database, entry.name, spark.table(quoted(*path)).schema)
+        columns += _column_rows(schema, entry.name, spark.table(quoted(*path)).schema)
     return Catalog(
         small_table(spark, TABLE_FIELDS, tables),
         small_table(spark, COLUMN_FIELDS, columns),

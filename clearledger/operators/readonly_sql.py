@@ -61,7 +61,11 @@ def query_as_json(spark: SparkSession, query: str | None, stringify: bool = Fals
 
 
 def agent_query(spark: SparkSession, query: str | None) -> tuple[DataFrame | None, str | None]:
-    """JSON rows or the error text, never an exception."""
+    """JSON rows or the error text of a query that cannot be run.
+
+    Errors in single rows are raised when they are computed; ``written_answer``
+    in ``tool_events`` reports those too.
+    """
     try:
         checked_query(query, on_empty=ONLY_SELECT)
         return query_as_json(spark, query, stringify=True), None

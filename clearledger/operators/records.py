@@ -1,7 +1,7 @@
 """Chat requests, turns and responses as tables.
 
-Request bodies are whole in their row, so most of these are projections. Only
-turns and stream events kept one per row need grouping; see ``join_parts``.
+Request bodies are whole in their row, so most of these are projections. Turns
+and stream events that come one per row stay one per row: nothing is gathered.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ ROUTE_PATTERN = r"^(?:/([^/]+))?/v1/chat/completions$"
 STATUS_OK = 200
 STATUS_BAD_REQUEST = 400
 STATUS_NOT_FOUND = 404
+STATUS_TOO_LARGE = 413
 STATUS_FAILED = 500
 NOT_JSON = "Body is not valid JSON"
 INVALID_JSON = "invalid JSON body"
@@ -30,9 +31,17 @@ NO_INPUT = "provide 'messages' or 'prompt'"
 NO_MESSAGES = "messages must not be empty"
 UNKNOWN_ROUTE = "Unknown runtime: "
 NOT_OBJECT = "Internal Server Error"
+TOO_LARGE = "Body is too large"
 
 MESSAGE_LIST = "array<struct<role:string,content:variant>>"
-ROWS_PER_PART = 256
+# Parsed bodies are bounded at 128 MiB and take up to four times their text.
+MAX_BODY_BYTES = 32 * 1024 * 1024
+
+
+def parse_bodies(df: DataFrame, body: str) -> DataFrame:
+    """Adds ``document``. Operators that find it there don't parse again and leave it in place."""
+    readable = F.when(F.octet_length(F.col(body)) <= MAX_BODY_BYTES, F.col(body))
+    return df.withColumn("document", F.try_parse_json(readable))
 
 
 def _parsed(df: DataFrame, body: str, *members: str) -> DataFrame:
@@ -42,19 +51,32 @@ def _parsed(df: DataFrame, body: str, *members: str) -> DataFrame:
     are steps of their own so that what follows can refer to them repeatedly
     without repeating the work.
     """
-    parsed = df.withColumn("document", F.try_parse_json(F.col(body)))
+    parsed = df if "document" in df.columns else parse_bodies(df, body)
     return parsed.withColumns({f"member_{m}": J.field(F.col("document"), m) for m in members})
 
 
-def _dropped(df: DataFrame, *members: str) -> DataFrame:
-    return df.drop("document", *[f"member_{m}" for m in members])
+def _dropped(df: DataFrame, given: DataFrame, *members: str) -> DataFrame:
+    own = () if "document" in given.columns else ("document",)
+    return df.drop(*own, *[f"member_{m}" for m in members])
+
+
+def _objects(listed: Column) -> Column:
+    """Whether a list of VARIANTs is there and holds objects only."""
+    one = lambda m: F.coalesce(F.schema_of_variant(m).startswith("OBJECT<"), F.lit(False))
+    return F.coalesce(F.forall(listed, one), F.lit(False))
+
+
+def _too_large(body: str) -> Column:
+    return F.octet_length(F.col(body)) > MAX_BODY_BYTES
 
 
 def normalise_requests(df: DataFrame, body: str) -> DataFrame:
     """Adds ``status``, ``error`` and ``messages``.
 
     ``messages`` is the body's list or, if that is empty, the first non-empty
-    of ``prompt``, ``input`` and ``inputText`` as one user message.
+    of ``prompt``, ``input`` and ``inputText`` as one user message. A list whose
+    entries are no objects, lack a content, or lack a role before the last one
+    cannot be used, which is a failure; so is a value that is no list.
     """
     members = ("messages", *PROMPT_MEMBERS)
     given = F.col("member_messages")
@@ -70,30 +92,43 @@ def normalise_requests(df: DataFrame, body: str) -> DataFrame:
             J.text_of(F.col("prompt")).cast("variant").alias("content"),
         )
     )
+    listed = F.col("listed")
+    usable = listed.isNotNull() & ~(
+        F.exists(listed, lambda m: m.isNull() | m["content"].isNull())
+        | F.exists(F.slice(listed, F.lit(1), F.greatest(F.size(listed) - 1, F.lit(0))), lambda m: m["role"].isNull())
+    )
     status = (
-        F.when(F.col("document").isNull(), STATUS_BAD_REQUEST)
+        F.when(_too_large(body), STATUS_TOO_LARGE)
+        .when(F.col("document").isNull(), STATUS_BAD_REQUEST)
         .when(~J.begins_object(F.col(body)), STATUS_FAILED)
+        .when(F.col("has_messages") & ~F.coalesce(usable, F.lit(False)), STATUS_FAILED)
         .when(~F.col("has_messages") & F.col("prompt").isNull(), STATUS_BAD_REQUEST)
         .otherwise(STATUS_OK)
     )
     error = (
-        F.when(F.col("document").isNull(), NOT_JSON)
+        F.when(F.col("status") == STATUS_TOO_LARGE, TOO_LARGE)
+        .when(F.col("document").isNull(), NOT_JSON)
         .when(F.col("status") == STATUS_FAILED, NOT_OBJECT)
         .when(F.col("status") == STATUS_BAD_REQUEST, NO_INPUT)
     )
-    listed = F.try_variant_get(given, "$", MESSAGE_LIST)
     messages = F.when(
         F.col("status") == STATUS_OK,
         F.when(F.col("has_messages"), listed).otherwise(from_prompt),
     )
     normalised = (
         _parsed(df, body, *members)
-        .withColumns({"has_messages": J.is_truthy(given), "prompt": prompt})
+        .withColumns(
+            {
+                "has_messages": J.is_truthy(given),
+                "prompt": prompt,
+                "listed": F.try_variant_get(given, "$", MESSAGE_LIST),
+            }
+        )
         .withColumn("status", status)
         .withColumn("error", error)
         .withColumn("messages", messages)
     )
-    return _dropped(normalised, *members).drop("has_messages", "prompt")
+    return _dropped(normalised, df, *members).drop("has_messages", "prompt", "listed")
 
 
 def text_messages(messages: Column) -> Column:
@@ -105,9 +140,12 @@ def text_messages(messages: Column) -> Column:
 
 
 def session_context(df: DataFrame, body: str, request_id: str) -> DataFrame:
-    """Adds ``session_id`` (a stable digest where none is given) and ``user_id``."""
+    """Adds ``session_id`` (a stable digest where none is given) and ``user_id``.
+
+    Without a chat nor a request id there is nothing to tell sessions apart by: NULL.
+    """
     chat = F.col("member_chat_id")
-    generated = M.stable_id(F.col(request_id))
+    generated = F.when(F.col(request_id).isNotNull(), M.stable_id(F.col(request_id)))
     user = F.try_variant_get(F.col("document"), "$.model_item.info.user_id", "string")
     found = _parsed(df, body, "chat_id").withColumns(
         {
@@ -115,11 +153,15 @@ def session_context(df: DataFrame, body: str, request_id: str) -> DataFrame:
             "user_id": user,
         }
     )
-    return _dropped(found, "chat_id")
+    return _dropped(found, df, "chat_id")
 
 
 def block_messages(df: DataFrame, body: str) -> DataFrame:
-    """Adds ``messages`` with every content as a list of text blocks."""
+    """Adds ``messages`` with every content as a list of blocks, VARIANTs with all their members.
+
+    NULL where the body's messages are no list of objects.
+    """
+    usable = _objects(F.try_variant_get(F.col("document"), "$.messages", "array<variant>"))
     listed = F.try_variant_get(F.col("document"), "$.messages", MESSAGE_LIST)
     normalised = F.transform(
         listed,
@@ -128,7 +170,7 @@ def block_messages(df: DataFrame, body: str) -> DataFrame:
             M.content_blocks(m["content"]).alias("content"),
         ),
     )
-    return _dropped(_parsed(df, body).withColumn("messages", normalised))
+    return _dropped(_parsed(df, body).withColumn("messages", F.when(usable, normalised)), df)
 
 
 @dataclass(frozen=True)
@@ -139,6 +181,10 @@ class Routes:
     default: str
     default_model: str
 
+    def __post_init__(self) -> None:
+        if len(set(self.names)) != len(self.names):
+            raise ValueError("A route is named twice")
+
     def table(self, spark: SparkSession) -> DataFrame:
         return small_table(spark, {"known_route": "string"}, [(n,) for n in self.names])
 
@@ -147,31 +193,36 @@ def route_requests(df: DataFrame, path: str, body: str, routes: Routes) -> DataF
     """Adds ``route``, ``status``, ``error``, ``model``, ``stream`` and ``n_messages``.
 
     An unknown route is reported before a bad body, and that before missing
-    messages. A bare path means the default route and model.
+    messages. A bare path means the default route and model; a path of another
+    shape has no route. Messages that are no list of objects are a failure.
     """
     document = F.col("document")
     named = text.empty_to_null(F.regexp_extract(F.col(path), ROUTE_PATTERN, 1))
     is_bare = F.col(path).rlike(ROUTE_PATTERN) & named.isNull()
-    route = F.when(is_bare, routes.default).otherwise(F.coalesce(named, F.col(path)))
+    route = F.when(is_bare, routes.default).otherwise(named)
     members = ("messages", "model", "stream")
     given, model, stream = (F.col(f"member_{m}") for m in members)
     own_name = F.when(is_bare, routes.default_model).otherwise(F.col("route"))
+    listed = F.try_variant_get(given, "$", "array<variant>")
+    usable = _objects(listed)
     status = (
         F.when(F.col("known_route").isNull(), STATUS_NOT_FOUND)
+        .when(_too_large(body), STATUS_TOO_LARGE)
         .when(document.isNull(), STATUS_BAD_REQUEST)
         .when(~J.begins_object(F.col(body)), STATUS_FAILED)
         .when(~J.is_truthy(given), STATUS_BAD_REQUEST)
+        .when(~usable, STATUS_FAILED)
         .otherwise(STATUS_OK)
     )
     error = (
-        F.when(F.col("status") == STATUS_NOT_FOUND, F.concat(F.lit(UNKNOWN_ROUTE), F.col("route")))
+        F.when(F.col("status") == STATUS_NOT_FOUND, F.concat(F.lit(UNKNOWN_ROUTE), F.coalesce("route", F.col(path))))
+        .when(F.col("status") == STATUS_TOO_LARGE, TOO_LARGE)
         .when(document.isNull(), INVALID_JSON)
         .when(F.col("status") == STATUS_FAILED, NOT_OBJECT)
         .when(F.col("status") == STATUS_BAD_REQUEST, NO_MESSAGES)
     )
     accepted = F.col("status") == STATUS_OK
     known = routes.table(df.sparkSession)
-    listed = F.try_variant_get(given, "$", "array<variant>")
     routed = (
         _parsed(df, body, *members)
         .withColumn("route", route)
@@ -186,7 +237,7 @@ def route_requests(df: DataFrame, path: str, body: str, routes: Routes) -> DataF
             }
         )
     )
-    return _dropped(routed, *members).drop("known_route")
+    return _dropped(routed, df, *members).drop("known_route")
 
 
 def request_log(routed: DataFrame, *keys: str) -> DataFrame:
@@ -219,7 +270,7 @@ def unwrap_results(df: DataFrame, payload: str) -> DataFrame:
             "answer": F.when(present, result).otherwise(F.col(payload)),
         }
     )
-    return _dropped(unwrapped, "result")
+    return _dropped(unwrapped, df, "result")
 
 
 def with_validity(df: DataFrame, role: str, content: str) -> DataFrame:
@@ -244,93 +295,41 @@ def chunk_rows(df: DataFrame, key: Sequence[str], model: str, answer: str) -> Da
     return df.select(*key, F.posexplode(records).alias("chunk_no", "chunk"))
 
 
-def _part(order: str, rows_per_part: int) -> Column:
-    return F.floor(F.col(order) / rows_per_part).cast("bigint")
-
-
-def join_parts(
-    df: DataFrame, key: str, order: str, value: Column, separator: str, rows_per_part: int
-) -> DataFrame:
-    """Texts of each key joined in order, as ``key, part, text, n_rows``.
+def assemble_deltas(events: DataFrame, session: str, order: str, event: str) -> DataFrame:
+    """The text deltas of each session, one row each, numbered as they came; other events are skipped.
 
-    ``order`` numbers the rows of a key without repeats. A part covers
-    ``rows_per_part`` consecutive numbers, so however many rows one key has,
-    no group holds more than that, and its parts spread over the cluster.
-    Joining a key's parts in order gives its whole text.
+    Read in the order of ``order`` they make up the response, whatever its length.
+    A response whose events are whole in a row has ``M.assembled_text``.
     """
-    items = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v"))))
-    return df.groupBy(key, _part(order, rows_per_part).alias("part")).agg(
-        F.array_join(F.transform(items, lambda i: i["v"]), separator).alias("text"),
-        F.count(F.lit(1)).alias("n_rows"),
-    )
-
+    delta = M.delta_text(F.try_parse_json(F.col(event)))
+    return events.select(session, order, delta.alias("delta")).where(F.col("delta").isNotNull())
 
-def assemble_deltas(
-    events: DataFrame, session: str, order: str, event: str, rows_per_part: int = ROWS_PER_PART
-) -> DataFrame:
-    """Text deltas of each session in arrival order; other events are skipped."""
-    texts = (
-        events.withColumn("delta", M.delta_text(F.try_parse_json(F.col(event))))
-        .where(F.col("delta").isNotNull())
-        .select(session, order, "delta")
-    )
-    return join_parts(texts, session, order, F.col("delta"), "", rows_per_part)
 
+def fold_prompts(turns: DataFrame, key: str, order: str, role: str, content: str) -> DataFrame:
+    """Each turn's lines of its conversation's prompt: ``key, order, line, complete``.
 
-def _part_ends(turns: DataFrame, key: str, part: Column) -> DataFrame:
-    """First and last part of each key, as ``key, part, is_first, is_last``."""
-    first, last = F.col("first_part"), F.col("last_part")
+    Joined by line breaks in order, the lines of a key are its prompt. One row
+    per turn, at any length. ``order`` must tell the turns of a key apart; a NULL
+    key is a conversation too. A NULL role or content is shown as such and the row
+    is not ``complete``; the question's role doesn't matter.
 
-    def end(at: Column, is_first: Column, is_last: Column) -> Column:
-        return F.struct(
-            at.alias("part"), is_first.alias("is_first"), is_last.alias("is_last")
-        )
-
-    only = F.array(end(first, F.lit(True), F.lit(True)))
-    both = F.array(end(first, F.lit(True), F.lit(False)), end(last, F.lit(False), F.lit(True)))
-    return (
-        turns.groupBy(key)
-        .agg(F.min(part).alias("first_part"), F.max(part).alias("last_part"))
-        .select(key, F.inline(F.when(first == last, only).otherwise(both)))
-    )
-
-
-def fold_prompts(
-    turns: DataFrame,
-    key: str,
-    order: str,
-    role: str,
-    content: str,
-    rows_per_part: int = ROWS_PER_PART,
-) -> DataFrame:
-    """Fold each conversation's turns into a prompt: ``key, part, prompt``.
-
-    ``key`` must not be NULL. A conversation of up to ``rows_per_part`` turns
-    has one part. A longer one has several, which make up its prompt when
-    joined by line breaks; as in ``join_parts`` that bounds every group. The
-    texts are shuffled once: they are grouped by key and part, and where a part
-    stands in its conversation is joined on those same two columns from a scan
-    of the numbers alone.
+    Where a conversation begins and ends comes from one small aggregate, joined on
+    key *and* order, so the turns of a long one are as spread as any.
     """
-    part = _part(order, rows_per_part)
-    message = F.struct(
-        F.col(order).alias("o"), F.col(role).alias("role"), F.col(content).alias("content")
-    )
-    grouped = turns.groupBy(key, part.alias("part")).agg(
-        F.sort_array(F.collect_list(message)).alias("messages")
-    )
-    ends = _part_ends(turns, key, part).hint("shuffle_hash")
-
-    messages = F.col("messages")
-    lines = F.transform(messages, lambda m: M.history_line(m["role"], m["content"]))
-    but_last = F.slice(lines, F.lit(1), F.size(lines) - 1)
-    question = M.question_lines(F.element_at(messages, -1)["content"])
-    opening = F.concat_ws("\n", F.lit(M.HISTORY_HEADING), F.array_join(lines, "\n"))
-    closing = F.array_join(F.array_append(but_last, question), "\n")
-    prompt = (
-        F.when(F.col("is_first") & F.col("is_last"), M.prompt_of(messages))
-        .when(F.col("is_first"), opening)
-        .when(F.col("is_last"), closing)
-        .otherwise(F.array_join(lines, "\n"))
+    ends = turns.groupBy(F.col(key).alias("end_key")).agg(F.min(order).alias("first"), F.max(order).alias("last"))
+    first = F.struct(F.col("first").alias("end_order"), F.lit(True).alias("is_first"), (F.col("first") == F.col("last")).alias("is_last"))
+    last = F.struct(F.col("last").alias("end_order"), F.lit(False).alias("is_first"), F.lit(True).alias("is_last"))
+    places = F.when(F.col("first") == F.col("last"), F.array(first)).otherwise(F.array(first, last))
+    ends = ends.where(F.col("first").isNotNull()).select("end_key", F.inline(places))
+
+    same = F.col(key).eqNullSafe(F.col("end_key")) & (F.col(order) == F.col("end_order"))
+    joined = turns.join(ends, same, "left")
+    line = M.history_line(F.col(role), F.col(content))
+    shown = (
+        F.when(F.col("is_first") & F.col("is_last"), M.shown(F.col(content)))
+        .when(F.col("is_first"), F.concat_ws("\n", F.lit(M.HISTORY_HEADING), line))
+        .when(F.col("is_last"), M.question_lines(F.col(content)))
+        .otherwise(line)
     )
-    return grouped.join(ends, [key, "part"], "left").select(key, "part", prompt.alias("prompt"))
+    complete = F.col(content).isNotNull() & (F.col(role).isNotNull() | F.coalesce("is_last", F.lit(False)))
+    return joined.select(key, order, shown.alias("line"), complete.alias("complete"))

@@ -11,6 +11,7 @@ from clearledger.functions import jsonvalues as J
 from clearledger.functions import text
 from clearledger.operators import catalog as C
 from clearledger.operators import readonly_sql as Q
+from clearledger.sources.small import small_table
 
 # Tool names, the argument that selects each, and messages.
 EXECUTE_SQL = "execute_sql"
@@ -19,6 +20,7 @@ LIST_TABLES = "list_tables"
 QUERY_KEY = "query"
 TABLE_KEY = "table_name"
 INTERNAL_ERROR = "Internal error: "
+NOT_AN_EVENT = "Event is not valid JSON"
 
 
 def tool_of(event: dict[str, Any]) -> str:
@@ -30,7 +32,9 @@ def tool_of(event: dict[str, Any]) -> str:
 def answer(spark: SparkSession, event: dict[str, Any], database: str | None = None) -> dict:
     """Answer one event with ``{"result": ...}`` or ``{"error": text}``.
 
-    Results are DataFrames, so the caller decides what leaves the cluster.
+    Results are DataFrames, so the caller decides what leaves the cluster. What
+    goes wrong while their rows are computed is raised then; ``written_answer``
+    computes them here and reports that as well.
     """
     try:
         tool = tool_of(event)
@@ -48,6 +52,37 @@ def answer(spark: SparkSession, event: dict[str, Any], database: str | None = No
         return {"error": f"{INTERNAL_ERROR}{problem}"}
 
 
+ANSWER_FIELDS = {"tool": "string", "part": "string", "row_json": "string", "error": "string"}
+
+
+def _rows_of(answered: dict) -> list[tuple[str, DataFrame]]:
+    result = answered["result"]
+    return list(result.items()) if isinstance(result, dict) else [("rows", result)]
+
+
+def written_answer(spark: SparkSession, event: dict[str, Any], folder: str, database: str | None = None) -> DataFrame:
+    """Answer one event into ``folder`` as records ``tool, part, row_json, error``; returns them.
+
+    The rows are computed by the write, so an error in any of them, like one found
+    before, gives a single record with the error's text and no rows.
+    """
+    tool = tool_of(event)
+    answered = answer(spark, event, database)
+    if "error" not in answered:
+        try:
+            for part, rows in _rows_of(answered):
+                J.rows_as_json(rows).select(
+                    F.lit(tool).alias("tool"), F.lit(part).alias("part"), "row_json",
+                    F.lit(None).cast("string").alias("error"),
+                ).write.parquet(f"{folder}/{part}")
+            parts = [f"{folder}/{part}" for part, _ in _rows_of(answered)]
+            return spark.read.parquet(*parts)
+        except Exception as problem:
+            answered = {"error": f"{INTERNAL_ERROR}{problem}"}
+    small_table(spark, ANSWER_FIELDS, [(tool, None, None, answered["error"])]).write.parquet(f"{folder}/error")
+    return spark.read.parquet(f"{folder}/error")
+
+
 def _query_problem(query: Column) -> Column:
     shown = F.coalesce(text.strip(query), F.lit(""))
     starts = [F.upper(shown).startswith(start) for start in Q.QUERY_STARTS]
@@ -67,11 +102,13 @@ def dispatch(events: DataFrame, body: str, tables: DataFrame) -> DataFrame:
     """Route a table of JSON events and mark the ones that would be refused.
 
     Adds ``tool``, ``argument``, ``ok`` and ``error``. A key selects its tool
-    even with a null value. ``tables`` holds each known ``table_name`` once.
+    even with a null value. Text that is not JSON selects none. ``tables`` holds
+    each known ``table_name`` once.
     """
     document = F.col("document")
     tool = (
-        F.when(J.field(document, QUERY_KEY).isNotNull(), EXECUTE_SQL)
+        F.when(document.isNull(), F.lit(None).cast("string"))
+        .when(J.field(document, QUERY_KEY).isNotNull(), EXECUTE_SQL)
         .when(J.field(document, TABLE_KEY).isNotNull(), DESCRIBE_TABLE)
         .otherwise(LIST_TABLES)
     )
@@ -81,7 +118,8 @@ def dispatch(events: DataFrame, body: str, tables: DataFrame) -> DataFrame:
     )
     known = tables.select(F.col("table_name").alias("known_table"))
     error = (
-        F.when(F.col("tool") == EXECUTE_SQL, _query_problem(F.col("argument")))
+        F.when(F.col("document").isNull(), NOT_AN_EVENT)
+        .when(F.col("tool") == EXECUTE_SQL, _query_problem(F.col("argument")))
         .when(F.col("tool") == DESCRIBE_TABLE, _table_problem(F.col("argument"), F.col("known_table")))
     )
     parsed = events.withColumn("document", F.try_parse_json(F.col(body)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -60,7 +61,7 @@ def load_table(
     """
     raw = scan(spark, source_folder, spec.source or f"{spec.table}.parquet")
     types = resolve_types(raw, spec)
-    counted, rejects = _observed(raw, reject_metrics(spec))
+    counted, rejects = _observed(raw, reject_metrics(raw, spec, types))
     frame, cells = apply_types(counted, spec, types), None
     if policy:
         frame, cells = _observed(frame, _mask_metrics(policy))
@@ -91,17 +92,20 @@ def load_tables(
     root: str,
     manifest: Sequence[TableSpec] = MANIFEST,
     policies: Mapping[str, MaskPolicy] = MASK_POLICIES,
+    at_once: int = 4,
 ) -> DataFrame:
-    """Load every table of the manifest and reconcile the counts.
+    """Load every table of the manifest, ``at_once`` at a time, and reconcile the counts.
 
     Returns the counts of ``Loaded`` per table, with ``n_rows`` and
     ``n_columns`` of the published table and whether it is ``complete``.
     """
     ensure_database(spark, database)
-    loaded = [
-        astuple(load_table(spark, s, source_folder, database, root, policies.get(s.table)))
-        for s in manifest
-    ]
+    with ThreadPoolExecutor(at_once) as pool:
+        loads = [
+            pool.submit(load_table, spark, s, source_folder, database, root, policies.get(s.table))
+            for s in manifest
+        ]
+        loaded = [astuple(load.result()) for load in loads]
     stored = {s.table: spark.table(quoted(database, s.table)) for s in manifest}
     return (
         table_counts(stored)
@@ -127,7 +131,7 @@ def mask_stored_table(
     """Replace a table that was loaded unmasked by its masked version.
 
     One pass that also takes the counts. The unmasked version stays on disk
-    until the caller removes it.
+    until ``drop_old_versions`` removes it.
     """
     metrics = _mask_metrics(policy) | {"held": F.count_if(holds_pii(policy))}
     stored, cells = _observed(spark.table(quoted(database, table)), metrics)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +43,20 @@ def refresh_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return spark.table(quoted(SCRATCH, "customer"))
 
 
-LOADED = ("customer", "supplier", "orders", "lineitem")
+LOADED = ("supplier", "orders", "lineitem")
+# Columns of a table as it may come: clocks, stamps and phones as text, some of it unreadable or escaped.
+CONTACTS = {
+    "c_custkey": "c_custkey",
+    "clock": "CASE c_custkey % 4 WHEN 0 THEN '25:00' WHEN 1 THEN '' ELSE '12:34' END",
+    "stamp": "CASE c_custkey % 3 WHEN 0 THEN 'soon' ELSE '2020-01-02 03:04:05' END",
+    "note": "concat('a_x0020_', c_name)",
+    "phone": "CASE c_custkey % 5 WHEN 0 THEN '+65 9' WHEN 1 THEN '' ELSE concat('9875 ', 1000 + c_custkey % 9000) END",
+    "street": "CASE WHEN c_custkey % 6 > 0 THEN c_name END",
+}
+CONTACT_SPEC = TableSpec(
+    "contact", time_columns=("clock", "absent"), timestamp_columns=("stamp", "c_custkey"), escaped_text_columns=("note",)
+)
+CONTACT_POLICY = MaskPolicy(phones=("phone",), redacted=("street",))
 
 
 @query(
@@ -49,23 +64,32 @@ LOADED = ("customer", "supplier", "orders", "lineitem")
         f"""
         SELECT '{t}' AS table_name, count(*) AS n_rows, {WIDTHS[t]} AS n_columns,
                count(*) AS n_written, CAST(0 AS BIGINT) AS n_rejected,
-               {"count(*) FILTER (WHERE length(c_name) > 0)" if t == "customer" else "CAST(0 AS BIGINT)"}
-                   AS n_visited,
-               {"count(*) FILTER (WHERE length(c_name) > 0)" if t == "customer" else "CAST(0 AS BIGINT)"}
-                   AS n_masked,
-               true AS complete
+               CAST(0 AS BIGINT) AS n_visited, CAST(0 AS BIGINT) AS n_masked, true AS complete
         FROM {t}
         """
         for t in LOADED
     )
+    + """
+        UNION ALL
+        SELECT 'contact', count(*), 6, count(*),
+               count(*) FILTER (c_custkey % 4 = 0) + count(*) FILTER (c_custkey % 3 = 0),
+               count(*) FILTER (c_custkey % 5 <> 1) + count(*) FILTER (c_custkey % 6 > 0),
+               count(*) FILTER (c_custkey % 5 > 1) + count(*) FILTER (c_custkey % 6 > 0), true
+        FROM customer
+        UNION ALL SELECT 'contact_text', count(*), 6, count(*), 0, 0, 0, true FROM customer
+    """
 )
 def load_report(spark: SparkSession, folder: str) -> DataFrame:
     root = shared_folder(spark, "load")
     database = f"{SCRATCH}_load"
     ensure_database(spark, database, f"{root}/database")
-    manifest = [TableSpec(t) for t in LOADED]
-    policies = {"customer": MaskPolicy(redacted=("c_name",))}
-    return load_tables(spark, folder, database, root, manifest, policies)
+    contacts = scan_table(spark, folder, "customer").select(*[F.expr(e).alias(n) for n, e in CONTACTS.items()])
+    source = f"{root}/contacts.parquet"
+    contacts.write.parquet(source)
+    plain = load_tables(spark, folder, database, root, [TableSpec(t) for t in LOADED], {})
+    specs = [replace(CONTACT_SPEC, source="contacts.parquet"), TableSpec("contact_text", "contacts.parquet")]
+    own = load_tables(spark, root, database, root, specs, {"contact": CONTACT_POLICY})
+    return plain.unionByName(own)
 
 
 @query(

@@ -11,32 +11,45 @@ from clearledger.operators import records as X
 from clearledger.plans.registry import query
 from clearledger.sources.files import scan_table
 
-TURNS_PER_PART = X.ROWS_PER_PART
-
 
 def _turns(spark: SparkSession, folder: str) -> DataFrame:
     return scan_table(spark, folder, "conversations")
 
 
-# Prompt lines of a conversation; the first and last carry the headings.
-DUCK_LINES = f"""
-    SELECT conv_id, turn, turn // {TURNS_PER_PART} AS part,
-           CASE WHEN count(*) OVER c = 1 THEN text
-                WHEN turn = max(turn) OVER c THEN chr(10) || 'Current question: ' || text
-                ELSE CASE WHEN turn = min(turn) OVER c THEN 'Conversation history:' || chr(10) ELSE '' END
-                     || upper(role[1]) || lower(role[2:]) || ': ' || text END AS line
-    FROM conversations WINDOW c AS (PARTITION BY conv_id)
-"""
+def _gappy_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns with gaps in their numbers and with roles and texts missing."""
+    missing = (F.col("conv_id") + F.col("turn")) % 7
+    return _turns(spark, folder).select(
+        F.when(F.col("conv_id") % 50 > 0, F.col("conv_id")).alias("conv_id"),
+        (F.col("conv_id") * 1000 + F.col("turn") * 300).alias("turn"),
+        F.when(missing != 5, F.col("role")).alias("role"),
+        F.when(missing != 6, F.col("text")).alias("text"),
+    )
 
 
 @query(
-    f"""
-    SELECT conv_id, part, string_agg(line, chr(10) ORDER BY turn) AS prompt
-    FROM ({DUCK_LINES}) GROUP BY conv_id, part
+    """
+    WITH turns AS (
+        SELECT CASE WHEN conv_id % 50 > 0 THEN conv_id END AS conv_id, conv_id * 1000 + turn * 300 AS turn,
+               CASE WHEN (conv_id + turn) % 7 <> 5 THEN role END AS role,
+               CASE WHEN (conv_id + turn) % 7 <> 6 THEN text END AS text
+        FROM conversations
+    ), placed AS (
+        SELECT *, turn = min(turn) OVER c AS is_first, turn = max(turn) OVER c AS is_last,
+               coalesce(text, 'None') AS shown, coalesce(role, 'None') AS name
+        FROM turns WINDOW c AS (PARTITION BY conv_id)
+    )
+    SELECT conv_id, turn,
+           CASE WHEN is_first AND is_last THEN shown
+                WHEN is_last THEN chr(10) || 'Current question: ' || shown
+                ELSE CASE WHEN is_first THEN 'Conversation history:' || chr(10) ELSE '' END
+                     || upper(name[1]) || lower(name[2:]) || ': ' || shown END AS line,
+           text IS NOT NULL AND (role IS NOT NULL OR is_last) AS complete
+    FROM placed
     """
 )
 def conversation_prompt(spark: SparkSession, folder: str) -> DataFrame:
-    return X.fold_prompts(_turns(spark, folder), "conv_id", "turn", "role", "text")
+    return X.fold_prompts(_gappy_turns(spark, folder), "conv_id", "turn", "role", "text")
 
 
 def _members(**members: Column) -> Column:
@@ -47,14 +60,19 @@ def _requests(spark: SparkSession, folder: str) -> DataFrame:
     """One request per turn, in the shapes a caller may send.
 
     ``shape`` 0 is a full request, 1 to 3 give a prompt under each name, 4 is
-    empty, 5 is not JSON, 6 has two messages, 7 has content in blocks.
+    empty, 5 is not JSON, 6 has two messages, 7 has content in blocks of
+    several kinds. The messages of 8 are text and those of 9 a list of text;
+    10 has a message without content, 11 an earlier one without role.
     """
     key, text, role = F.col("conv_id").cast("string"), F.col("text"), F.col("role")
-    shape = (F.col("conv_id") + F.col("turn")) % 8
+    shape = (F.col("conv_id") + F.col("turn")) % 12
     user = _members(info=_members(user_id=F.concat(F.lit("user-"), key)))
     message = _members(role=role, content=text)
     brief = _members(role=F.lit("system"), content=F.lit("Be brief."))
-    blocks = F.array(_members(text=text), _members(text=F.lit("!")))
+    blocks = F.array(
+        _members(type=F.lit("text"), text=text, image=F.lit(None).cast("string")),
+        _members(type=F.lit("image"), text=F.lit(None).cast("string"), image=F.lit("i.png")),
+    )
     no_messages = F.expr("CAST(array() AS ARRAY<STRING>)")
     nothing = F.lit(None).cast("string")
     bodies = (
@@ -80,9 +98,18 @@ def _requests(spark: SparkSession, folder: str) -> DataFrame:
                 _members(messages=F.array(brief, message), model=F.lit("small"), chat_id=F.lit(""))
             ),
         )
-        .otherwise(
+        .when(
+            F.col("shape") == 7,
             J.to_json_text(
                 _members(messages=F.array(_members(role=role, content=blocks)), chat_id=nothing)
+            ),
+        )
+        .when(F.col("shape") == 8, J.to_json_text(_members(messages=text)))
+        .when(F.col("shape") == 9, J.to_json_text(_members(messages=F.array(text))))
+        .when(F.col("shape") == 10, J.to_json_text(_members(messages=F.array(_members(role=role)))))
+        .otherwise(
+            F.concat(
+                F.lit('{"messages":[{"content":"first"},'), J.to_json_text(message), F.lit("]}")
             )
         )
     )
@@ -95,23 +122,26 @@ def _requests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 DUCK_SHAPES = """
-    SELECT conv_id, turn, role, text, (conv_id + turn) % 8 AS shape,
+    SELECT conv_id, turn, role, text, (conv_id + turn) % 12 AS shape,
            conv_id || ':' || turn AS request_id
     FROM conversations
 """
-DUCK_BLOCKS = "CAST(json_array(json_object('text', text), json_object('text', '!')) AS VARCHAR)"
+# VARIANT objects list their members by name.
+DUCK_BLOCKS = """
+    '[{"image":null,"text":' || to_json(text) || ',"type":"text"},{"image":"i.png","text":null,"type":"image"}]'
+"""
 
 
 @query(
     f"""
     SELECT conv_id, turn,
-           CASE WHEN shape IN (4, 5) THEN 400 ELSE 200 END AS status,
-           CASE shape WHEN 5 THEN 'Body is not valid JSON'
-                      WHEN 4 THEN 'provide ''messages'' or ''prompt''' END AS error,
-           CASE WHEN shape = 6 THEN 2 WHEN shape NOT IN (4, 5) THEN 1 END AS n_messages,
+           CASE WHEN shape IN (4, 5) THEN 400 WHEN shape > 7 THEN 500 ELSE 200 END AS status,
+           CASE WHEN shape = 5 THEN 'Body is not valid JSON' WHEN shape > 7 THEN 'Internal Server Error'
+                WHEN shape = 4 THEN 'provide ''messages'' or ''prompt''' END AS error,
+           CASE WHEN shape = 6 THEN 2 WHEN shape NOT IN (4, 5) AND shape < 8 THEN 1 END AS n_messages,
            CASE WHEN shape IN (0, 7) THEN role WHEN shape IN (1, 2, 3) THEN 'user'
                 WHEN shape = 6 THEN 'system' END AS first_role,
-           CASE WHEN shape IN (4, 5) THEN NULL
+           CASE WHEN shape IN (4, 5) OR shape > 7 THEN NULL
                 WHEN shape = 6 THEN 'Conversation history:' || chr(10) || 'System: Be brief.'
                     || chr(10) || chr(10) || 'Current question: ' || text
                 WHEN shape = 7 THEN {DUCK_BLOCKS} ELSE text END AS prompt
@@ -135,7 +165,8 @@ def request_normalise(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""
     SELECT conv_id, turn,
-           CASE WHEN shape = 0 THEN 'chat-' || conv_id ELSE sha256(request_id) END AS session_id,
+           CASE WHEN shape = 0 THEN 'chat-' || conv_id
+                ELSE sha256('{{"k0":"' || request_id || '"}}') END AS session_id,
            CASE WHEN shape = 0 THEN 'user-' || conv_id END AS user_id
     FROM ({DUCK_SHAPES})
     """
@@ -147,14 +178,26 @@ def session_context(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""
-    SELECT conv_id, turn, 0 AS message_no, role, 0 AS block_no, text AS block
-    FROM ({DUCK_SHAPES}) WHERE shape IN (0, 7)
-    UNION ALL
-    SELECT conv_id, turn, 0, role, 1, '!' FROM ({DUCK_SHAPES}) WHERE shape = 7
-    UNION ALL
-    SELECT conv_id, turn, 0, 'system', 0, 'Be brief.' FROM ({DUCK_SHAPES}) WHERE shape = 6
-    UNION ALL
-    SELECT conv_id, turn, 1, role, 0, text FROM ({DUCK_SHAPES}) WHERE shape = 6
+    WITH blocks AS (
+        SELECT conv_id, turn, 0 AS message_no, role, 0 AS block_no, text AS block,
+               shape = 7 AS typed, NULL AS image FROM ({DUCK_SHAPES}) WHERE shape IN (0, 7)
+        UNION ALL
+        SELECT conv_id, turn, 0, role, 1, NULL, true, 'i.png' FROM ({DUCK_SHAPES}) WHERE shape = 7
+        UNION ALL
+        SELECT conv_id, turn, 0, 'system', 0, 'Be brief.', false, NULL FROM ({DUCK_SHAPES}) WHERE shape = 6
+        UNION ALL
+        SELECT conv_id, turn, 1, role, 0, text, false, NULL FROM ({DUCK_SHAPES}) WHERE shape IN (6, 11)
+        UNION ALL
+        SELECT conv_id, turn, 0, role, 0, '', false, NULL FROM ({DUCK_SHAPES}) WHERE shape = 10
+        UNION ALL
+        SELECT conv_id, turn, 0, NULL, 0, 'first', false, NULL FROM ({DUCK_SHAPES}) WHERE shape = 11
+    )
+    SELECT conv_id, turn, message_no, role, block_no, block,
+           CASE WHEN typed THEN '{{"image":' || coalesce('"' || image || '"', 'null') || ',"text":'
+                || coalesce(CAST(to_json(block) AS VARCHAR), 'null') || ',"type":"'
+                || CASE WHEN image IS NULL THEN 'text' ELSE 'image' END || '"}}'
+                ELSE '{{"text":' || CAST(to_json(block) AS VARCHAR) || '}}' END AS block_json
+    FROM blocks
     """
 )
 def content_blocks(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,7 +209,7 @@ def content_blocks(spark: SparkSession, folder: str) -> DataFrame:
         "message_no",
         F.col("m.role").alias("role"),
         F.posexplode("m.content").alias("block_no", "b"),
-    ).select("*", F.col("b.text").alias("block")).drop("b")
+    ).select("*", M.block_text(F.col("b")).alias("block"), J.text_of(F.col("b")).alias("block_json")).drop("b")
 
 
 def _stream_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -183,16 +226,30 @@ def _stream_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""
-    SELECT conv_id, turn // {TURNS_PER_PART} AS part, string_agg(text, '' ORDER BY turn) AS text,
-           count(*) AS n_rows
-    FROM conversations WHERE turn % 4 <> 3 AND role <> 'system' GROUP BY ALL
+    """
+    SELECT conv_id, turn, text AS delta FROM conversations WHERE turn % 4 <> 3 AND role <> 'system'
     """
 )
 def delta_assembly(spark: SparkSession, folder: str) -> DataFrame:
     return X.assemble_deltas(_stream_events(spark, folder), "conv_id", "turn", "event")
 
 
+@query("SELECT conv_id, turn, text AS response FROM conversations")
+def response_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Responses whose events are one list in the row: a start, two deltas, a stop."""
+    half = F.floor(F.length("text") / 2).cast("int")
+
+    def delta(part: Column) -> Column:
+        return J.to_json_text(_members(contentBlockDelta=_members(delta=_members(text=part))))
+
+    events = F.concat(
+        F.lit('[{"messageStart":{}},'), delta(F.substring(F.col("text"), F.lit(1), half)), F.lit(","),
+        delta(F.substring(F.col("text"), half + 1, F.length("text"))), F.lit(',{"messageStop":null}]'),
+    )
+    listed = F.try_variant_get(F.try_parse_json(events), "$", "array<variant>")
+    return _turns(spark, folder).select("conv_id", "turn", M.assembled_text(listed).alias("response"))
+
+
 MODEL = "assistant-1"
 
 
@@ -202,7 +259,7 @@ def _answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 DUCK_ANSWERS = """
-    SELECT conv_id, turn, text, 'chatcmpl-' || substr(sha256(conv_id || ':' || turn), 1, 12) AS id
+    SELECT conv_id, turn, text, 'chatcmpl-' || substr(sha256('{"k0":"' || conv_id || '","k1":"' || turn || '"}'), 1, 12) AS id
     FROM conversations WHERE role = 'assistant'
 """
 
@@ -251,29 +308,30 @@ ROUTES = X.Routes(names=("main", "tools"), default="main", default_model="assist
 
 
 def _routed(spark: SparkSession, folder: str) -> DataFrame:
-    """Requests with a path: bare, to either known route, or to an unknown one."""
-    place = F.col("conv_id") % 4
+    """Requests with a path: bare, to either known route, to an unknown one, or of no route's shape."""
+    place = F.col("conv_id") % 5
     path = (
         F.when(place == 1, "/main/v1/chat/completions")
         .when(place == 2, "/tools/v1/chat/completions")
         .when(place == 3, "/other/v1/chat/completions")
+        .when(place == 4, "main")
         .otherwise("/v1/chat/completions")
     )
-    requests = _requests(spark, folder).withColumn("path", path)
+    requests = X.parse_bodies(_requests(spark, folder).withColumn("path", path), "body")
     return X.route_requests(requests, "path", "body", ROUTES)
 
 
 DUCK_ROUTED = f"""
     SELECT *,
-           CASE WHEN status = 200 THEN CASE WHEN shape = 6 THEN 'small' WHEN place NOT IN (1, 2, 3) THEN 'assistant'
+           CASE WHEN status = 200 THEN CASE WHEN shape = 6 THEN 'small' WHEN place = 0 THEN 'assistant'
                 ELSE route END END AS model,
            CASE WHEN status = 200 THEN shape = 0 END AS stream,
-           CASE WHEN status = 200 THEN CASE WHEN shape = 6 THEN 2 ELSE 1 END END AS n_messages
+           CASE WHEN status = 200 THEN CASE WHEN shape IN (6, 11) THEN 2 ELSE 1 END END AS n_messages
     FROM (
-        SELECT *, conv_id % 4 AS place,
-               CASE conv_id % 4 WHEN 2 THEN 'tools' WHEN 3 THEN 'other' ELSE 'main' END AS route,
-               CASE WHEN conv_id % 4 = 3 THEN 404 WHEN shape IN (1, 2, 3, 4, 5) THEN 400
-                    ELSE 200 END AS status
+        SELECT *, conv_id % 5 AS place,
+               CASE conv_id % 5 WHEN 2 THEN 'tools' WHEN 3 THEN 'other' WHEN 4 THEN NULL ELSE 'main' END AS route,
+               CASE WHEN conv_id % 5 > 2 THEN 404 WHEN shape IN (1, 2, 3, 4, 5) THEN 400
+                    WHEN shape IN (8, 9) THEN 500 ELSE 200 END AS status
         FROM ({DUCK_SHAPES})
     )
 """
@@ -282,14 +340,15 @@ DUCK_ROUTED = f"""
 @query(
     f"""
     SELECT conv_id, turn, route, status, model, stream, n_messages,
-           CASE WHEN status = 404 THEN 'Unknown runtime: ' || route
+           CASE WHEN status = 404 THEN 'Unknown runtime: ' || coalesce(route, 'main')
+                WHEN status = 500 THEN 'Internal Server Error'
                 WHEN shape = 5 THEN 'invalid JSON body'
                 WHEN status = 400 THEN 'messages must not be empty' END AS error
     FROM ({DUCK_ROUTED})
     """
 )
 def route_status(spark: SparkSession, folder: str) -> DataFrame:
-    return _routed(spark, folder).drop("shape", "request_id", "body", "path")
+    return _routed(spark, folder).drop("shape", "request_id", "body", "path", "document")
 
 
 def _logged(spark: SparkSession, folder: str) -> DataFrame:
@@ -299,7 +358,8 @@ def _logged(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""
     SELECT conv_id, turn, route, model, n_messages, stream,
-           CASE WHEN shape = 0 THEN 'chat-' || conv_id ELSE sha256(request_id) END AS session_id,
+           CASE WHEN shape = 0 THEN 'chat-' || conv_id
+                ELSE sha256('{{"k0":"' || request_id || '"}}') END AS session_id,
            CASE WHEN shape = 0 THEN 'user-' || conv_id END AS user_id
     FROM ({DUCK_ROUTED}) WHERE status = 200
     """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-# The database of queries that write before they read.
-SCRATCH = "clearledger_scratch"
+# The database of queries that write before they read, one for each run.
+SCRATCH = f"clearledger_scratch_{uuid.uuid4().hex[:12]}"
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",

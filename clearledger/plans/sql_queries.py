@@ -79,21 +79,36 @@ _register(
     """,
 )
 
-# One alarm window per calendar day, so the broadcast side stays small.
+# Two hours from the last error of each day on, so that some windows reach into the next.
+# An equal day makes it an equi-join; a window stands under every day it touches.
 _register(
     "sql_join_range",
     ("events",),
     """
     WITH alarms AS (
-        SELECT date_trunc('day', ts) AS day, min(ts) AS opened, min(ts) + INTERVAL 2 HOURS AS closed
+        SELECT max(ts) AS opened, max(ts) + INTERVAL 2 HOURS AS closed
         FROM events WHERE event_type = 'error' GROUP BY date_trunc('day', ts)
+    ), by_day AS (
+        SELECT opened, closed,
+               explode(sequence(date_trunc('day', opened), date_trunc('day', closed), INTERVAL 1 DAY)) AS day
+        FROM alarms
     )
-    SELECT /*+ BROADCAST(a) */ e.event_type, count(*) AS n_events,
+    SELECT e.event_type, count(*) AS n_events,
            CAST(sum(CAST(e.value AS DECIMAL(18,2))) AS DOUBLE) AS total_value
-    FROM events e JOIN alarms a
+    FROM events e JOIN by_day a
       ON date_trunc('day', e.ts) = a.day AND e.ts >= a.opened AND e.ts < a.closed
     GROUP BY e.event_type
     """,
+    """
+    WITH alarms AS (
+        SELECT max(ts) AS opened, max(ts) + INTERVAL 2 HOURS AS closed
+        FROM events WHERE event_type = 'error' GROUP BY date_trunc('day', ts)
+    )
+    SELECT e.event_type, count(*) AS n_events,
+           CAST(sum(CAST(e.value AS DECIMAL(18,2))) AS DOUBLE) AS total_value
+    FROM events e JOIN alarms a ON e.ts >= a.opened AND e.ts < a.closed
+    GROUP BY e.event_type
+    """,
 )
 
 _register(
@@ -139,42 +154,40 @@ _register(
     """,
 )
 
-# The latest purchase before each error of a user. A user's time line is cut
-# into minutes: the window stays within one, and what earlier minutes left
-# behind comes from one row per minute.
+# The latest purchase of a user up to each error, by hours so that many are at the same
+# instant: of several the one with the greatest id. A user's time line is cut into days: the
+# window stays within one, and what earlier days left behind comes from one row per day.
 _register(
     "sql_asof",
     ("events",),
     """
     WITH line AS (
-        SELECT event_id, user_id, ts, date_trunc('minute', ts) AS slice, event_type,
-               CASE WHEN event_type = 'purchase' THEN event_id END AS bought
+        SELECT event_id, user_id, date_trunc('hour', ts) AS at, date_trunc('day', ts) AS day, event_type,
+               CASE WHEN event_type = 'purchase' THEN struct(date_trunc('hour', ts), event_id) END AS bought
         FROM events WHERE event_type IN ('purchase', 'error')
-    ), slices AS (
-        SELECT user_id, slice, max_by(bought, CASE WHEN bought IS NOT NULL THEN ts END) AS closing
-        FROM line GROUP BY user_id, slice
+    ), days AS (
+        SELECT user_id, day, max(bought) AS closing FROM line GROUP BY user_id, day
     ), carried AS (
-        SELECT user_id, slice,
-               last_value(closing) IGNORE NULLS OVER (
-                   PARTITION BY user_id ORDER BY slice
-                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
-        FROM slices
+        SELECT user_id, day,
+               max(closing) OVER (PARTITION BY user_id ORDER BY day
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
+        FROM days
     ), inside AS (
-        SELECT event_id, user_id, slice, event_type,
-               last_value(bought) IGNORE NULLS OVER (
-                   PARTITION BY user_id, slice ORDER BY ts
-                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS same_slice
+        SELECT event_id, user_id, day, event_type,
+               max(bought) OVER (PARTITION BY user_id, day ORDER BY at
+                                 RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS same_day
         FROM line
     )
-    SELECT i.event_id, i.user_id, coalesce(i.same_slice, c.earlier) AS purchase_id
-    FROM inside i JOIN carried c ON c.user_id = i.user_id AND c.slice = i.slice
+    SELECT i.event_id, i.user_id, coalesce(i.same_day, c.earlier).event_id AS purchase_id
+    FROM inside i JOIN carried c ON c.user_id = i.user_id AND c.day = i.day
     WHERE i.event_type = 'error'
     """,
     """
-    SELECT e.event_id, e.user_id, p.event_id AS purchase_id
+    SELECT e.event_id, e.user_id, last(p.event_id ORDER BY date_trunc('hour', p.ts), p.event_id) AS purchase_id
     FROM (SELECT * FROM events WHERE event_type = 'error') e
-    ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p
-      ON p.user_id = e.user_id AND p.ts <= e.ts
+    LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p
+      ON p.user_id = e.user_id AND date_trunc('hour', p.ts) <= date_trunc('hour', e.ts)
+    GROUP BY e.event_id, e.user_id
     """,
 )
 
@@ -600,3 +613,32 @@ _register(
     FROM hours LEFT JOIN hourly ON hourly.hour = hours.hour
     """,
 )
+
+# Maps over the few kinds of events; keys in order, since a map has none.
+_register(
+    "sql_maps",
+    ("events",),
+    """
+    WITH kinds AS (
+        SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type
+    ), mapped AS (
+        SELECT user_id, map_from_entries(collect_list(struct(event_type, n))) AS counts FROM kinds GROUP BY user_id
+    )
+    SELECT user_id, CAST(size(counts) AS INT) AS n_kinds, counts['click'] AS n_clicks,
+           array_join(array_sort(map_keys(map_filter(counts, (k, n) -> n > 1))), ',') AS repeated,
+           array_join(array_sort(transform(map_entries(transform_values(counts, (k, n) -> n * 10)),
+                                           e -> concat(e.key, '=', e.value))), ',') AS tenfold,
+           map_contains_key(counts, 'error') AS has_error
+    FROM mapped
+    """,
+    """
+    WITH kinds AS (
+        SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type
+    )
+    SELECT user_id, CAST(count(*) AS INT) AS n_kinds, max(n) FILTER (event_type = 'click') AS n_clicks,
+           coalesce(string_agg(event_type, ',' ORDER BY event_type) FILTER (n > 1), '') AS repeated,
+           string_agg(event_type || '=' || n * 10, ',' ORDER BY event_type) AS tenfold,
+           bool_or(event_type = 'error') AS has_error
+    FROM kinds GROUP BY user_id
+    """,
+)

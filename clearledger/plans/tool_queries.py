@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,15 @@ from clearledger.functions.jsonvalues import rows_as_json
 from clearledger.operators import catalog as C
 from clearledger.operators import readonly_sql as Q
 from clearledger.operators.counts import table_counts
-from clearledger.operators.tool_events import dispatch
-from clearledger.plans.registry import TABLES, query
+from clearledger.operators.tool_events import answer, dispatch, written_answer
+from clearledger.operators.typing import ddl_text, resolve_types, schema_report
+from clearledger.plans.load import load_table
+from clearledger.plans.registry import SCRATCH, TABLES, query
+from clearledger.session import shared_folder
 from clearledger.sources.files import register_views, scan_table
 from clearledger.sources.small import small_table
+from clearledger.sources.tables import ensure_database, quoted
+from clearledger.specs import TableSpec
 
 READONLY_SQL = """
     SELECT "o_orderstatus" AS "status", count(*) AS n_orders,
@@ -177,6 +184,7 @@ def _event_bodies(spark: SparkSession, folder: str) -> DataFrame:
         .when((kind == "signup") & (F.col("value") < 20), F.lit('{"table_name":"no; such"}'))
         .when(kind == "signup", body(table_name=F.concat(F.lit("t_"), F.col("user_id").cast("string"))))
         .when(F.col("value") < 20, F.lit('{"table_name":""}'))
+        .when(F.col("value") > 90, F.lit("list the tables"))
         .otherwise(F.lit("{}"))
     )
     return scan_table(spark, folder, "events").select("event_id", bodies.alias("body"))
@@ -185,10 +193,11 @@ def _event_bodies(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     """
     WITH labelled AS (
-        SELECT event_id, user_id, event_type AS kind, value < 20 AS small FROM events
+        SELECT event_id, user_id, event_type AS kind, value < 20 AS small, value > 90 AS broken FROM events
     ), answered AS (
         SELECT event_id,
-               CASE WHEN kind IN ('click', 'error') OR (kind = 'purchase' AND small) THEN 'execute_sql'
+               CASE WHEN kind = 'view' AND broken THEN NULL
+                    WHEN kind IN ('click', 'error') OR (kind = 'purchase' AND small) THEN 'execute_sql'
                     WHEN kind = 'view' AND NOT small THEN 'list_tables' ELSE 'describe_table' END AS tool,
                CASE WHEN kind = 'click' THEN 'select * from events where user_id = ' || user_id
                     WHEN kind = 'error' THEN 'DROP TABLE t' || event_id
@@ -196,7 +205,8 @@ def _event_bodies(spark: SparkSession, folder: str) -> DataFrame:
                     WHEN kind = 'signup' AND small THEN 'no; such'
                     WHEN kind = 'signup' THEN 't_' || user_id
                     WHEN kind = 'view' AND small THEN '' END AS argument,
-               CASE WHEN kind = 'error' THEN 'Only SELECT queries are allowed'
+               CASE WHEN kind = 'view' AND broken THEN 'Event is not valid JSON'
+                    WHEN kind = 'error' THEN 'Only SELECT queries are allowed'
                     WHEN kind = 'purchase' AND small THEN 'query is required'
                     WHEN kind = 'signup' AND small THEN 'Invalid table name'
                     WHEN kind = 'signup' THEN 'Table ''t_' || user_id || ''' not found in public schema'
@@ -225,3 +235,134 @@ def json_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
     back = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, ship_date string"
     return rows_as_json(kept).select(F.inline(F.array(F.from_json("row_json", back))))
+
+
+def _stored_catalog(spark: SparkSession, folder: str) -> str:
+    """A database with two loaded tables and a view over one of them."""
+    database, root = f"{SCRATCH}_catalog", shared_folder(spark, "catalog")
+    ensure_database(spark, database, f"{root}/database")
+    for table in ("nation", "orders"):
+        load_table(spark, TableSpec(table), folder, database, root)
+    seen = quoted(database, "seen")
+    spark.sql(f"CREATE OR REPLACE VIEW {seen} AS SELECT n_name FROM {quoted(database, 'nation')}")
+    return database
+
+
+DUCK_STORED = """
+    SELECT * FROM (VALUES
+        ('nation', 1, 'n_nationkey', 'bigint'), ('nation', 2, 'n_name', 'text'), ('nation', 3, 'n_regionkey', 'bigint'),
+        ('orders', 1, 'o_orderkey', 'bigint'), ('orders', 2, 'o_custkey', 'bigint'), ('orders', 3, 'o_orderstatus', 'text'),
+        ('orders', 4, 'o_totalprice', 'double precision'), ('orders', 5, 'o_orderdate', 'timestamp without time zone'),
+        ('orders', 6, 'o_orderpriority', 'text')
+    ) AS stored(table_name, ordinal, column_name, data_type)
+"""
+DUCK_STORED_ROWS = "SELECT 'nation' AS table_name, count(*) AS n_rows FROM nation UNION ALL SELECT 'orders', count(*) FROM orders"
+
+
+def _row_counts(spark: SparkSession, database: str) -> DataFrame:
+    """Rows of the base tables that the catalog lists, by reading them."""
+    names = [t.name for t in spark.catalog.listTables(database) if not t.isTemporary and t.tableType != "VIEW"]
+    return table_counts({n: spark.table(quoted(database, n)) for n in names}).drop("n_columns")
+
+
+@query(
+    f"""
+    SELECT table_name, any_value(n_rows) AS n_rows,
+           string_agg(column_name || ':' || data_type, ',' ORDER BY ordinal) AS listed,
+           'Table: ' || table_name || ' (' || string_agg(column_name || ' ' || upper(data_type), ', ' ORDER BY ordinal)
+           || ')' AS line
+    FROM ({DUCK_STORED}) JOIN ({DUCK_STORED_ROWS}) USING (table_name) GROUP BY table_name
+    """
+)
+def stored_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Listing and schema text of a database's base tables, as its catalog has them; the view is left out."""
+    database = _stored_catalog(spark, folder)
+    catalog = C.session_catalog(spark, database)
+    listed = F.transform("columns", lambda c: F.concat(c["column"], F.lit(":"), c["type"]))
+    return (
+        C.list_tables(catalog, database)
+        .select("table_name", F.array_join(listed, ",").alias("listed"))
+        .join(C.schema_lines(catalog, database), "table_name")
+        .join(_row_counts(spark, database), "table_name")
+    )
+
+
+@query(
+    """
+    SELECT 'columns' AS part, 'n_nationkey' AS first, 'bigint' AS second, 'true' AS third
+    UNION ALL SELECT 'columns', 'n_name', 'text', 'true'
+    UNION ALL SELECT 'columns', 'n_regionkey', 'bigint', 'true'
+    UNION ALL SELECT 'sample_rows', CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR)
+              FROM (SELECT * FROM nation ORDER BY n_nationkey LIMIT 3)
+    UNION ALL SELECT 'error', 'Table ''seen_not'' not found in public schema', NULL, NULL
+    UNION ALL SELECT 'error', 'Invalid table name', NULL, NULL
+    """
+)
+def stored_description(spark: SparkSession, folder: str) -> DataFrame:
+    """Description of one table of a database, and the answers to names that are not there or not names."""
+    database = _stored_catalog(spark, folder)
+    described = C.describe_table(spark, "nation", database, order_by=["n_nationkey"])
+    texts = ("first", "second", "third")
+
+    def part(name: str, df: DataFrame) -> DataFrame:
+        return df.toDF(*texts).select(F.lit(name).alias("part"), *[F.col(c).cast("string").alias(c) for c in texts])
+
+    problems = [answer(spark, {"table_name": t}, database)["error"] for t in ("seen_not", "a b")]
+    errors = small_table(spark, dict.fromkeys(texts, "string"), [(p, None, None) for p in problems])
+    return part("columns", described.columns).unionByName(part("sample_rows", described.sample_rows)).unionByName(
+        part("error", errors)
+    )
+
+
+@query(
+    '''
+    SELECT 'CREATE TABLE "line ""items""" (' || chr(10) || string_agg('  "' || column_name || '" ' || storage_type, ',' || chr(10)
+           ORDER BY ordinal) || chr(10) || ')' AS ddl
+    FROM (VALUES (1, 'l_orderkey', 'BIGINT'), (2, 'l_linenumber', 'BIGINT'),
+                 (3, 'l_quantity', (SELECT CASE WHEN bool_and(l_quantity % 1 = 0) THEN 'BIGINT'
+                                                ELSE 'DOUBLE PRECISION' END FROM lineitem)),
+                 (4, 'half ""price""', 'DOUBLE PRECISION'), (5, 'l_returnflag', 'TEXT'), (6, 'l_shipdate', 'TIMESTAMP')
+    ) AS report(ordinal, column_name, storage_type)
+    '''
+)
+def ddl_statement(spark: SparkSession, folder: str) -> DataFrame:
+    items = scan_table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", (F.col("l_extendedprice") / 2 + 0.25).alias('half "price"'),
+        "l_returnflag", "l_shipdate",
+    )
+    report = schema_report(spark, resolve_types(items, TableSpec("lineitem")))
+    return ddl_text(report, 'line "items"')
+
+
+ANSWERED = (
+    {"query": "SELECT o_orderkey AS k, 1 AS K, o_orderstatus AS s, o_orderstatus AS s FROM orders WHERE o_orderkey < 40"},
+    {"query": "SELECT 1 / (o_orderkey - o_orderkey) AS x FROM orders"},
+    {"query": "DELETE FROM orders"},
+    {"table_name": "no; such"},
+)
+
+
+@query(
+    """
+    SELECT 0 AS event_no, 'execute_sql' AS tool, '{"k":' || o_orderkey || ',"K":1,"s":"' || o_orderstatus || '"}' AS row_json,
+           NULL AS error
+    FROM orders WHERE o_orderkey < 40
+    UNION ALL SELECT 1, 'execute_sql', NULL, 'Internal error: [DIVIDE_BY_ZERO]'
+    UNION ALL SELECT 2, 'execute_sql', NULL, 'Only SELECT queries are allowed'
+    UNION ALL SELECT 3, 'describe_table', NULL, 'Invalid table name'
+    """
+)
+def tool_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers as records: rows, an error while rows are computed, and refusals."""
+    register_views(spark, folder, ["orders"])
+    root = shared_folder(spark, "answers")
+    answers = [
+        written_answer(spark, event, f"{root}/{i}").select(
+            F.lit(i).alias("event_no"), "tool", "row_json",
+            F.coalesce(F.regexp_extract("error", r"^[^\[]*\[DIVIDE_BY_ZERO\]", 0), F.lit("")).alias("short"), "error",
+        )
+        for i, event in enumerate(ANSWERED)
+    ]
+    rows = reduce(DataFrame.unionByName, answers)
+    error = F.when(F.col("short") != "", F.regexp_replace("short", ": .*\\[", ": [")).otherwise(F.col("error"))
+    return rows.select("event_no", "tool", "row_json", error.alias("error"))

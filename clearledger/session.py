@@ -6,6 +6,7 @@ import threading
 import uuid
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import SparkSession
 
@@ -31,7 +32,9 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-_settings_lock = threading.RLock()
+# One lock per session: those who share a session take turns, others don't wait for them.
+_locks: WeakKeyDictionary[SparkSession, threading.RLock] = WeakKeyDictionary()
+_locks_lock = threading.Lock()
 
 
 @contextmanager
@@ -40,7 +43,9 @@ def session_conf(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[N
 
     Threads that share a session take turns, so none sees another's settings.
     """
-    with _settings_lock:
+    with _locks_lock:
+        lock = _locks.setdefault(spark, threading.RLock())
+    with lock:
         before = {key: spark.conf.get(key, None) for key in settings}
         try:
             for key, value in settings.items():

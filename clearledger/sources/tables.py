@@ -45,21 +45,62 @@ def stage(df: DataFrame, root: str, table: str) -> Staged:
 def publish(spark: SparkSession, database: str, staged: Staged) -> None:
     """Point the table at the staged files.
 
-    Readers see the old version until this metadata change, so a failed load
-    never leaves an empty table. A table whose columns are unchanged only gets
-    a new location. Otherwise it is dropped and declared anew, and for the moment
-    between the two statements there is no table. Older versions stay on disk.
+    Readers see the old version until then, so a failed load never leaves an
+    empty table. A table whose columns are unchanged gets a new location. Otherwise
+    the new one is declared under a name of its own and the two change names; if that
+    fails, the old one gets its name back. Older versions stay on disk.
     """
     name = quoted(database, staged.table)
     new_schema = spark.read.parquet(staged.location).schema
-    if spark.catalog.tableExists(name) and spark.table(name).schema == new_schema:
+    if not spark.catalog.tableExists(name):
+        _declare(spark, name, staged.location)
+    elif spark.table(name).schema == new_schema:
         spark.sql(f"ALTER TABLE {name} SET LOCATION {_literal(staged.location)}")
     else:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        spark.sql(f"CREATE TABLE {name} USING parquet LOCATION {_literal(staged.location)}")
+        mark = uuid.uuid4().hex[:8]
+        fresh, old = (quoted(database, f"{staged.table}__{part}_{mark}") for part in ("new", "old"))
+        _declare(spark, fresh, staged.location)
+        try:
+            _rename(spark, name, old)
+            try:
+                _rename(spark, fresh, name)
+            except Exception:
+                _rename(spark, old, name)
+                raise
+        except Exception:
+            spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+            raise
+        spark.sql(f"DROP TABLE {old}")
     spark.catalog.refreshTable(name)
 
 
+def _declare(spark: SparkSession, name: str, location: str) -> None:
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION {_literal(location)}")
+
+
+def _rename(spark: SparkSession, name: str, to: str) -> None:
+    spark.sql(f"ALTER TABLE {name} RENAME TO {to}")
+
+
+def drop_old_versions(spark: SparkSession, database: str, root: str, table: str) -> int:
+    """Remove all versions below ``root`` but the published one; returns how many.
+
+    Readers that still use an older version fail from then on.
+    """
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(database, table)}")
+    [location] = described.where("col_name = 'Location'").collect()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{table}")
+    files = folder.getFileSystem(conf)
+    published = jvm.org.apache.hadoop.fs.Path(location["data_type"]).getName()
+    old = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName() != published]
+    if len(old) == len(files.listStatus(folder)):
+        raise ValueError(f"The published version of {table} is not below {root}")
+    for path in old:
+        files.delete(path, True)
+    return len(old)
+
+
 def refresh_table(df: DataFrame, database: str, root: str, table: str) -> Staged:
     """Replace ``database.table`` by ``df``; runs the write."""
     staged = stage(df, root, table)

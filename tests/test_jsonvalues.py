@@ -66,3 +66,8 @@ def test_repeated_columns_of_a_join(spark):
     a = spark.range(3)
     joined = a.alias("x").join(a.alias("y"), F.col("x.id") == F.col("y.id"))
     assert [r[0] for r in J.rows_as_json(joined).collect()] == ['{"id":0}', '{"id":1}', '{"id":2}']
+
+
+def test_names_that_repeat_or_differ_by_case(spark):
+    df = spark.sql("SELECT 1 AS a, 2 AS A, 3 AS a, named_struct('x', 1, 'X', 2) AS s")
+    assert J.rows_as_json(df).first().row_json == '{"a":3,"A":2,"s":{"x":1,"X":2}}'

@@ -10,7 +10,7 @@ from clearledger.operators import records as X
 from clearledger.operators.typing import resolve_types
 from clearledger.plans.load import load_table, load_tables, mask_stored_table
 from clearledger.session import shared_folder
-from clearledger.sources import jdbc
+from clearledger.sources import jdbc, tables
 from clearledger.sources.files import scan
 from clearledger.sources.tables import ensure_database, quoted, refresh_table
 from clearledger.specs import MANIFEST, MASK_POLICIES, MaskPolicy, TableSpec
@@ -186,17 +186,14 @@ def test_records_on_a_stream(spark, place):
     assert scan(spark, place, "logged").count() == 25
 
 
-def test_shared_folder_is_required_off_a_single_machine(spark, monkeypatch):
-    class Conf:
-        def get(self, key, default=None):
-            return {"spark.master": "yarn"}.get(key, default)
-
+def test_shared_folder_lies_where_every_executor_reaches():
     class Session:
-        conf = Conf()
-
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(Session(), "x")
+        def __init__(self, **settings):
+            self.conf = {key.replace("_", "."): value for key, value in settings.items()}
 
+    given = Session(spark_checkpoint_dir="s3a://work/", spark_sql_warehouse_dir="s3a://tables")
+    assert shared_folder(given, "x").startswith("s3a://work/x-")
+    assert shared_folder(Session(spark_sql_warehouse_dir="s3a://tables"), "x").startswith("s3a://tables/_between/x-")
 
 def test_jdbc_options():
     connection = jdbc.Connection("jdbc:postgresql://host:5432/db", "me", "secret")
@@ -213,3 +210,56 @@ def test_jdbc_options():
 def test_spec_without_source_reads_its_own_name(spark, folder, place):
     report = load_tables(spark, folder, "plain", f"{place}/plain", [TableSpec("nation")], {})
     assert [(r.table_name, r.n_rows, r.complete) for r in report.collect()] == [("nation", 25, True)]
+
+
+def _version(spark, rows, schema="a long"):
+    return spark.createDataFrame(rows, schema)
+
+
+def test_changed_columns_never_leave_a_moment_without_a_table(spark, place, monkeypatch):
+    ensure_database(spark, "swapped", f"{place}/swapped")
+    refresh_table(_version(spark, [(1,)]), "swapped", f"{place}/swap", "t")
+    real = tables._rename
+
+    def failing(session, name, to):
+        if "__new_" in name:
+            raise RuntimeError("lost")
+        real(session, name, to)
+
+    monkeypatch.setattr(tables, "_rename", failing)
+    with pytest.raises(RuntimeError, match="lost"):
+        refresh_table(_version(spark, [(1.5,)], "a double"), "swapped", f"{place}/swap", "t")
+    assert [tuple(r) for r in spark.table("swapped.t").collect()] == [(1,)]
+    assert [t.name for t in spark.catalog.listTables("swapped") if not t.isTemporary] == ["t"]
+    monkeypatch.undo()
+    refresh_table(_version(spark, [(1.5,)], "a double"), "swapped", f"{place}/swap", "t")
+    assert [tuple(r) for r in spark.table("swapped.t").collect()] == [(1.5,)]
+    assert [t.name for t in spark.catalog.listTables("swapped") if not t.isTemporary] == ["t"]
+
+
+def test_no_raw_value_is_left_after_masking_and_removal(spark, place):
+    ensure_database(spark, "cleaned", f"{place}/cleaned")
+    root = f"{place}/clean"
+    refresh_table(spark.createDataFrame([("9875 5676",)], "phone string"), "cleaned", root, "t")
+    mask_stored_table(spark, "cleaned", "t", root, MaskPolicy(phones=("phone",)))
+    everything = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/t")
+    assert {r.phone for r in everything.collect()} == {"9875 5676", "9875 XXXX"}
+    assert tables.drop_old_versions(spark, "cleaned", root, "t") == 1
+    assert tables.drop_old_versions(spark, "cleaned", root, "t") == 0
+    everything = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/t")
+    assert [r.phone for r in everything.collect()] == ["9875 XXXX"] == [r.phone for r in spark.table("cleaned.t").collect()]
+    with pytest.raises(ValueError, match="published"):
+        spark.createDataFrame([("x",)], "phone string").write.parquet(f"{root}-other/t/version-x")
+        tables.drop_old_versions(spark, "cleaned", f"{root}-other", "t")
+
+
+def test_a_fraction_arriving_late_is_null_not_cut(spark, place):
+    source, out = f"{place}/late", f"{place}/late-out"
+    spark.createDataFrame([(1.0,), (2.0,)], "a double").write.parquet(f"{source}/one")
+    spec = TableSpec("late")
+    types = resolve_types(spark.read.parquet(f"{source}/one"), spec)
+    spark.createDataFrame([(1.5,), (3.0,)], "a double").write.parquet(f"{source}/two")
+    raw = spark.read.parquet(f"{source}/one")
+    stream = intake.clean_and_mask(intake.arriving(spark, f"{source}/*", raw.schema), spec, types)
+    intake.append_to(stream, out, f"{place}/late-progress").awaitTermination()
+    assert sorted((r.a for r in spark.read.parquet(out).collect()), key=str) == [1, 2, 3, None]

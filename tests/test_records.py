@@ -11,68 +11,72 @@ from clearledger.functions import messages as M
 from clearledger.operators import records as X
 
 
-def folded(messages: list[tuple[str, str]]) -> str:
-    if len(messages) < 2:
-        return "".join(text for _, text in messages)
-    told = [f"{role.capitalize()}: {text}" for role, text in messages[:-1]]
-    return "\n".join(["Conversation history:", *told, "", f"Current question: {messages[-1][1]}"])
-
-
+# Turns of a conversation with the lines that its prompt shows for them.
 CONVERSATIONS = {
-    1: [("user", "one\nline two")],
-    2: [("user", "hi"), ("assistant", "hello")],
-    3: [("SYSTEM", "be brief"), ("user", "a"), ("assistant", "b"), ("user", "c")],
-    4: [("user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(1000)],
-    5: [("user", f"t{i}") for i in range(7)],
-    6: [("user", f"t{i}") for i in range(8)],
+    1: [("user", "one\nline two", "one\nline two")],
+    2: [("user", "hi", "Conversation history:\nUser: hi"), ("assistant", "hello", "\nCurrent question: hello")],
+    3: [
+        ("SYSTEM", "be brief", "Conversation history:\nSystem: be brief"),
+        ("user", "a", "User: a"),
+        ("assistant", "b", "Assistant: b"),
+        ("user", "c", "\nCurrent question: c"),
+    ],
+    4: [
+        ("user", "a", "Conversation history:\nUser: a"),
+        ("user", None, "User: None"),
+        (None, "c", "None: c"),
+        (None, None, "\nCurrent question: None"),
+    ],
+    None: [("user", "lost", "Conversation history:\nUser: lost"), ("user", "found", "\nCurrent question: found")],
 }
-# Turn numbers need not start at 0; conversation 6 starts inside a part.
-FIRST_TURN = {6: 3}
 
 
-@pytest.fixture(scope="module")
-def turns(spark):
+def test_lines_of_prompts(spark):
     rows = [
-        (key, FIRST_TURN.get(key, 0) + i, role, text)
-        for key, messages in CONVERSATIONS.items()
-        for i, (role, text) in enumerate(messages)
+        (key, i * 100 - 7, role, text)
+        for key, turns in CONVERSATIONS.items()
+        for i, (role, text, _) in enumerate(turns)
     ]
-    return spark.createDataFrame(rows, "key long, turn long, role string, text string").repartition(5)
+    df = spark.createDataFrame(rows, "key long, turn long, role string, text string").repartition(5)
+    found = {(r.key, r.turn): (r.line, r.complete) for r in X.fold_prompts(df, "key", "turn", "role", "text").collect()}
+    assert {k: line for k, (line, _) in found.items()} == {
+        (key, i * 100 - 7): line for key, turns in CONVERSATIONS.items() for i, (_, _, line) in enumerate(turns)
+    }
+    assert sorted(k for k, (_, complete) in found.items() if not complete) == [(4, 93), (4, 193), (4, 293)]
 
 
-@pytest.mark.parametrize("rows_per_part", [1, 2, 3, 7, 8, 256, 5000])
-def test_parts_make_up_the_prompt(turns, rows_per_part):
-    parts = X.fold_prompts(turns, "key", "turn", "role", "text", rows_per_part).collect()
-    for key, messages in CONVERSATIONS.items():
-        own = sorted((p.part, p.prompt) for p in parts if p.key == key)
-        assert "\n".join(text for _, text in own) == folded(messages)
-        first = FIRST_TURN.get(key, 0)
-        assert len(own) == (first + len(messages) - 1) // rows_per_part - first // rows_per_part + 1
+@pytest.mark.parametrize("n", [1, 2, 257, 10_000])
+def test_prompts_of_any_length(spark, n):
+    turns = spark.range(n).selectExpr("1 AS key", "id * 3 AS turn", "'user' AS role", "concat('t', id) AS text")
+    lines = [r.line for r in X.fold_prompts(turns, "key", "turn", "role", "text").orderBy("turn").collect()]
+    assert len(lines) == n
+    if n > 1:
+        assert lines[0] == "Conversation history:\nUser: t0" and lines[-1] == f"\nCurrent question: t{n - 1}"
+        assert lines[1:-1] == [f"User: t{i}" for i in range(1, n - 1)]
+    else:
+        assert lines == ["t0"]
 
 
 def test_prompt_of_one_row(spark):
-    rows = [(k, m) for k, m in CONVERSATIONS.items()] + [(0, [])]
+    rows = [(k or 0, [(role, text) for role, text, _ in turns]) for k, turns in CONVERSATIONS.items()] + [(9, [])]
     df = spark.createDataFrame(rows, "key long, messages array<struct<role:string,content:string>>")
-    for row in df.select("key", M.prompt_of(F.col("messages")).alias("prompt")).collect():
-        assert row.prompt == folded(CONVERSATIONS.get(row.key, []))
+    prompts = {r.key: r.prompt for r in df.select("key", M.prompt_of(F.col("messages")).alias("prompt")).collect()}
+    assert prompts.pop(9) == ""
+    assert prompts == {k or 0: "\n".join(line for _, _, line in turns) for k, turns in CONVERSATIONS.items()}
 
 
-@pytest.mark.parametrize("rows_per_part", [3, 256])
-def test_deltas(spark, rows_per_part):
+def test_deltas(spark):
     def event(i):
         if i % 5 == 4:
             return '{"messageStop":{}}'
         return json.dumps({"contentBlockDelta": {"delta": {"text": "" if i % 5 == 3 else f"<{i}é>"}}})
 
-    rows = [(s, i, event(i)) for s in range(3) for i in range(40)] + [(9, 0, "broken {")]
+    rows = [(s, i, event(i)) for s in range(3) for i in range(700)] + [(9, 0, "broken {")]
     df = spark.createDataFrame(rows, "s long, i long, e string").repartition(4)
-    whole = "".join(f"<{i}é>" for i in range(40) if i % 5 < 3)
-    parts = X.assemble_deltas(df, "s", "i", "e", rows_per_part).collect()
-    assert {p.s for p in parts} == {0, 1, 2}
+    found = X.assemble_deltas(df, "s", "i", "e").orderBy("s", "i").collect()
+    assert [(r.s, r.i) for r in found] == [(s, i) for s in range(3) for i in range(700) if i % 5 < 4]
     for s in range(3):
-        own = sorted((p.part, p.text, p.n_rows) for p in parts if p.s == s)
-        assert "".join(text for _, text, _ in own) == whole
-        assert sum(n for _, _, n in own) == 32
+        assert "".join(r.delta for r in found if r.s == s) == "".join(f"<{i}é>" for i in range(700) if i % 5 < 3)
 
 
 def test_deltas_of_one_response(spark):
@@ -96,9 +100,43 @@ BODIES = {
     "not json": (400, "Body is not valid JSON", None),
     "": (400, "Body is not valid JSON", None),
     "[1]": (500, "Internal Server Error", None),
+    '{"messages":"hi"}': (500, "Internal Server Error", None),
+    '{"messages":["hi"]}': (500, "Internal Server Error", None),
+    '{"messages":{"role":"user"}}': (500, "Internal Server Error", None),
+    '{"messages":[{"role":"user"}]}': (500, "Internal Server Error", None),
+    '{"messages":[{"content":"a"},{"content":"b"}]}': (500, "Internal Server Error", None),
+    '{"messages":[{"content":"b"}]}': (200, None, "b"),
+    '{"messages":[{"role":"user","content":null},{"role":"user","content":"b"}]}': (
+        200, None, "Conversation history:\nUser: None\n\nCurrent question: b",
+    ),
 }
 
 
+def test_a_body_too_large_is_not_called_malformed(spark, monkeypatch):
+    monkeypatch.setattr(X, "MAX_BODY_BYTES", 20)
+    df = spark.createDataFrame([('{"prompt":"' + "x" * 30 + '"}',), ('{"prompt":"x"}',), ("no",)], "body string")
+    assert [r.status for r in X.normalise_requests(df, "body").collect()] == [413, 200, 400]
+    routed = X.route_requests(df.withColumn("path", F.lit("/v1/chat/completions")), "path", "body", ROUTES)
+    assert [r.status for r in routed.collect()] == [413, 400, 400]
+
+
+def test_one_parse_for_route_and_session(spark):
+    df = spark.createDataFrame([("/v1/chat/completions", GOOD + "}", "r")], "path string, body string, id string")
+    routed = X.route_requests(X.parse_bodies(df, "body"), "path", "body", ROUTES)
+    summary = X.request_summary(X.session_context(routed, "body", "id"))
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1, plan
+    assert summary.count() == 1
+
+
+def test_ids_tell_keys_apart(spark):
+    rows = [(None, "x"), ("x", None), ("a:b", "c"), ("a", "b:c"), (None, None), ("", "")]
+    df = spark.createDataFrame(rows, "a string, b string").select(M.stable_id(F.col("a"), F.col("b")).alias("id"))
+    assert len({r.id for r in df.collect()}) == len(rows)
+    nobody = spark.createDataFrame([(None, "{}")], "id string, body string")
+    assert X.session_context(nobody, "body", "id").first().session_id is None
+
+
 def test_normalise(spark):
     df = spark.createDataFrame(list(enumerate(BODIES)), "i int, body string")
     rows = (
@@ -129,12 +167,17 @@ def test_blocks(spark):
         {"role": "user", "content": "a"},
         {"role": "assistant", "content": [{"text": "b"}, {"text": "c"}]},
         {"role": "user", "content": ""},
+        {"role": "user"},
+        {"role": "user", "content": [{"type": "text", "text": "d"}, {"image": {"source": "i"}}]},
     ]}
-    df = spark.createDataFrame([(json.dumps(body),)], "body string")
-    found = X.block_messages(df, "body").first().messages
-    assert [(m.role, [b.text for b in m.content]) for m in found] == [
-        ("user", ["a"]), ("assistant", ["b", "c"]), ("user", [""]),
+    bodies = [json.dumps(body), '{"messages":["a"]}', '{"messages":"a"}', "{}"]
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    found, *unusable = (r.messages for r in X.block_messages(df, "body").collect())
+    assert [(m.role, [json.loads(b.toJson()) for b in m.content]) for m in found] == [
+        ("user", [{"text": "a"}]), ("assistant", [{"text": "b"}, {"text": "c"}]), ("user", [{"text": ""}]),
+        ("user", [{"text": ""}]), ("user", [{"type": "text", "text": "d"}, {"image": {"source": "i"}}]),
     ]
+    assert unusable == [None, None, None]
 
 
 ROUTES = X.Routes(("one", "two"), default="one", default_model="plain")
@@ -148,9 +191,17 @@ ROUTED = [
     ("/one/v1/chat/completions", "not json", ("one", 400, "invalid JSON body", None, None, None)),
     ("/one/v1/chat/completions", "{}", ("one", 400, "messages must not be empty", None, None, None)),
     ("/v1/chat/completions", '{"messages":[]}', ("one", 400, "messages must not be empty", None, None, None)),
+    ("one", GOOD + "}", (None, 404, "Unknown runtime: one", None, None, None)),
+    ("/one/v1/chat", GOOD + "}", (None, 404, "Unknown runtime: /one/v1/chat", None, None, None)),
+    ("/one/v1/chat/completions", '{"messages":["x"]}', ("one", 500, "Internal Server Error", None, None, None)),
 ]
 
 
+def test_routes_are_named_once():
+    with pytest.raises(ValueError, match="twice"):
+        X.Routes(("one", "one"), default="one", default_model="plain")
+
+
 def test_routes(spark):
     rows = [(i, path, body) for i, (path, body, _) in enumerate(ROUTED)]
     df = spark.createDataFrame(rows, "i int, path string, body string")

@@ -135,8 +135,9 @@ def test_names_that_need_quoting(spark):
     df = spark.createDataFrame([(1.0, "x")], "`a.b` double, `c ``d` string")
     prepared = Y.prepare(df, TableSpec("t"))
     assert prepared.frame.columns == ["a.b", "c `d"]
-    assert Y.ddl_text("t", prepared.types) == 'CREATE TABLE "t" (\n  "a.b" BIGINT,\n  "c `d" TEXT\n)'
-    report = Y.schema_report(spark, prepared.types).collect()
+    report = Y.schema_report(spark, prepared.types)
+    assert Y.ddl_text(report, 't "u"').first().ddl == 'CREATE TABLE "t ""u""" (\n  "a.b" BIGINT,\n  "c `d" TEXT\n)'
+    report = report.collect()
     assert [tuple(r) for r in report] == [(1, "a.b", "BIGINT"), (2, "c `d", "TEXT")]
 
 
@@ -173,3 +174,25 @@ def test_manifest_declares_each_column_once():
 
 def test_types_are_spark_types(spark):
     assert Y.storage_type(T.StructField("a", T.StringType()), TableSpec("t"), {}) == "TEXT"
+
+
+def test_a_fraction_that_comes_later_is_a_reject(spark):
+    df = spark.createDataFrame([(1.0,), (1.5,), (2.0**63,), (-(2.0**63),), (float("nan"),), (None,)], "a double")
+    types = {"a": "BIGINT"}
+    assert [r.a for r in Y.prepare(df, TableSpec("t"), types).frame.collect()] == [1, None, None, -(2**63), None, None]
+    [row] = Y.reject_counts(df, TableSpec("t"), types).collect()
+    assert tuple(row) == ("a", "BIGINT", 2)
+
+
+@pytest.mark.parametrize(("value", "whole"), [(9.21e18, True), (2.0**63, False), (-(2.0**63), True), (0.5, False)])
+def test_the_bound_of_whole_numbers(spark, value, whole):
+    assert Y.whole_columns(spark.createDataFrame([(value,)], "a double")) == {"a": whole}
+
+
+def test_declared_columns_that_are_absent_or_typed(spark):
+    df = spark.sql("SELECT TIMESTAMP_NTZ'2020-01-02 03:04:05' AS a, 5 AS b, '1:2' AS c")
+    spec = TableSpec("t", time_columns=("a", "b", "c", "absent"), timestamp_columns=("gone",))
+    [row] = Y.reject_counts(df, spec).collect()
+    assert tuple(row) == ("c", "TIME", 1)
+    assert Y.reject_counts(df.drop("c"), spec).count() == 0
+    assert Y.prepare(df, spec).frame.count() == 1
