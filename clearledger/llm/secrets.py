@@ -123,6 +123,7 @@ def labelled_findings(spark: SparkSession, n: int = TRAINED_ON) -> DataFrame:
             F.concat(word, F.lit(" id ")), F.lit(" "),
         ),
         (F.concat(word, F.lit("/"), other, F.lit("/"), sub(digits, 4), F.lit(".html")), F.lit("see https://site/"), F.lit(" ")),
+        (F.concat(F.lit("//"), other, F.lit("/"), word, F.lit("/"), other, F.lit("/"), sub(digits, 4), F.lit(".html")), F.lit("see https:"), F.lit(" ")),
         (F.concat(word, F.lit("_"), other, F.lit("_"), sub(digits, 2)), F.concat(other, F.lit(" ")), F.lit(" = ")),
         (F.concat_ws(".", sub(digits, 3), F.substring(digits, 4, 3), F.substring(digits, 7, 2), F.substring(digits, 9, 3)),
          F.concat(word, F.lit(" ")), F.lit(" ")),
