@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -18,8 +19,8 @@ GRAMS = (3, 4, 5)
 WINDOW = 4
 # Training texts that must hold a subword before its vector is learnt; rarer ones stay zero.
 MIN_TEXTS = 4
-# Labelled rows of each class that the model is fitted on at most.
-SAMPLE = 2500
+# Labelled rows, toxic and other, that the model is fitted on at most.
+SAMPLE = (1500, 2500)
 EPOCHS = 80
 THRESHOLD = 0.7
 REMEMBERED = 600_000
@@ -89,6 +90,15 @@ def scorer_of(mark: int, margins: np.ndarray, bias: float) -> Scorer:
     return _scorers[mark]
 
 
+def _summed(to: np.ndarray, values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """``values[at]`` added up by ``to``, a part at a time: the arrays of all subwords are long."""
+    out = np.zeros(n)
+    for begin in range(0, len(to), 1 << 20):
+        part = slice(begin, begin + (1 << 20))
+        out += np.bincount(to[part], values[at[part]], n)
+    return out
+
+
 def fit(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Train vectors and softmax together by Adam on whole texts.
 
@@ -106,7 +116,7 @@ def fit(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed: i
         return Model(vectors * 0, weights, np.array([0.0, 0.0 if not len(y) else 4.0 * (2 * y[0] - 1)]))
 
     vocabulary: dict[str, int] = {}
-    tokens, begins, ends, owners = [], [], [], []
+    tokens, begins, ends, owners = array("i"), array("q"), array("q"), array("q")
     for owner, text in enumerate(texts):
         words = (text or "").lower().split()
         at = len(tokens)
@@ -118,23 +128,30 @@ def fit(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed: i
         begins.extend(first)
         ends.extend(b + width for b in first)
         owners.extend([owner] * len(first))
-    grams = [subwords(w) for w in vocabulary]
-    lengths = np.array([len(g) for g in grams], np.int64)
-    ids = np.fromiter((i for g in grams for i in g), np.int32, int(lengths.sum()))
-    of_word = np.repeat(np.arange(len(grams), dtype=np.int32), lengths)
-    del grams
-    tokens = np.asarray(tokens, np.int64)
-    begins, ends, owners = (np.asarray(v, np.int64) for v in (begins, ends, owners))
+    n_words = len(vocabulary)
+    flat, lengths = array("i"), np.zeros(n_words, np.int64)
+    for number, word in enumerate(vocabulary):
+        grams = subwords(word)
+        lengths[number] = len(grams)
+        flat.extend(grams)
+    del vocabulary
+    ids = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
+    of_word = np.repeat(np.arange(n_words, dtype=np.int32), lengths)
+    tokens = np.array(tokens, np.int32)
+    begins, ends, owners = (np.array(v, np.int64) for v in (begins, ends, owners))
     widths = np.maximum(ends - begins, 1)
     starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    used, local = np.unique(ids, return_inverse=True)
-    # How many texts hold a word bounds how many hold its subwords from below.
-    text_of = np.repeat(np.arange(len(texts)), [len((t or "").split()) for t in texts])
-    pairs = np.unique(text_of * np.int64(len(lengths)) + tokens)
-    held = np.bincount(pairs % len(lengths), minlength=len(lengths))
-    common = np.bincount(local, held[of_word], len(used)) >= MIN_TEXTS
-    own = vectors[used] * common[:, None]
+    # The texts that hold a subword, counted word by word; entries of rare subwords go.
+    text_of = np.repeat(np.arange(len(texts), dtype=np.int64), [len((t or "").split()) for t in texts])
+    held = np.bincount(np.unique(text_of * n_words + tokens) % max(1, n_words), minlength=n_words)
+    common = np.bincount(ids, held[of_word], BUCKETS) >= MIN_TEXTS
+    kept = common[ids]
+    used = np.flatnonzero(common)
+    local = (np.cumsum(common, dtype=np.int32) - 1)[ids[kept]]
+    of_word = of_word[kept]
+    del ids, flat, kept, text_of
+    own = vectors[used]
     per_word = 1.0 / np.maximum(lengths, 1)
 
     parameters = [own, weights, biases]
@@ -145,7 +162,7 @@ def fit(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed: i
         own, weights, biases = parameters
         direction = weights[1] - weights[0]
         margins = own @ direction
-        word = np.bincount(of_word, margins[local], len(lengths)) * per_word
+        word = _summed(of_word, margins, local, n_words) * per_word
         sums = np.r_[0.0, np.cumsum(word[tokens])]
         window = (sums[ends] - sums[begins]) / widths + biases[1] - biases[0]
         top = np.maximum.reduceat(window, starts)
@@ -158,12 +175,12 @@ def fit(texts: list[str | None], toxic: list[int], epochs: int = EPOCHS, seed: i
         change = np.zeros(len(tokens) + 1)
         np.add.at(change, begins, by_window / widths)
         np.add.at(change, ends, -by_window / widths)
-        by_word = np.bincount(tokens, np.cumsum(change[:-1]), len(lengths)) * per_word
-        by_gram = np.bincount(local, by_word[of_word], len(used))
+        by_word = np.bincount(tokens, np.cumsum(change[:-1]), n_words) * per_word
+        by_gram = _summed(local, by_word, of_word, len(used))
         grad_direction = own.T @ by_gram + 1e-4 * direction
         grad_bias = by_text.sum()
         gradients = [
-            np.outer(by_gram * common, direction) + 1e-5 * own,
+            np.outer(by_gram, direction) + 1e-5 * own,
             np.stack([-grad_direction, grad_direction]),
             np.array([-grad_bias, grad_bias]),
         ]
@@ -184,7 +201,9 @@ def held_out(key: Column) -> Column:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
+    label: str = "toxic",
+    sample: tuple[int, int] = SAMPLE,
 ) -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out.
 
@@ -198,8 +217,8 @@ def train(
         .groupBy("k").agg(F.max("y").alias("y"))
     )
     order = [F.xxhash64("k"), "k"]
-    chosen = known.where("y = 1").orderBy(*order).limit(sample).unionByName(
-        known.where("y = 0").orderBy(*order).limit(sample)
+    chosen = known.where("y = 1").orderBy(*order).limit(sample[0]).unionByName(
+        known.where("y = 0").orderBy(*order).limit(sample[1])
     )
     texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text"))
     rows = texts.join(F.broadcast(chosen), "k").orderBy("k", "text").toPandas()

@@ -37,7 +37,7 @@ def test_held_out_accuracy(trained):
 def test_unseen_misspelling_shares_subwords(spark, trained):
     docs, labels, _ = trained
     model = toxicity.train(docs, labels)
-    rows = spark.createDataFrame([("chigra el zwakkell ix",), ("chigra el holfum ix",), ("",), (None,)], "text string")
+    rows = spark.createDataFrame([("chigra holfum zwakkell dorgra",), ("chigra holfum eldor dorgra",), ("",), (None,)], "text string")
     unseen, clean, empty, missing = (r["score"] for r in toxicity.scored(rows, model).collect())
     assert unseen > 0.7 > 0.5 > clean
     assert empty == missing and 0 <= empty <= 1
