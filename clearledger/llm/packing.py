@@ -217,7 +217,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFr
     offsets = cut.groupBy("size", "part").count().select(
         "size", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("earlier")
     )
-    order = Window.partitionBy("size", "part").orderBy("doc_id", "row", "start")
+    order = Window.partitionBy("size", "part").orderBy("row", "start")
     ranked = cut.join(offsets, ["size", "part"]).withColumn("rank", F.col("earlier") + F.row_number().over(order) - 1)
     # One row for each size of a pattern: a constant bound, whatever the number of documents.
     table = spark.createDataFrame(slots(patterns), "size int, first long, upto long, count long, sequence long")
@@ -229,11 +229,23 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFr
     return placed.drop("size", "part", "earlier", "rank", "first", "upto", "count", "sequence")
 
 
-def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """``row, doc_id, start, length, doc_tokens, ids, sequence_id, offset`` per piece of all documents.
+def pack_documents(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    path: str | None = None,
+    values: tuple[str, ...] = ("ids",),
+) -> DataFrame:
+    """``row, doc_id, start, length, doc_tokens, sequence_id, offset`` and ``values`` per piece of all documents.
+
+    ``values`` are SQL expressions over a piece's ``ids``, the ids themselves unless others are given. Places are found
+    for lengths alone, and a piece's values join them in one shuffle at the end.
 
     A NULL or empty text is packed as its closing id. Repeated rows and NULL keys are
     documents of their own. Very long texts are cut into full sequences and a rest. An
     empty table gives no pieces. Columns besides the two named are not read.
     """
-    return packed(stored(pieces(docs, key, text, path), "packing-pieces"))
+    cut = stored(pieces(docs, key, text, path), "packing-pieces")
+    placed = packed(cut.select("row", "start", "length")).drop("length")
+    own = cut.select("row", "doc_id", "start", "length", "doc_tokens", *map(F.expr, values))
+    return own.join(placed, ["row", "start"])

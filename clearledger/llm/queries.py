@@ -72,10 +72,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = packing.pack_documents(scan_table(spark, sf_dir, "documents"))
-    return rows.select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    rows = packing.pack_documents(
+        scan_table(spark, sf_dir, "documents"), values=("crc32(ids) AS ids_crc32",)
     )
+    return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 @query()
