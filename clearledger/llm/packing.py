@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ END_ID = 1
 # Lengths are rounded up to this unit in patterns; it bounds the linear program to 256 rows.
 UNIT = 8
 # Words a task remembers the ids of; beyond it the memory is emptied and filled anew.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 # Pieces of one length class that are ranked in one group.
 RANKED = 20_000
 # Columns priced at most; the program is feasible, only less tight, if it stops there.
@@ -28,7 +30,7 @@ TOLERANCE = 3e-4
 
 # Texts of these characters alone are NFC already, and their case does not hang on
 # neighbours; a word between blanks then has the same ids wherever it stands.
-_OTHER = re.compile(r"[^\t\n\r\x20-\x7e¡-įı-ɏ]")
+_OTHER = re.compile(r"[^\t\n\r\x20-\x7e\u00a1-\u012f\u0131-\u024f]")
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
 
@@ -38,31 +40,56 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is
+    printable in Latin-1, else the next one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
+
+
 class Encoder:
-    """Token ids of texts as little-endian bytes, four to an id; remembers words it has seen."""
+    """Token ids of texts as little-endian bytes, four to an id; remembers words it has seen.
+
+    A text of usual characters is cut at its blanks. A new word is cut by the
+    tokenizer's own pattern and its parts go to the tokenizer's model alone, since its
+    normalizer has nothing left to do. Other texts go to the tokenizer as they are.
+    """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        steps = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"]
+        self.parts = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        self.bytes = _byte_characters()
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
-
-    def _fresh(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in encoded]
+        self.known_parts: dict[str, bytes] = {}
+
+    def _fresh(self, words: list[str]) -> dict[str, bytes]:
+        cut = {w: (w,) if w.isalpha() else self.parts(w) for w in words}
+        known = self.known_parts
+        if len(known) > self.remembered:
+            known.clear()
+        new = list({p: None for own in cut.values() for p in own if p not in known})
+        mapped = [p.encode().decode("latin-1").translate(self.bytes) for p in new]
+        for part, e in zip(new, self.model.encode_batch_fast(mapped, add_special_tokens=False), strict=True):
+            known[part] = array("I", e.ids).tobytes()
+        return {w: b"".join([known[p] for p in own]) for w, own in cut.items()}
 
     def ids(self, text: str) -> bytes:
         if _OTHER.search(text) or ("<|" in text and _SPECIAL.search(text)):
-            return self._fresh([text])[0]
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         words = text.lower().split()
         found = list(map(self.known.get, words))
         if None in found:
             if len(self.known) > self.remembered:
                 self.known.clear()
-            new = list(dict.fromkeys(w for w, ids in zip(words, found, strict=True) if ids is None))
-            fresh = dict(zip(new, self._fresh(new), strict=True))
+            fresh = self._fresh(list({w: None for w, ids in zip(words, found, strict=True) if ids is None}))
             self.known.update(fresh)
             found = [fresh[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
         return b"".join(found)
