@@ -84,6 +84,7 @@ def host_rates(flagged: DataFrame, host: str, rules: list[str]) -> DataFrame:
     counts = flagged.groupBy(F.col(f"`{host}`").alias("host")).agg(
         F.count(F.lit(1)).alias("n"), *(F.sum(F.col(r).cast("long")).alias(f"{r}_n") for r in rules)
     )
+    counts = stored(counts, "quality-counts")
     priors = counts.agg(
         *(F.avg(F.col(f"{r}_n") / F.col("n")).alias(f"{r}_mean") for r in rules),
         *(F.var_pop(F.col(f"{r}_n") / F.col("n")).alias(f"{r}_var") for r in rules),
@@ -142,14 +143,23 @@ def judged(
     )
 
 
-def passing(docs: DataFrame, text: str = "text", host: str = "source", max_rates: Mapping[str, float] = MAX_RATES) -> DataFrame:
-    """The rows that pass, with all their columns: no base failure and no rejected host."""
+def passing(
+    docs: DataFrame, text: str = "text", host: str = "source", max_rates: Mapping[str, float] = MAX_RATES
+) -> DataFrame:
+    """The rows that pass, with all their columns: no base failure and no rejected host.
+
+    The texts are read twice, for the hosts' rates and for the rows' own rule, so
+    that no second copy of them has to be kept.
+    """
     names = docs.columns
     own, copy = f"{_WORK}host", f"{_WORK}text"
-    rows = docs.withColumns(
-        {own: F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")), copy: F.col(f"`{text}`")}
-    ).select(F.struct(*(F.col(f"`{c}`") for c in names)).alias(f"{_WORK}row"), own, copy)
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in names)).alias(f"{_WORK}row"),
+        F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias(own),
+        F.col(f"`{text}`").alias(copy),
+    )
     rules = failures()
-    flagged = stored(measured(rows, copy).drop(copy).withColumns({r: rules[r] for r in max_rates}), "quality-rows")
+    flagged = measured(rows.drop(f"{_WORK}row"), copy).drop(copy).withColumns({r: rules[r] for r in max_rates})
     bad = rejected_hosts(flagged, own, max_rates).withColumnRenamed("host", own)
-    return flagged.where("NOT base_failed").join(bad, own, "left_anti").select(f"{_WORK}row.*")
+    kept = measured(rows, copy).where(~rules["base_failed"])
+    return kept.join(bad, own, "left_anti").select(f"{_WORK}row.*")

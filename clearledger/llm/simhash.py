@@ -18,8 +18,8 @@ SEED = 42
 BLOCK = 1024
 # Shingles whose bits are counted at a time, which bounds the memory a long text takes.
 COUNTED = 1 << 16
-# Working columns beside those of a caller's table.
-ROW, PRINT = "__simhash_row", "__simhash_print"
+# The working column beside those of a caller's table.
+MARK = "__simhash_mark"
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -212,12 +212,26 @@ def grouped(marked: DataFrame, radius: int = 4) -> DataFrame:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
     """One row of each group, that with the smallest key; all columns as they were.
 
-    The rows are written once with their fingerprints, so that the row chosen is
-    known by its number whatever its key is.
+    Rows are told by their key and a hash of their text, so that only these are written, not a
+    second copy of the texts. Of rows that are equal in both any one stays.
     """
-    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
-    rows = stored(fingerprints(rows, text, name=PRINT), "simhash-rows")
-    marked = rows.select(F.col(ROW).alias("row"), F.col(f"`{key}`").alias("doc_id"), F.col(PRINT).alias("fp"))
+    own, mark = F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`"), F.col(f"`{text}`").isNull())
+    rows = fingerprints(docs.select(own.alias("doc_id"), mark.alias("mark"), F.col(f"`{text}`").alias("text")), name="fp")
+    marked = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "mark", "fp"), "simhash-rows")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    chosen = grouped(marked, radius).groupBy("root").agg(first.getField("row").alias(ROW))
-    return rows.join(chosen.select(ROW), ROW, "left_semi").drop(ROW, PRINT)
+    chosen = grouped(marked.drop("mark"), radius).groupBy("root").agg(first.getField("row").alias("row"))
+    chosen = stored(marked.join(chosen.select("row"), "row", "left_semi").select("doc_id", "mark"), "simhash-chosen")
+    equal = marked.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = chosen["doc_id"].eqNullSafe(equal["doc_id"]) & (chosen["mark"] == equal["mark"])
+    repeated = chosen.join(equal, same, "left_semi")
+    working = docs.withColumn(MARK, mark)
+
+    def of(some: DataFrame) -> DataFrame:
+        here = own.eqNullSafe(F.col(f"{MARK}_key")) & (F.col(MARK) == F.col(f"{MARK}_mark"))
+        picked = some.select(F.col("doc_id").alias(f"{MARK}_key"), F.col("mark").alias(f"{MARK}_mark")).distinct()
+        return working.join(picked, here, "left_semi")
+
+    if repeated.isEmpty():
+        return of(chosen).drop(MARK)
+    once = chosen.join(equal, same, "left_anti")
+    return of(once).unionByName(of(repeated).dropDuplicates([key, MARK])).drop(MARK)
