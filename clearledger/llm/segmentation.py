@@ -41,7 +41,8 @@ class Vocabulary:
         # Pieces without a rank of their own come after all others, bytes after these.
         self.least = min(usual) - 10
         self.pieces = {model.id_to_piece(i): (i, max(model.get_score(i), self.least)) for i in whole}
-        self.longest = max(map(len, self.pieces))
+        # Every beginning of a piece, so that a lattice stops looking where none goes on.
+        self.beginnings = {piece[:n] for piece in self.pieces for n in range(1, len(piece) + 1)}
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
     def lattice(self, text: str, sharpness: float) -> list[list[tuple[int, tuple[int, ...], float]]]:
@@ -49,15 +50,21 @@ class Vocabulary:
         body = SPACE + text.replace(" ", SPACE)
         n = len(body)
         edges: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(n + 1)]
-        pieces, longest = self.pieces, self.longest
+        pieces, beginnings = self.pieces, self.beginnings
         for begin in range(n):
-            for end in range(begin + 1, min(n, begin + longest) + 1):
-                piece = pieces.get(body[begin:end])
-                if piece is not None:
-                    edges[end].append((begin, (piece[0],), sharpness * piece[1]))
-            if body[begin] not in pieces:
-                ids = tuple(self.bytes[b] for b in body[begin].encode("utf-8", "surrogatepass"))
-                edges[begin + 1].append((begin, ids, sharpness * (self.least - 10) * len(ids)))
+            end = begin + 1
+            part = body[begin:end]
+            if part not in pieces:
+                ids = tuple(self.bytes[b] for b in part.encode("utf-8", "surrogatepass"))
+                edges[end].append((begin, ids, sharpness * (self.least - 10) * len(ids)))
+            while part in beginnings:
+                if part in pieces:
+                    own, score = pieces[part]
+                    edges[end].append((begin, (own,), sharpness * score))
+                if end == n:
+                    break
+                end += 1
+                part = body[begin:end]
         return edges
 
 
@@ -67,52 +74,70 @@ def sampled_paths(
     """The k first of all segmentations in the order of perturbed log probability, and the next one's.
 
     Each segmentation's log probability plus independent Gumbel noise orders it; the
-    first k are a sample without replacement. The search keeps partial segmentations
-    of the text's end with the greatest perturbed value below them: expanding one splits that value among
-    its last-but-one pieces as if the noise of all completions had been drawn. Returns
-    ``(ids, log probability, perturbed)`` and the value of number k + 1, minus infinity without one.
+    first k are a sample without replacement. The search goes on from the partial
+    segmentation of the text's end with the greatest perturbed value below it: its last-but-one
+    pieces race, the winner inherits the value and is followed at once, and the others get what the noise
+    of all their completions leaves them, which falls with their place in the race, so that only the next
+    of them has to wait in the queue. Returns ``(ids, log probability, perturbed)`` and the value of
+    number k + 1, minus infinity without one.
     """
-    log, exp, log1p, inf = math.log, math.exp, math.log1p, math.inf
+    log, exp, log1p, inf, uniform = math.log, math.exp, math.log1p, math.inf, draw.random
     total = [0.0] + [-inf] * (len(edges) - 1)
+    # For each position its pieces with their conditional log probability and probability.
+    nodes: list[list[tuple[int, tuple[int, ...], float, float]]] = [[]]
     for end in range(1, len(edges)):
         weights = [total[begin] + weight for begin, _, weight in edges[end]]
         top = max(weights, default=-inf)
-        if top > -inf:
-            total[end] = top + log(sum([exp(w - top) for w in weights]))
-
-    def noise() -> float:
-        return -log(-log(draw.random() or 5e-324))
-
+        here = total[end] = top + log(sum([exp(w - top) for w in weights])) if top > -inf else -inf
+        nodes.append(
+            [
+                (begin, ids, w - here, exp(max(w - here, -700.0)))
+                for (begin, ids, _), w in zip(edges[end], weights, strict=True)
+                if w > -inf
+            ]
+        )
     last = len(edges) - 1
-    queue = [(-noise(), 0, last, 0.0, None)]
+    if total[last] == -inf:
+        return [], -inf
     found: list[tuple[list[int], float, float]] = []
+    queue: list[tuple] = []
     order = 0
-    while queue:
-        minus, _, end, logp, path = heapq.heappop(queue)
-        if end == 0:
-            if len(found) == k:
-                return found, -minus
-            ids: list[int] = []
-            while path is not None:
-                ids.extend(path[0])
-                path = path[1]
-            found.append((ids, logp, -minus))
-            continue
-        bound = -minus
-        here = total[end]
-        children = [(logp + total[begin] + weight - here, begin, ids) for begin, ids, weight in edges[end]]
-        drawn = [child[0] + noise() for child in children]
-        highest = max(drawn)
-        for (value, begin, ids), g in zip(children, drawn, strict=True):
-            if g == highest:
-                perturbed = bound
+
+    def wait(race: list[tuple[float, int]], place: int, node, bound: float, logp: float, path) -> None:
+        """Queue the piece at a place of the race with the value that is left to it."""
+        nonlocal order
+        time = race[place][0]
+        share = race[0][0] / time
+        v = bound - logp + log(time) + (log1p(-share) if share < 1.0 else -inf)
+        value = bound - max(0.0, v) - log1p(exp(-abs(v)))
+        order += 1
+        heapq.heappush(queue, (-value, order, race, place, node, bound, logp, path))
+
+    bound, end, logp, path = -log(-log(uniform() or 5e-324)), last, 0.0, None
+    while True:
+        while end:
+            node = nodes[end]
+            if len(node) == 1:
+                begin, ids, step, _ = node[0]
             else:
-                gap = g - highest
-                v = bound - g + (log1p(-exp(gap)) if gap < -1e-12 else log(-gap) if gap < 0 else -inf)
-                perturbed = bound - max(0.0, v) - log1p(exp(-abs(v)))
-            order += 1
-            heapq.heappush(queue, (-perturbed, order, begin, value, (ids, path)))
-    return found, -inf
+                race = sorted([(-log(uniform() or 5e-324) / child[3], i) for i, child in enumerate(node)])
+                wait(race, 1, node, bound, logp, path)
+                begin, ids, step, _ = node[race[0][1]]
+            logp, path, end = logp + step, (ids, path), begin
+        if len(found) == k:
+            return found, bound
+        pieces: list[int] = []
+        while path is not None:
+            pieces.extend(path[0])
+            path = path[1]
+        found.append((pieces, logp, bound))
+        if not queue:
+            return found, -inf
+        minus, _, race, place, node, before, logp, path = heapq.heappop(queue)
+        if place + 1 < len(race):
+            wait(race, place + 1, node, before, logp, path)
+        begin, ids, step, _ = node[race[place][1]]
+        bound, logp, path, end = -minus, logp + step, (ids, path), begin
 
 
 def inclusion(logp: float, threshold: float) -> float:
@@ -155,10 +180,13 @@ def sampled_segmentations(
     depends on the row's keys and the seed alone, not on where or how often it runs.
 
     A text with fewer segmentations gives all of them, each with inclusion 1; a NULL or empty text gives none.
-    Rows with equal keys and texts have equal samples. Map-only.
+    Rows with equal keys and texts have equal samples. Rows are dealt evenly, whatever their keys.
     """
     path = path or default_model()
-    own = _checked(rows, keys, text, "__text")
+    # Drawing takes far longer than reading: as many parts as the cluster keeps busy, or more.
+    spark = rows.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = _checked(rows, keys, text, "__text").repartition(parts)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = vocabulary(path)
