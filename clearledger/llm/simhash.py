@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clearledger.llm.common import columns_of, stored
@@ -22,12 +22,12 @@ COUNTED = 1 << 16
 MARK = "__simhash_mark"
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """The SimHash of a whole text; 0 without words."""
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words, in order; of the whole text if it has fewer, none without words."""
     lower = (text or "").encode().lower()  # bytes: only A-Z change, only ASCII blanks divide
     words = lower.split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < width:
         grams: Iterator[bytes] = iter([b" ".join(words)])
         n = 1
@@ -35,7 +35,15 @@ def fingerprint(text: str | None, width: int = 4) -> int:
         grams = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
         n = len(words) - width + 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(gram, SEED) for gram in grams), np.uint64, n)
+    return np.fromiter((digest(gram, SEED) for gram in grams), np.uint64, n)
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """The SimHash of a whole text; 0 without words."""
+    hashes = shingles(text, width)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(BITS, np.int64)
     for begin in range(0, n, COUNTED):
         part = hashes[begin : begin + COUNTED].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -218,8 +226,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     own, mark = F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`"), F.col(f"`{text}`").isNull())
     rows = fingerprints(docs.select(own.alias("doc_id"), mark.alias("mark"), F.col(f"`{text}`").alias("text")), name="fp")
     marked = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "mark", "fp"), "simhash-rows")
+    return _firsts(docs, key, mark, marked, grouped(marked.drop("mark"), radius))
+
+
+def _firsts(docs: DataFrame, key: str, mark: Column, marked: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first in their group, by ``row, doc_id, mark`` and ``row, doc_id, root``."""
+    own = F.col(f"`{key}`")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    chosen = grouped(marked.drop("mark"), radius).groupBy("root").agg(first.getField("row").alias("row"))
+    chosen = rooted.groupBy("root").agg(first.getField("row").alias("row"))
     chosen = stored(marked.join(chosen.select("row"), "row", "left_semi").select("doc_id", "mark"), "simhash-chosen")
     equal = marked.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     same = chosen["doc_id"].eqNullSafe(equal["doc_id"]) & (chosen["mark"] == equal["mark"])

@@ -1,0 +1,59 @@
+from __future__ import annotations
+
+import random
+
+import corpus_pipeline
+from clearledger.llm import jaccard, simhash
+
+
+def shingle_sets(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def similarity(a, b):
+    x, y = shingle_sets(a), shingle_sets(b)
+    return len(x & y) / len(x | y)
+
+
+def near_copies():
+    """Texts and copies of each with some words changed, at similarities from about 0.6 to 1."""
+    pick = random.Random(11)
+    rows = []
+    for number in range(60):
+        words = [f"w{pick.randrange(5000)}" for _ in range(pick.choice((60, 200, 600)))]
+        rows.append((2 * number, " ".join(words)))
+        for place in pick.sample(range(len(words)), max(1, round(len(words) * pick.uniform(0.002, 0.05)))):
+            words[place] = f"x{pick.randrange(5000)}"
+        rows.append((2 * number + 1, " ".join(words)))
+    return rows
+
+
+def test_stage_drops_every_copy_from_similarity_0_8(spark, small):
+    rows = near_copies()
+    near = [similarity(rows[i][1], rows[i + 1][1]) for i in range(0, len(rows), 2)]
+    assert sum(0.8 <= s < 0.95 for s in near) > 15 and sum(s < 0.8 for s in near) > 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, small).collect()}
+    assert kept == {2 * i for i in range(60)} | {2 * i + 1 for i, s in enumerate(near) if s < 0.8}
+    assert len({r["doc_id"] for r in simhash.keep_one(docs).collect()}) > len(kept)
+
+
+def test_links_reach_along_chains_and_buckets_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    pick = random.Random(5)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for number in range(40):  # each differs a little from the one before it and much from the first
+        rows.append((number, " ".join(words)))
+        words[(number * 3) % 120] = f"x{pick.randrange(10**6)}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert similarity(rows[0][1], rows[-1][1]) < 0.2
+    assert [r["doc_id"] for r in jaccard.keep_one(docs).collect()] == [0]
+
+
+def test_edges(edges, no_documents):
+    kept = jaccard.keep_one(edges)
+    assert kept.columns == edges.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 6, 7, 8, 9, 10]
+    assert jaccard.keep_one(no_documents).count() == 0
