@@ -208,8 +208,9 @@ def train(
     """Fit on a bounded sample of the labelled rows that are not held out.
 
     ``sample`` bounds the rows of each class, chosen by a hash of their key. Only
-    these few keys are broadcast and only their whole texts come to the driver. NULL
-    labels and keys are left out; a key labelled twice counts as toxic if one label says so.
+    these few keys are broadcast and only one whole text of each, the least, comes to the driver,
+    however many rows repeat the key. NULL labels and keys are left out; a key labelled
+    twice counts as toxic if one label says so.
     """
     known = (
         labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").alias("y"))
@@ -221,7 +222,8 @@ def train(
         known.where("y = 0").orderBy(*order).limit(sample[1])
     )
     texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "k").orderBy("k", "text").toPandas()
+    one_each = texts.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    rows = one_each.orderBy("k").toPandas()
     return fit(rows["text"].tolist(), rows["y"].tolist())
 
 

@@ -67,3 +67,14 @@ def test_edges(spark, edges, no_documents):
     nothing = toxicity.toxicity(edges, labels.where("false")).collect()
     assert {r["score"] for r in nothing} == {0.5}
     assert toxicity.without_toxic(edges, labels.where("false")).columns == edges.columns
+
+
+def test_a_repeated_key_is_learnt_once(spark, trained, monkeypatch):
+    docs, labels, rows = trained
+    learnt = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: learnt.append((texts, toxic)))
+    toxicity.train(docs, labels)
+    key, text = next(r[:2] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1)
+    copies = spark.range(2000).selectExpr(f"{key}L AS doc_id", f"IF(id % 3 = 0, NULL, '{text}' || IF(id % 3 = 1, '', ' z')) AS text")
+    toxicity.train(docs.unionByName(copies), labels)
+    assert learnt[1] == learnt[0]
