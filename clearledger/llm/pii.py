@@ -30,7 +30,7 @@ CANDIDATE = (
     r"|(?<![A-Za-z0-9])[+(]{0,2}[0-9][0-9().\x20/-]*[0-9](?![A-Za-z0-9])"
 )
 CANDIDATE_LENGTHS = (7, 40)
-# Rounds over the graph, and what a pattern needs to find identifiers of its own.
+# Rounds over the graph for each set of seeds, and what a pattern needs to find identifiers of its own.
 ROUNDS = 2
 MIN_SEEDS, MIN_CONFIDENCE, MIN_SCORE = 3, 0.8, 0.5
 _LEFT = r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*$"
@@ -123,8 +123,11 @@ def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame,
     Each pair of a context and an instance is one edge, however often it
     occurs. An instance that the fixed patterns know has score 1 for its kind. In each
     round a context's confidence is the mean score of its instances, less one unseen
-    instance, and an unknown instance's score the mean confidence of its contexts. Every step
-    is an aggregate over edges and is written, so the graph never leaves the executors.
+    instance, and an unknown instance's score the mean confidence of its contexts. After ``rounds``
+    rounds the instances that accepted patterns find become seeds like the known ones, and the rounds
+    begin anew, until none is added. More rounds without new seeds would only spread the scores of the
+    same few seeds over all instances of a context. Every step is an aggregate over edges and is
+    written, so the graph never leaves the executors.
     """
     edges = stored(
         occurrences.select(F.explode("contexts").alias("context"), "instance", "seed", "look")
@@ -136,25 +139,47 @@ def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame,
     )
     sizes = edges.groupBy("context").agg(F.count(F.lit(1)).alias("n"))
     degrees = edges.groupBy("instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
-    scores = stored(seeds, "pii-scores")
-    patterns = scores.select(F.lit("").alias("context"), "kind", F.col("score").alias("confidence")).limit(0)
-    for _ in range(rounds):
-        patterns = stored(
-            edges.select("context", "instance").join(scores, "instance").groupBy("context", "kind")
-            .agg(F.sum("score").alias("sum"), F.count_if(F.col("score") == 1.0).alias("seeds"))
-            .join(sizes, "context")
-            .select("context", "kind", "seeds", (F.col("sum") / (F.col("n") + 1)).alias("confidence")),
-            "pii-patterns",
+    degrees = degrees.where("seed IS NULL").drop("seed")
+    unknown = edges.where("seed IS NULL").select("context", "instance", "look")
+    accepted = None
+    while True:
+        scores = stored(seeds, "pii-scores")
+        patterns = scores.select(F.lit("").alias("context"), "kind", F.col("score").alias("confidence")).limit(0)
+        for _ in range(rounds):
+            patterns = stored(
+                edges.select("context", "instance").join(scores, "instance").groupBy("context", "kind")
+                .agg(F.sum("score").alias("sum"), F.count_if(F.col("score") == 1.0).alias("seeds"))
+                .join(sizes, "context")
+                .select("context", "kind", "seeds", (F.col("sum") / (F.col("n") + 1)).alias("confidence")),
+                "pii-patterns",
+            )
+            found = (
+                unknown.join(patterns, "context")
+                .groupBy("instance", "kind").agg(F.sum("confidence").alias("sum"))
+                .join(degrees, "instance")
+                .select("instance", "kind", (F.col("sum") / F.col("n")).alias("score"))
+            )
+            scores = stored(seeds.unionByName(found.where("score > 0.05")), "pii-scores")
+        fit = patterns.where(f"seeds >= {MIN_SEEDS} AND confidence >= {MIN_CONFIDENCE}").drop("seeds")
+        if accepted is not None:
+            fit = fit.unionByName(accepted).groupBy("context", "kind").agg(F.max("confidence").alias("confidence"))
+        accepted = stored(fit, "pii-accepted")
+        added = stored(
+            unknown.join(accepted, "context").where(_fits())
+            .join(scores.where(f"score >= {MIN_SCORE}"), ["instance", "kind"])
+            .groupBy("instance").agg(F.min(F.struct(-F.col("score"), "kind")).getField("kind").alias("kind"))
+            .withColumn("score", F.lit(1.0)),
+            "pii-added",
         )
-        found = (
-            edges.where("seed IS NULL").select("context", "instance").join(patterns, "context")
-            .groupBy("instance", "kind").agg(F.sum("confidence").alias("sum"))
-            .join(degrees.where("seed IS NULL").drop("seed"), "instance")
-            .select("instance", "kind", (F.col("sum") / F.col("n")).alias("score"))
-        )
-        scores = stored(seeds.unionByName(found.where("score > 0.05")), "pii-scores")
-    accepted = patterns.where(f"seeds >= {MIN_SEEDS} AND confidence >= {MIN_CONFIDENCE}")
-    return accepted.select("context", "kind", "confidence"), scores
+        if added.isEmpty():
+            return accepted, scores
+        seeds = stored(seeds.unionByName(added), "pii-seeds")
+        unknown = stored(unknown.join(added, "instance", "left_anti"), "pii-unknown")
+        degrees = degrees.join(added, "instance", "left_anti")
+
+
+def _fits() -> Column:
+    return (F.col("look") == 0) == (F.col("kind") == 0)
 
 
 def discovered(rows: DataFrame) -> DataFrame:
@@ -165,11 +190,10 @@ def discovered(rows: DataFrame) -> DataFrame:
     """
     seen = _occurrences(rows)
     patterns, scores = bootstrap(seen)
-    fits = (F.col("look") == 0) == (F.col("kind") == 0)
     found = (
         seen.where("seed IS NULL")
         .select(_ROW, "start", "end", "instance", "look", F.explode("contexts").alias("context"))
-        .join(patterns, "context").where(fits)
+        .join(patterns, "context").where(_fits())
         .join(scores.where(f"score >= {MIN_SCORE}"), ["instance", "kind"])
     )
     best = Window.partitionBy(_ROW, "start", "end").orderBy(F.desc("confidence"), "kind")

@@ -75,3 +75,21 @@ def test_overlapping_spans_give_one_mark(spark):
     [got] = pii.masking(row, size=None).collect()
     assert got["text"].count("[") == 1 and got["text"].startswith("a ") and got["text"].endswith(" b")
 
+
+def test_identifiers_found_find_others_in_their_turn(spark):
+    """Known cards stand behind one phrase, found numbers behind it and a second, the last behind the second and a third."""
+    def card(n):
+        body = f"411111{n:09d}"
+        return next(body + str(c) for c in range(10) if brute.luhn(body + str(c)))
+
+    first, second, third = "please debit account number {} today", "refund goes to folder {} soon", "see also drawer {} below"
+    one, two, three = ([f"{a}-00-81-77-{b:02d}" for b in range(n)] for a, n in ((55, 25), (66, 5), (77, 1)))
+    texts = [first.format(card(n)) for n in range(110)] + [first.format(x) for x in one]
+    texts += [second.format(x) for x in one + two] + [third.format(x) for x in two + three]
+    texts += ["the train 88-00-81-77-10 is late"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["text"]: r for r in pii.with_spans(docs, keep=("text",)).collect()}
+    for text, row in rows.items():
+        begin = text.find("-00-81") - 2
+        wanted = begin > 0 and not text.startswith("the train")
+        assert [tuple(s) for s in row["spans"] if s not in row["base"]] == [(begin, 2, begin + 14)] * wanted, text
