@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from clearledger.llm import jaccard, packing, pii, quality, toxicity  # noqa: E402
+from clearledger.llm import packing, pii, quality, simhash, toxicity  # noqa: E402
 from clearledger.llm.common import scan_table, stored  # noqa: E402
 
 
@@ -25,8 +25,8 @@ def drop_failing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles have a Jaccard similarity of 0.8 or more."""
-    return jaccard.keep_one(docs)
+    """One document of each group whose fingerprints are linked by steps of at most four bits."""
+    return simhash.keep_one(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
