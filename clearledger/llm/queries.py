@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearledger.llm import ann, chat, licenses, oracles, packing, pii, quality, secrets, segmentation, simhash, toxicity
+from clearledger.llm import (
+    ann,
+    chat,
+    licenses,
+    linededup,
+    oracles,
+    packing,
+    pii,
+    quality,
+    secrets,
+    segmentation,
+    simhash,
+    toxicity,
+)
 from clearledger.llm.common import scan_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +133,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("n_candidates").cast("long").alias("n_candidates"),
         F.size("secrets").cast("long").alias("n_secrets"), F.array_join(span, ",").alias("spans"),
     )
+
+
+@query(oracles.LINES)
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linededup.dedup_lines(scan_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
