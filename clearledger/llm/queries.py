@@ -12,6 +12,7 @@ from clearledger.llm import (
     chat,
     licenses,
     linededup,
+    negatives,
     oracles,
     packing,
     pii,
@@ -139,3 +140,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linededup.dedup_lines(scan_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query(oracles.NEGATIVES)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scan_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
