@@ -147,3 +147,42 @@ WITH rows AS (
 )
 SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
 """
+
+# The checksum of a decimal number: SQL has no crc32, so its shift steps are spelled out.
+_STEP = "list_reduce(list_prepend({}, range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+_CRC = f"""
+xor(list_reduce(list_prepend(4294967295, [ascii(d)::BIGINT FOR d IN string_split(conv_id::VARCHAR, '')]),
+                lambda crc, byte: {_STEP.format("xor(crc, byte)")}), 4294967295)
+"""
+
+TRIE = f"""
+WITH ordered AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), heads AS (
+  SELECT conv_id, turns, {_CRC} % 6 AS h FROM ordered
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns
+  FROM heads c LEFT JOIN ordered b ON b.conv_id = c.conv_id - c.conv_id % 100
+), prefixes AS (
+  SELECT conv_id, unnest(range(len(turns) + 1)) AS depth, turns FROM rebuilt
+), members AS (
+  SELECT conv_id, depth, len(turns) = depth AS ends, turns[1:depth] AS node FROM prefixes
+), nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, bool_and(ends) AS leaf,
+         CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * length(node[depth].text) END AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY node, depth
+), children AS (
+  SELECT node[1:depth - 1] AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+), spread AS (
+  SELECT node, leaf, saved, unnest(range(depth + 1)) AS top FROM nodes
+), totals AS (
+  SELECT node[1:top] AS node, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens FROM spread GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, t.n_leaves,
+       t.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN totals t ON n.node = t.node LEFT JOIN children c ON n.node = c.node
+LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.node[1:n.depth - 1]
+"""

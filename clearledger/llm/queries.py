@@ -21,6 +21,7 @@ from clearledger.llm import (
     segmentation,
     simhash,
     toxicity,
+    trie,
 )
 from clearledger.llm.common import scan_table
 
@@ -147,3 +148,12 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scan_table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query(oracles.TRIE)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that begin as every hundredth does, for a number of turns that their id gives."""
+    ordered = trie.ordered_turns(scan_table(spark, sf_dir, "conversations"))
+    base = F.col("conv") - F.col("conv") % 100
+    turns, convs = trie.shared_heads(ordered, base, F.crc32(F.col("conv").cast("string")) % 6, most=5)
+    return trie.build(turns, convs).drop("key")
