@@ -1,7 +1,7 @@
 """Chat requests, turns and responses as tables.
 
 Request bodies are whole in their row, so most of these are projections. Turns
-and stream events that come one per row stay one per row: nothing is gathered.
+and stream events come one per row; what is joined from them is cut at a stated length.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from clearledger.functions import jsonvalues as J
 from clearledger.functions import messages as M
 from clearledger.functions import text
+from clearledger.operators import scans
 from clearledger.sources.small import small_table
 
 # Request members, route shape, status codes and messages.
@@ -333,3 +334,29 @@ def fold_prompts(turns: DataFrame, key: str, order: str, role: str, content: str
     )
     complete = F.col(content).isNotNull() & (F.col(role).isNotNull() | F.coalesce("is_last", F.lit(False)))
     return joined.select(key, order, shown.alias("line"), complete.alias("complete"))
+
+
+def session_texts(
+    events: DataFrame, session: str, order: str, event: str, limit: int = scans.TEXT_LIMIT
+) -> DataFrame:
+    """``session, piece, text``: the response of each session, its text deltas joined as they came.
+
+    A row holds at most ``limit`` code points, and a longer response goes on in the next pieces. A
+    session without any text has an empty response; a NULL session is one too.
+    """
+    delta = M.delta_text(F.try_parse_json(F.col(event)))
+    return scans.ordered_texts(events.select(session, order, delta.alias("delta")), [session], [order], "delta", limit=limit)
+
+
+def prompt_texts(
+    turns: DataFrame, key: str, order: str, role: str, content: str, limit: int = scans.TEXT_LIMIT
+) -> DataFrame:
+    """``key, piece, text, complete``: the prompt of each conversation, the lines of ``fold_prompts`` joined.
+
+    A row holds at most ``limit`` code points, and a longer prompt goes on in the next pieces. ``complete`` is
+    that of all its lines.
+    """
+    lines = fold_prompts(turns, key, order, role, content)
+    texts = scans.ordered_texts(lines, [key], [order], "line", separator="\n", limit=limit)
+    whole = lines.groupBy(F.col(key).alias("whole_key")).agg(F.bool_and("complete").alias("complete"))
+    return texts.join(whole, F.col(key).eqNullSafe(F.col("whole_key"))).select(key, "piece", "text", "complete")

@@ -52,6 +52,32 @@ def conversation_prompt(spark: SparkSession, folder: str) -> DataFrame:
     return X.fold_prompts(_gappy_turns(spark, folder), "conv_id", "turn", "role", "text")
 
 
+@query(
+    """
+    WITH turns AS (
+        SELECT CASE WHEN conv_id % 50 > 0 THEN conv_id END AS conv_id, conv_id * 1000 + turn * 300 AS turn,
+               CASE WHEN (conv_id + turn) % 7 <> 5 THEN role END AS role,
+               CASE WHEN (conv_id + turn) % 7 <> 6 THEN text END AS text
+        FROM conversations
+    ), numbered AS (
+        SELECT *, coalesce(text, 'None') AS shown, coalesce(role, 'None') AS name,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, count(*) OVER (PARTITION BY conv_id) AS n
+        FROM turns
+    )
+    SELECT conv_id, CAST(0 AS BIGINT) AS piece,
+           CASE WHEN max(n) = 1 THEN max(shown)
+                ELSE 'Conversation history:' || chr(10)
+                     || string_agg(upper(name[1]) || lower(name[2:]) || ': ' || shown, chr(10) ORDER BY turn) FILTER (place < n)
+                     || chr(10) || chr(10) || 'Current question: ' || max(shown) FILTER (place = n) END AS text,
+           bool_and(text IS NOT NULL AND (role IS NOT NULL OR place = n)) AS complete
+    FROM numbered GROUP BY conv_id
+    """
+)
+def prompt_text(spark: SparkSession, folder: str) -> DataFrame:
+    """One prompt for each conversation."""
+    return X.prompt_texts(_gappy_turns(spark, folder), "conv_id", "turn", "role", "text")
+
+
 def _members(**members: Column) -> Column:
     return F.struct(*[v.alias(n) for n, v in members.items()])
 
@@ -234,6 +260,18 @@ def delta_assembly(spark: SparkSession, folder: str) -> DataFrame:
     return X.assemble_deltas(_stream_events(spark, folder), "conv_id", "turn", "event")
 
 
+@query(
+    """
+    SELECT conv_id, CAST(0 AS BIGINT) AS piece,
+           coalesce(string_agg(text, '' ORDER BY turn) FILTER (turn % 4 <> 3 AND role <> 'system'), '') AS text
+    FROM conversations GROUP BY conv_id
+    """
+)
+def session_text(spark: SparkSession, folder: str) -> DataFrame:
+    """One response for each session."""
+    return X.session_texts(_stream_events(spark, folder), "conv_id", "turn", "event")
+
+
 @query("SELECT conv_id, turn, text AS response FROM conversations")
 def response_text(spark: SparkSession, folder: str) -> DataFrame:
     """Responses whose events are one list in the row: a start, two deltas, a stop."""

@@ -59,13 +59,23 @@ def session_conf(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[N
                     spark.conf.set(key, value)
 
 
+def _refuse_local(spark: SparkSession) -> None:
+    """Raise an error where the warehouse is a local folder and executors run elsewhere."""
+    master = spark.conf.get("spark.master", "local")
+    alone = master.startswith("local") and not master.startswith("local-cluster")
+    place = spark.conf.get("spark.sql.warehouse.dir")
+    if not alone and (place.startswith(("file:", "/")) or ":" not in place):
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder that all executors share, for tables between the steps of a job.
 
     Below spark.checkpoint.dir. A session without that setting, such as one in
-    a test, uses its warehouse, which every executor reaches as well.
+    a test, uses its warehouse; on a cluster that must not be a folder of one machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        _refuse_local(spark)
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_between"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
