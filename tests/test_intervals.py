@@ -1,0 +1,98 @@
+"""Interval joins against nested loops."""
+
+from __future__ import annotations
+
+import datetime as dt
+import random
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from clearledger.operators import intervals
+
+SCHEMA = "k string, a long, b long, id long"
+
+
+def meets(l_start, l_end, r_start, r_end):
+    if any(s is not None and e is not None and s >= e for s, e in ((l_start, l_end), (r_start, r_end))):
+        return False
+    return (l_start is None or r_end is None or l_start < r_end) and (r_start is None or l_end is None or r_start < l_end)
+
+
+def nested(left, right, keyed=True):
+    return sorted(
+        (x[3], y[3]) for x in left for y in right
+        if (not keyed or (x[0] is not None and x[0] == y[0])) and meets(x[1], x[2], y[1], y[2])
+    )
+
+
+def found(df):
+    return sorted((r["left"]["id"], r["right"]["id"]) for r in df.collect())
+
+
+def some(n, seed):
+    """Short, long, empty, turned, touching and open intervals; one key of a third of them."""
+    pick = random.Random(seed)
+    rows = []
+    for i in range(n):
+        start = pick.randrange(-500, 500)
+        length = pick.choice((0, 1, 1, 2, 10, 10, 10, 300, 900, -5))
+        a, b = (None if pick.random() < 0.05 else v for v in (start, start + length))
+        rows.append(("hot" if i % 3 == 0 else pick.choice(("x", "y", None)), a, b, i))
+    return rows
+
+
+@pytest.mark.parametrize("meeting", [3, 20_000])
+@pytest.mark.parametrize("on", [["k"], []])
+def test_overlaps_equal_nested_loops(spark, monkeypatch, meeting, on):
+    monkeypatch.setattr(intervals, "MEETING", meeting)
+    left, right = some(120, 1), some(150, 2)
+    dfs = [spark.createDataFrame(rows, SCHEMA) for rows in (left, right)]
+    got = intervals.overlap_join(*dfs, ("a", "b"), ("a", "b"), on)
+    assert found(got) == nested(left, right, bool(on))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(-10**15, 10**15), st.integers(0, 10**13)), max_size=12),
+       st.lists(st.tuples(st.integers(-10**15, 10**15), st.integers(0, 10)), max_size=12))
+def test_scales_far_apart(spark, wide, narrow):
+    left = [("k", a, a + n, i) for i, (a, n) in enumerate(wide)]
+    right = [("k", a, a + n, i) for i, (a, n) in enumerate([*narrow, *((a + n - 1, 1) for a, n in wide)])]
+    dfs = [spark.createDataFrame(rows, SCHEMA) for rows in (left, right)]
+    assert found(intervals.overlap_join(*dfs, ("a", "b"), ("a", "b"), ["k"])) == nested(left, right)
+
+
+@pytest.mark.parametrize("rows", [[], [("k", None, None, 1)], [("k", 5, 5, 1)], [("k", 5, None, 1), ("k", None, 5, 2), ("k", 5, 6, 3)]])
+def test_few_rows(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA)
+    other = some(20, 3) + [("k", 4, 5, 100), ("k", 5, 6, 101)]
+    right = spark.createDataFrame(other, SCHEMA)
+    assert found(intervals.overlap_join(df, right, ("a", "b"), ("a", "b"), ["k"])) == nested(rows, other)
+    assert found(intervals.overlap_join(right, df, ("a", "b"), ("a", "b"), ["k"])) == nested(other, rows)
+
+
+def test_points_of_every_kind(spark):
+    spans = some(80, 4)
+    points = [("hot" if i % 2 else "x", i * 9 - 400, None, i) for i in range(100)] + [("hot", None, None, 100)]
+    want = sorted((p[3], s[3]) for p in points for s in spans if p[1] is not None and p[0] == s[0] and meets(p[1], p[1] + 1, s[1], s[2]))
+    day = dt.date(2024, 1, 1)
+    kinds = {
+        "long": lambda v: v, "date": lambda v: day + dt.timedelta(v),
+        "timestamp": lambda v: dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=v),
+    }
+    for kind, made in kinds.items():
+        own = [[(k, *(None if v is None else made(v) for v in (a, b)), i) for k, a, b, i in rows] for rows in (points, spans)]
+        one, two = (spark.createDataFrame(rows, f"k string, a {kind}, b {kind}, id long") for rows in own)
+        got = intervals.points_within(one.drop("b"), two, "a", ("a", "b"), ["k"])
+        assert got.select("point").schema[0].dataType.names == ["k", "a", "id"]
+        assert sorted((r["point"]["id"], r["span"]["id"]) for r in got.collect()) == want, kind
+
+
+def test_texts_are_refused(spark):
+    df = spark.createDataFrame([("a", "b")], "a string, b string")
+    with pytest.raises(ValueError):
+        intervals.overlap_join(df, df, ("a", "b"), ("a", "b"))
+    with pytest.raises(ValueError):
+        intervals.points_within(df.select(F.lit(1.5).alias("p")), df, "p", ("a", "b"))

@@ -29,7 +29,8 @@ SKEWED = {
 }
 
 CHECKED = (
-    "conversation_prompt", "delta_assembly", "request_log", "request_summary", "monthly_trend",
+    "conversation_prompt", "delta_assembly", "prompt_text", "session_text", "event_frames", "purchase_before_error",
+    "events_in_alarms", "request_log", "request_summary", "monthly_trend",
     "kpi_table", "type_report", "load_report", "sql_asof", "sql_join_equi", "sql_join_theta",
     "sql_semi_anti", "sql_lateral", "sql_group_having", "sql_stats", "sql_mode", "sql_string_agg",
     "sql_topk_per_group", "sql_distinct_on", "sql_setops", "sql_subqueries", "sql_distinct",
