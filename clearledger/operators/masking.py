@@ -18,7 +18,7 @@ def _cell(name: str) -> Column:
     return column(name).cast("string")
 
 
-def _masked(policy: MaskPolicy) -> dict[str, Column]:
+def masked_columns(policy: MaskPolicy) -> dict[str, Column]:
     masked = {}
     for name in policy.escaped_phones:
         value = _cell(name)
@@ -34,7 +34,12 @@ def _masked(policy: MaskPolicy) -> dict[str, Column]:
 
 def apply_policy(df: DataFrame, policy: MaskPolicy) -> DataFrame:
     """Masked table; a projection, so it belongs before the write."""
-    return df.withColumns(_masked(policy))
+    return df.withColumns(masked_columns(policy))
+
+
+def changes(policy: MaskPolicy) -> Column:
+    """Whether masking changes any cell of the row."""
+    return reduce(or_, [~masked.eqNullSafe(_cell(name)) for name, masked in masked_columns(policy).items()])
 
 
 def holds_pii(policy: MaskPolicy) -> Column:

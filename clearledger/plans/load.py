@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from clearledger.operators.counts import table_counts
-from clearledger.operators.masking import apply_policy, cell_metrics, holds_pii
+from clearledger.operators.masking import apply_policy, cell_metrics, changes, holds_pii, masked_columns
 from clearledger.operators.typing import apply_types, reject_metrics, resolve_types
 from clearledger.sources.files import scan
+from clearledger.sources.slices import Updated, update_rows
 from clearledger.sources.small import small_table
 from clearledger.sources.tables import ensure_database, quoted, refresh_table
 from clearledger.specs import MANIFEST, MASK_POLICIES, MaskPolicy, TableSpec
@@ -143,3 +144,13 @@ def mask_stored_table(
         _total(cells, "visited "),
         _total(cells, "masked "),
     )
+
+
+def mask_changed_rows(
+    spark: SparkSession, database: str, table: str, root: str, policy: MaskPolicy
+) -> Updated:
+    """Mask the rows of a table of slices that have something left to mask, rewriting the slices that hold one.
+
+    A table already masked is read once and not written; after new rows or updates only their slices are.
+    """
+    return update_rows(spark, database, root, table, changes(policy), masked_columns(policy))

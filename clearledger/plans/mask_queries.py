@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from clearledger.functions import text
 from clearledger.operators import masking as K
-from clearledger.plans.load import mask_stored_table
+from clearledger.plans.load import mask_changed_rows, mask_stored_table
 from clearledger.plans.registry import SCRATCH, query
 from clearledger.session import shared_folder
 from clearledger.sources.files import scan_table
+from clearledger.sources.slices import refresh_sliced_table, update_by_key
 from clearledger.sources.tables import ensure_database, quoted, refresh_table
 from clearledger.specs import MaskPolicy
 
@@ -137,6 +138,27 @@ def mask_stored(spark: SparkSession, folder: str) -> DataFrame:
     return spark.table(quoted(SCRATCH, "contacts"))
 
 
+@query(
+    f"""
+    SELECT c_custkey, {_duck_masked(_duck_decoded('home_tel'))} AS home_tel,
+           {_duck_masked(_duck_decoded('contact_tel'))} AS contact_tel
+    FROM (SELECT c_custkey, contact_tel, CASE WHEN c_custkey % 1000 < 20 THEN {OTHER_ESCAPED} ELSE home_tel END AS home_tel
+          FROM ({DUCK_CONTACTS}))
+    """
+)
+def mask_touched(spark: SparkSession, folder: str) -> DataFrame:
+    """A masked table that gets new numbers by key and is masked again, where these are."""
+    root = shared_folder(spark, "mask")
+    ensure_database(spark, SCRATCH, f"{root}/database")
+    contacts = _raw_contacts(spark, folder).repartitionByRange(16, "c_custkey")
+    refresh_sliced_table(contacts, SCRATCH, root, "sliced_contacts")
+    mask_changed_rows(spark, SCRATCH, "sliced_contacts", root, DECODED_POLICY)
+    numbers = _customers(spark, folder, home_tel=OTHER_ESCAPED).where("c_custkey % 1000 < 20")
+    update_by_key(spark, SCRATCH, root, "sliced_contacts", numbers, ["c_custkey"])
+    mask_changed_rows(spark, SCRATCH, "sliced_contacts", root, DECODED_POLICY)
+    return spark.table(quoted(SCRATCH, "sliced_contacts")).select("c_custkey", "home_tel", "contact_tel")
+
+
 SUPPLIER_COLUMNS = {
     "contact_tel": SUPPLIER_PHONE,
     "address1": "CASE WHEN s_suppkey % 4 > 0 THEN s_name ELSE '' END",

@@ -13,13 +13,13 @@ def quoted(*parts: str) -> str:
     return ".".join(f"`{p.replace('`', '``')}`" for p in parts)
 
 
-def _literal(text: str) -> str:
+def literal(text: str) -> str:
     escaped = text.replace("\\", "\\\\").replace("'", "\\'")
     return f"'{escaped}'"
 
 
 def ensure_database(spark: SparkSession, database: str, location: str | None = None) -> None:
-    where = f" LOCATION {_literal(location)}" if location else ""
+    where = f" LOCATION {literal(location)}" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(database)}{where}")
 
 
@@ -55,27 +55,35 @@ def publish(spark: SparkSession, database: str, staged: Staged) -> None:
     if not spark.catalog.tableExists(name):
         _declare(spark, name, staged.location)
     elif spark.table(name).schema == new_schema:
-        spark.sql(f"ALTER TABLE {name} SET LOCATION {_literal(staged.location)}")
+        spark.sql(f"ALTER TABLE {name} SET LOCATION {literal(staged.location)}")
     else:
-        mark = uuid.uuid4().hex[:8]
-        fresh, old = (quoted(database, f"{staged.table}__{part}_{mark}") for part in ("new", "old"))
+        fresh = quoted(database, f"{staged.table}__new_{uuid.uuid4().hex[:8]}")
         _declare(spark, fresh, staged.location)
+        exchange(spark, database, staged.table, fresh)
+    spark.catalog.refreshTable(name)
+
+
+def exchange(spark: SparkSession, database: str, table: str, fresh: str) -> None:
+    """Let the table ``fresh``, a quoted name, take the place of ``database.table``, which is dropped; its files stay.
+
+    If that fails, the old table gets its name back and the fresh one is dropped.
+    """
+    name, old = quoted(database, table), quoted(database, f"{table}__old_{uuid.uuid4().hex[:8]}")
+    try:
+        _rename(spark, name, old)
         try:
-            _rename(spark, name, old)
-            try:
-                _rename(spark, fresh, name)
-            except Exception:
-                _rename(spark, old, name)
-                raise
+            _rename(spark, fresh, name)
         except Exception:
-            spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+            _rename(spark, old, name)
             raise
-        spark.sql(f"DROP TABLE {old}")
-    spark.catalog.refreshTable(name)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+        raise
+    spark.sql(f"DROP TABLE {old}")
 
 
 def _declare(spark: SparkSession, name: str, location: str) -> None:
-    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION {_literal(location)}")
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION {literal(location)}")
 
 
 def _rename(spark: SparkSession, name: str, to: str) -> None:
