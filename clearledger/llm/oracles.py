@@ -41,11 +41,14 @@ WITH docs AS (
 ), hosts AS (
   SELECT host, rule, count(*) AS n, sum(failed) AS k FROM long_form GROUP BY host, rule
 ), priors AS (
-  SELECT rule, avg(k / n) AS mean, var_pop(k / n) AS spread FROM hosts GROUP BY rule
-), weighed AS (
-  SELECT rule, mean, CASE WHEN spread > 0 AND mean * (1 - mean) > spread THEN mean * (1 - mean) / spread - 1
-                          WHEN spread > 0 THEN 0 ELSE 1e9 END AS weight
+  SELECT rule, avg(k / n) AS mean, var_samp(k / n) AS spread, avg(1 / n) AS inverse FROM hosts GROUP BY rule
+), compared AS (
+  SELECT rule, mean, CASE WHEN mean * (1 - mean) > 0 AND inverse < 1
+                          THEN (spread / (mean * (1 - mean)) - inverse) / (1 - inverse) END AS alike
   FROM priors
+), weighed AS (
+  SELECT rule, mean, CASE WHEN alike > 0 THEN least(100, greatest(4, (1 - alike) / alike)) ELSE 100 END AS weight
+  FROM compared
 ), bad AS (
   SELECT DISTINCT host FROM hosts JOIN weighed USING (rule) WHERE (k + weight * mean) / (n + weight) > 0.5
 )

@@ -12,6 +12,9 @@ from clearledger.llm.common import stored, words_of
 MIN_WORDS = 50
 # A host is rejected when its shrunk rate of failures of a rule is above the rule's bound.
 MAX_RATES = {"base_failed": 0.5, "symbols": 0.5, "dup_lines": 0.5, "word_length": 0.5}
+# How many documents the prior is worth, at least and at most. Fewer: one document would decide on a host where the hosts that
+# tell anything are all good or all bad. More: hosts that chance makes alike would overrule a large host's own documents.
+PRIOR_DOCS = (4.0, 100.0)
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _WORK = "__quality_"
 
@@ -77,9 +80,10 @@ def failures() -> dict[str, Column]:
 def host_rates(flagged: DataFrame, host: str, rules: list[str]) -> DataFrame:
     """Per host the number of documents and for each rule the shrunk rate of failures.
 
-    The prior is a beta distribution with the mean and variance of the hosts' own
-    rates, so that a host of few documents is judged by what is usual. Hosts without any
-    spread among them all get the common rate.
+    The prior is a beta distribution with the mean of the hosts' own rates and the variance that is left of theirs once that of
+    drawing few documents is taken out: rates of hosts with n documents vary by m(1-m)(r + (1-r)/n), where r is
+    how alike documents of one host are, and (1-r)/r documents is what the prior is worth, within ``PRIOR_DOCS``. So a host
+    of few documents is judged by what is usual, also where all hosts are small.
     """
     counts = flagged.groupBy(F.col(f"`{host}`").alias("host")).agg(
         F.count(F.lit(1)).alias("n"), *(F.sum(F.col(r).cast("long")).alias(f"{r}_n") for r in rules)
@@ -87,15 +91,18 @@ def host_rates(flagged: DataFrame, host: str, rules: list[str]) -> DataFrame:
     counts = stored(counts, "quality-counts")
     priors = counts.agg(
         *(F.avg(F.col(f"{r}_n") / F.col("n")).alias(f"{r}_mean") for r in rules),
-        *(F.var_pop(F.col(f"{r}_n") / F.col("n")).alias(f"{r}_var") for r in rules),
+        *(F.var_samp(F.col(f"{r}_n") / F.col("n")).alias(f"{r}_var") for r in rules),
+        F.avg(1 / F.col("n")).alias("inverse"),
     )
     # one row of figures: the join pairs it with each host by a constant key
     joined = counts.withColumn("all", F.lit(1)).join(priors.withColumn("all", F.lit(1)), "all")
     rates = {}
     for rule in rules:
         mean, var = F.col(f"{rule}_mean"), F.col(f"{rule}_var")
-        spread = mean * (1 - mean)
-        weight = F.when((var > 0) & (spread > var), spread / var - 1).otherwise(F.when(var > 0, 0.0).otherwise(1e9))
+        spread, small = mean * (1 - mean), F.col("inverse")
+        alike = F.when((spread > 0) & (small < 1), (var / spread - small) / (1 - small))
+        least, most = PRIOR_DOCS
+        weight = F.when(alike > 0, F.least(F.lit(most), F.greatest(F.lit(least), (1 - alike) / alike))).otherwise(F.lit(most))
         rates[f"{rule}_rate"] = (F.col(f"{rule}_n") + weight * mean) / (F.col("n") + weight)
     return joined.select("host", "n", *(rate.alias(name) for name, rate in rates.items()))
 

@@ -52,6 +52,20 @@ def test_shrinking_pulls_small_hosts_to_the_mean(spark):
     assert 0.1 < rates["new"] < 0.9
 
 
+@pytest.mark.parametrize("large", [0, 1000])
+def test_hosts_of_one_document_are_judged_by_what_is_usual(spark, large):
+    """One in five of 200 fails; a host of many documents among them keeps its own rate."""
+    rows = [(f"h{i}", i % 5 == 0) for i in range(200)] + [("large", j % 10 > 0) for j in range(large)]
+    flagged = spark.createDataFrame(rows, "source string, failed boolean")
+    rates = {r["host"]: r["failed_rate"] for r in quality.host_rates(flagged, "source", ["failed"]).collect()}
+    assert all(rates[f"h{i}"] < 0.5 for i in range(200))
+    if large:
+        assert rates["large"] == pytest.approx(0.9, abs=0.08)
+    else:
+        assert rates["h0"] == pytest.approx(0.2, abs=0.02)
+        assert quality.rejected_hosts(flagged, "source", {"failed": 0.5}).isEmpty()
+
+
 def test_edges(edges, no_documents):
     judged = quality.judged(edges, keep=("doc_id",))
     assert judged.count() == edges.count()
