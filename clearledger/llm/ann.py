@@ -149,15 +149,15 @@ def _met(k: int):
     """cogroup: for each query of a leaf's part its k best vectors there that reach the query's floor."""
 
     def best(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        names = ["query", "candidate", "score"]
+        names = ["query", "candidate", "least", "score"]
         if not len(queries) or not len(vectors):
-            return pd.DataFrame({"query": [], "candidate": [], "score": []}).astype(
-                {"query": "int64", "candidate": "int64", "score": "float64"}
+            return pd.DataFrame({"query": [], "candidate": [], "least": [], "score": []}).astype(
+                {"query": "int64", "candidate": "int64", "least": "int64", "score": "float64"}
             )
         matrix = _matrix(vectors["vector"])
-        ids = vectors["id"].to_numpy(np.int64)
-        order = np.argsort(ids, kind="stable")
-        matrix, ids = matrix[order], ids[order]
+        ids, least = (vectors[c].to_numpy(np.int64) for c in ("id", "least"))
+        order = np.lexsort((ids, least))  # ties go to the smaller key
+        matrix, ids, least = matrix[order], ids[order], least[order]
         out = []
         for begin in range(0, len(queries), 256):
             part = queries.iloc[begin : begin + 256]
@@ -166,14 +166,14 @@ def _met(k: int):
                 near = np.flatnonzero(scores[row] >= floor)
                 if len(near) > k:
                     near = near[np.argsort(-scores[row, near], kind="stable")[:k]]
-                out.append((np.full(len(near), query, np.int64), ids[near], scores[row, near]))
+                out.append((np.full(len(near), query, np.int64), ids[near], least[near], scores[row, near]))
         return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return best
 
 
 def _search(visits: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """``query, candidate, score`` of the leaves visited. Vectors and queries of a leaf are cut
+    """``query, candidate, least, score`` of the leaves visited. Vectors and queries of a leaf are cut
     into parts of a bounded size, and every two parts meet once."""
     tree = ["tree", "leaf"]
     sizes = stored(
@@ -195,15 +195,15 @@ def _search(visits: DataFrame, index: DataFrame, k: int) -> DataFrame:
     keys = [*tree, "vector_part", "query_part"]
     return (
         left.select(*keys, "query", "floor", "vector").groupBy(*keys)
-        .cogroup(right.select(*keys, "id", "vector").groupBy(*keys))
-        .applyInPandas(_met(k), "query long, candidate long, score double")
+        .cogroup(right.select(*keys, "id", "least", "vector").groupBy(*keys))
+        .applyInPandas(_met(k), "query long, candidate long, least long, score double")
     )
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    """The k best candidates of each query, each once."""
-    once = found.groupBy("query", "candidate").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "candidate")
+    """The k best candidates of each query, each once; ties go to the smaller ``least``, the candidate's first key."""
+    once = found.groupBy("query", "candidate", "least").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "least", "candidate")
     return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
@@ -277,6 +277,7 @@ def nearest(
             yield pd.DataFrame(
                 {
                     "id": np.repeat(batch["class"].to_numpy(np.int64), many),
+                    "least": np.repeat(batch["id"].to_numpy(np.int64), many),
                     "tree": np.tile(np.arange(many), n),
                     "leaf": leaves.ravel(),
                     "vector": batch["vector"].repeat(many).to_numpy(),
@@ -296,7 +297,9 @@ def nearest(
 
     kind = dict(classes.dtypes)["vector"]
     spread = spark.conf.get("spark.sql.shuffle.partitions")
-    index = classes.select("class", "vector").mapInPandas(place_all, f"id long, tree int, leaf long, vector {kind}")
+    index = classes.select("class", "id", "vector").mapInPandas(
+        place_all, f"id long, least long, tree int, leaf long, vector {kind}"
+    )
     index = stored(index, "ann-index")
     asked = classes.where("asks").select("class", "vector").repartition(int(spread), "class")
     visits = asked.mapInPandas(visit, f"query long, tree int, leaf long, order int, vector {kind}")
@@ -307,7 +310,9 @@ def nearest(
     floors = found.groupBy("query").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).select(
         "query", F.when(F.col("n") > k, F.col("least")).otherwise(float("-inf")).alias("floor")
     )
-    others = visits.where(F.col("order") >= NEAREST).join(floors, "query")
+    # A query whose first leaves hold nothing has no floor yet.
+    others = visits.where(F.col("order") >= NEAREST).join(floors, "query", "left")
+    others = others.withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
     found = _top(found.unionByName(_search(others, index, k + 1)), k + 1)
 
     members = classes.select(F.col("class").alias("candidate"), "members")

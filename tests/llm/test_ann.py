@@ -79,3 +79,27 @@ def test_edges(spark):
     assert [(r["query_id"], r["vec_id"], r["rank"]) for r in few] == [(20, 3, 1)]
     assert ann.nearest(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.nearest(df, F.lit(False)).count() == 0
+
+
+@pytest.mark.parametrize("leaf", [512, 8])
+def test_ties_of_different_vectors_go_to_the_smaller_key(spark, leaf):
+    """60 different vectors are as near as each other; their keys are in no order."""
+    pick = np.random.default_rng(8)
+    others = pick.normal(size=(60, 6))
+    others /= np.linalg.norm(others, axis=1, keepdims=True)
+    rows = [(20, [1.0, *[0.0] * 6])]
+    rows += [(101 + (i * 37) % 60, [0.5, *v]) for i, v in enumerate(others.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    got = ann.nearest(df, F.col("vec_id") == 20, leaf=leaf).collect()
+    assert all(r["score"] == 0.5 for r in got) and len(got) == 20
+    if leaf == 512:  # one leaf holds all of them
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == list(range(101, 121))
+
+
+def test_queries_whose_first_leaves_are_empty_keep_the_others(spark, monkeypatch):
+    """With a leaf for each vector or none, few of which are looked at first."""
+    monkeypatch.setattr(ann, "NEAREST", 1)
+    rows = [(i, [1.0 + i % 2, float(i), -float(i)]) for i in range(1, 41)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, leaf=1, sample=8).collect()
+    assert recall(got, rows, [(i, v) for i, v in rows if i % 20 == 0]) >= 0.7  # leaves of one vector are looked at by far too few
