@@ -1,11 +1,11 @@
-"""Queries along the order of events: frames, as-of and interval joins by operators that bear hot keys."""
+"""Queries along the order of events and the edges of a graph, by operators that bear hot keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearledger.operators import intervals, scans
+from clearledger.operators import graphs, intervals, scans
 from clearledger.plans.registry import query
 from clearledger.sources.files import scan_table
 
@@ -102,3 +102,28 @@ def overlapping_alarms(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.groupBy(F.col("left.team").alias("team")).agg(
         F.count(F.lit(1)).alias("n_pairs"), F.sum("left.alarm_id").alias("first_sum"), F.sum("right.alarm_id").alias("second_sum")
     )
+
+
+@query(
+    """
+    WITH RECURSIVE edges AS (
+        SELECT DISTINCT a.l_suppkey AS one, b.l_suppkey AS other
+        FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+        WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R' AND a.l_partkey % 40 = b.l_partkey % 40
+    ), paths(start, node, steps) AS (
+        SELECT one, other, CAST(1 AS BIGINT) FROM edges WHERE one % 20 = 0
+        UNION
+        SELECT p.start, e.other, p.steps + 1 FROM paths p JOIN edges e ON p.node = e.one WHERE p.steps < 200
+    )
+    SELECT start, node, min(steps) AS steps FROM paths GROUP BY start, node
+    """
+)
+def supplier_reach(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers that lines of related parts, returned one after the other, link to every twentieth one."""
+    returned = scan_table(spark, folder, "lineitem").where("l_returnflag = 'R'")
+    part = F.col("l_partkey") % 40
+    ahead = returned.select("l_orderkey", part.alias("kind"), F.col("l_linenumber") + 1, F.col("l_suppkey").alias("one"))
+    ahead = ahead.toDF("l_orderkey", "kind", "l_linenumber", "one")
+    then = returned.select("l_orderkey", part.alias("kind"), "l_linenumber", F.col("l_suppkey").alias("other"))
+    edges = ahead.join(then, ["l_orderkey", "kind", "l_linenumber"]).select("one", "other")
+    return graphs.reachable(edges, "one", "other", F.col("one") % 20 == 0)
