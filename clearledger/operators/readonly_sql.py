@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from clearledger.functions.jsonvalues import rows_as_json
+from clearledger.operators.costs import Limits, refuse_costly
 from clearledger.session import session_conf
 
 # Accepted beginnings and messages.
@@ -38,8 +39,8 @@ def checked_query(query: str | None, on_empty: str = QUERY_REQUIRED) -> str:
     return stripped.removesuffix(";").rstrip()
 
 
-def run_query(spark: SparkSession, query: str | None) -> DataFrame:
-    """Run one SELECT, and nothing else.
+def run_query(spark: SparkSession, query: str | None, limits: Limits | None = None) -> DataFrame:
+    """Run one SELECT, and nothing else; with ``limits`` only one whose plan keeps them.
 
     A query may stand in a FROM clause while inserts, commands and statement
     lists may not, so Spark itself refuses those before anything runs. The
@@ -52,15 +53,20 @@ def run_query(spark: SparkSession, query: str | None) -> DataFrame:
         plan = probe._jdf.queryExecution().analyzed().toJSON()
         if any(part in plan for part in OUTSIDE_CODE):
             raise ValueError(ONLY_SELECT)
-        return spark.sql(text)
+        result = spark.sql(text)
+        if limits:
+            refuse_costly(result, limits)
+        return result
 
 
-def query_as_json(spark: SparkSession, query: str | None, stringify: bool = False) -> DataFrame:
+def query_as_json(
+    spark: SparkSession, query: str | None, stringify: bool = False, limits: Limits | None = None
+) -> DataFrame:
     """Rows of a read-only query as JSON text, one object per row."""
-    return rows_as_json(run_query(spark, query), stringify)
+    return rows_as_json(run_query(spark, query, limits), stringify)
 
 
-def agent_query(spark: SparkSession, query: str | None) -> tuple[DataFrame | None, str | None]:
+def agent_query(spark: SparkSession, query: str | None, limits: Limits | None = None) -> tuple[DataFrame | None, str | None]:
     """JSON rows or the error text of a query that cannot be run.
 
     Errors in single rows are raised when they are computed; ``written_answer``
@@ -68,7 +74,7 @@ def agent_query(spark: SparkSession, query: str | None) -> tuple[DataFrame | Non
     """
     try:
         checked_query(query, on_empty=ONLY_SELECT)
-        return query_as_json(spark, query, stringify=True), None
+        return query_as_json(spark, query, True, limits), None
     except ValueError as problem:
         return None, str(problem)
     except Exception as problem:
