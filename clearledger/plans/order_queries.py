@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearledger.operators import graphs, intervals, scans
+from clearledger.operators import graphs, intervals, quantiles, scans
 from clearledger.plans.registry import query
 from clearledger.sources.files import scan_table
 
@@ -127,3 +127,20 @@ def supplier_reach(spark: SparkSession, folder: str) -> DataFrame:
     then = returned.select("l_orderkey", part.alias("kind"), "l_linenumber", F.col("l_suppkey").alias("other"))
     edges = ahead.join(then, ["l_orderkey", "kind", "l_linenumber"]).select("one", "other")
     return graphs.reachable(edges, "one", "other", F.col("one") % 20 == 0)
+
+
+@query(
+    """
+    SELECT l_returnflag, fraction, count(*) AS n,
+           CASE fraction WHEN 0.1 THEN quantile_cont(amount, 0.1) WHEN 0.5 THEN quantile_cont(amount, 0.5)
+                WHEN 0.99 THEN quantile_cont(amount, 0.99) END AS percentile
+    FROM (SELECT l_returnflag, l_extendedprice * (1 - l_discount) AS amount FROM lineitem),
+         (SELECT CAST(unnest([0.1, 0.5, 0.99]) AS DOUBLE) AS fraction)
+    GROUP BY l_returnflag, fraction
+    """
+)
+def amount_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of the amounts of each kind of line, nearly all of which differ."""
+    lines = scan_table(spark, folder, "lineitem")
+    amounts = lines.select("l_returnflag", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("amount"))
+    return quantiles.exact_percentiles(amounts, ["l_returnflag"], "amount", [0.1, 0.5, 0.99])
