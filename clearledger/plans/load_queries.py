@@ -16,6 +16,7 @@ from clearledger.sources.files import scan, scan_table
 from clearledger.sources.tables import ensure_database, quoted
 from clearledger.specs import MaskPolicy, TableSpec
 from clearledger.streaming import intake
+from clearledger.streaming import sessions as S
 
 WIDTHS = dict(zip(TABLES, (2, 3, 5, 4, 6, 6, 11, 6, 5, 3, 3, 2, 3, 4), strict=True))
 
@@ -113,6 +114,75 @@ def stream_intake(spark: SparkSession, folder: str) -> DataFrame:
     return scan(spark, root, "table")
 
 
+# Devices send an event minutes after it happened, some a day or more later, and a few have no time or a wrong clock.
+# It arrives in one of three loads.
+ARRIVALS = """
+    SELECT event_id, user_id, value, CASE WHEN event_id % 331 = 0 THEN NULL ELSE ts END AS ts,
+           CASE WHEN event_id % 83 = 0 THEN ts + INTERVAL 30 HOURS WHEN event_id % 271 = 0 THEN ts - INTERVAL 1 HOUR
+                ELSE ts + INTERVAL 1 MINUTE * (event_id % 180) END AS arrived
+    FROM events
+"""
+# Loads end at these moments; the last takes the rest.
+LOAD_ENDS = ("2024-01-11", "2024-01-21")
+SESSION_GAP, SESSION_DELAY = "40 minutes", "6 hours"
+
+
+def _arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    scan_table(spark, folder, "events").createOrReplaceTempView("__arriving_events")
+    return spark.sql(ARRIVALS.replace("FROM events", "FROM __arriving_events"))
+
+
+@query(
+    f"""
+    WITH timely AS (
+        SELECT * FROM ({ARRIVALS}) WHERE arrived >= ts AND arrived <= ts + INTERVAL {SESSION_DELAY}
+    ), marked AS (
+        SELECT *, coalesce(ts > lag(ts) OVER w + INTERVAL {SESSION_GAP}, true) AS begins FROM timely
+        WINDOW w AS (PARTITION BY user_id ORDER BY ts)
+    ), numbered AS (
+        SELECT *, count(*) FILTER (WHERE begins) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM marked
+    ), whole AS (
+        SELECT user_id, min(ts) AS opened, max(ts) + INTERVAL {SESSION_GAP} AS closed, count(*) AS n_events,
+               CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents
+        FROM numbered GROUP BY user_id, session
+    )
+    SELECT * FROM whole
+    WHERE closed <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL {SESSION_DELAY} FROM timely)
+    """
+)
+def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions of each user that are over, taken from a stream in three runs of one query."""
+    root = shared_folder(spark, "sessions")
+    rows = _arrivals(spark, folder)
+    cents = F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents")
+    load = F.when(F.col("arrived") < F.lit(LOAD_ENDS[0]).cast(rows.schema["arrived"].dataType), 0)
+    load = load.when(F.col("arrived") < F.lit(LOAD_ENDS[1]).cast(rows.schema["arrived"].dataType), 1).otherwise(2)
+    for n in range(len(LOAD_ENDS) + 1):
+        rows.where(load == n).write.mode("append").parquet(f"{root}/arrived")
+        stream = intake.arriving(spark, f"{root}/arrived", rows.schema, files_per_batch=1_000_000)
+        found = S.sessions(stream, ["user_id"], "ts", "arrived", SESSION_GAP, SESSION_DELAY, [cents])
+        S.take_sessions(found, f"{root}/over", f"{root}/progress").awaitTermination()
+    return scan(spark, root, "over")
+
+
+@query(
+    f"""
+    SELECT event_id, user_id, ts, arrived,
+           CASE WHEN ts IS NULL OR arrived IS NULL THEN 'untimed' WHEN arrived < ts THEN 'ahead' ELSE 'late' END AS aside
+    FROM ({ARRIVALS}) WHERE coalesce(arrived < ts OR arrived > ts + INTERVAL {SESSION_DELAY}, true)
+    """
+)
+def stream_aside(spark: SparkSession, folder: str) -> DataFrame:
+    """Events that came too late for their session, or with wrong times, kept beside the sessions."""
+    root = shared_folder(spark, "aside")
+    rows = _arrivals(spark, folder)
+    rows.write.parquet(f"{root}/arrived")
+    stream = intake.arriving(spark, f"{root}/arrived", rows.schema)
+    aside = S.set_aside(stream, "ts", "arrived", SESSION_DELAY)
+    intake.append_to(aside, f"{root}/aside", f"{root}/progress").awaitTermination()
+    return scan(spark, root, "aside").select("event_id", "user_id", "ts", "arrived", "aside")
+
+
 BLANKED = "CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END"
 
 
