@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -11,59 +12,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clearledger.llm.licence_texts import TEMPLATES
+
 THRESHOLD = 0.8
 _WORD = re.compile(r"[^\W_]+")
 
-# Notices and texts as their licences give them.
-TEMPLATES = {
-    "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
-        "compliance with the License. You may obtain a copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
-        'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR '
-        "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
-        "permissions and limitations under the License."
-    ),
-    "MIT-line": "Released under the MIT License.",
-    "MIT": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-        'associated documentation files (the "Software"), to deal in the Software without restriction, including '
-        "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
-        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
-        "following conditions: The above copyright notice and this permission notice shall be included in all "
-        'copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY '
-        "KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
-        "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
-        "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
-        "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
-    ),
-    "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
-        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
-        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE '
-        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE "
-        "FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS "
-        "OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING "
-        "OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
-    ),
-    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-or-later": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
-        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See "
-        "the GNU General Public License for more details."
-    ),
-    "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0-line": "Licensed under CC BY 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-}
-
 
 def words(text: str) -> list[str]:
-    """Normalised words: letters and digits in lower case, whatever stands between them."""
-    return _WORD.findall(text.lower())
+    """Normalised words: letters and digits, found in the text as it is, then each in lower case."""
+    return [word.lower() for word in _WORD.findall(text)]
 
 
 @dataclass(frozen=True)
@@ -88,39 +45,43 @@ def templates_of(texts: Mapping[str, str]) -> list[Template]:
 
 
 def _passages(pairs: list[tuple[str, str]], hits: list[int], template: Template, threshold: float):
-    """``(dice, first, last)`` of the passages, in bigrams, that begin and end with a hit and reach the threshold.
+    """``(dice, first, last)`` of the best passage, in bigrams, from each hit on, if it reaches the threshold.
 
-    A passage reaches it only with two thirds of the template's bigrams in it (at 0.8) and
-    inside the size bounds, so most hits are passed over by a count.
+    Only a bigram's first place in a passage changes its coefficient. ``ahead`` holds these places for passages
+    from ``first`` on, in order, and passing a place puts the bigram's next one in. So a passage ends by
+    the size bound on its distinct bigrams, however often it repeats them, and a start costs no more than that bound.
     """
-    size = len(template.bigrams)
-    fewest, most = template.bounds(threshold)
-    at = np.asarray(hits)
-    reach = np.searchsorted(at, at + int(most + 1e-9), side="left")
-    enough = reach - np.arange(len(at)) >= fewest - 1e-9
+    size, most = len(template.bigrams), int(template.bounds(threshold)[1] + 1e-9)
+    end = hits[-1] + 1
+    later: dict[int, int] = {}
+    nearest: dict[tuple[str, str], int] = {}
+    for place in range(end - 1, hits[0] - 1, -1):
+        if pairs[place] in nearest:
+            later[place] = nearest[pairs[place]]
+        nearest[pairs[place]] = place
+    ahead = sorted(nearest.values())
+    hit = np.zeros(end, dtype=bool)
+    hit[hits] = True
+    sizes = size + np.arange(1, most + 1)
     found = []
-    for i in np.flatnonzero(enough).tolist():
-        first = hits[i]
-        seen: set[tuple[str, str]] = set()
-        common, done, best = 0, first, None
-        for last in hits[i : reach[i]]:
-            for pair in pairs[done : last + 1]:
-                if pair not in seen:
-                    seen.add(pair)
-                    common += pair in template.bigrams
-            done = last + 1
-            dice = 2 * common / (size + len(seen))
-            if dice >= threshold and (best is None or dice > best[0]):
-                best = (dice, first, last)
-        if best:
-            found.append(best)
+    for first in range(hits[0], end):
+        if hit[first]:
+            places = np.asarray(ahead[:most])
+            dice = 2 * np.cumsum(hit[places]) / sizes[: len(places)]
+            best = int(np.argmax(dice))
+            if dice[best] >= threshold:
+                found.append((float(dice[best]), first, int(places[best])))
+        ahead.pop(0)
+        if first in later:
+            insort(ahead, later[first])
     return found
 
 
 def scan(text: str | None, templates: list[Template], threshold: float = THRESHOLD) -> list[tuple[str, float, int, int]]:
     """``(name, dice, first word, last word)`` of the licence passages in a whole text, in order.
 
-    Of passages that overlap the one with the greatest coefficient stays, then the
+    A passage ends with the word that completes its bigrams; repeats after it are left out. Of
+    passages that overlap the one with the greatest coefficient stays, then the
     longer, then the earlier, then the first name.
     """
     own = words(text or "")
@@ -141,16 +102,19 @@ def _scan(pairs, known, templates, threshold):
     found = []
     for t, places in hits.items():
         template = templates[t]
-        if len(places) >= template.bounds(threshold)[0] - 1e-9:
+        fewest = template.bounds(threshold)[0] - 1e-9
+        if len(places) >= fewest and len({pairs[p] for p in places}) >= fewest:
             found.extend(
                 (-dice, first - last, first, template.name, last)
                 for dice, first, last in _passages(pairs, places, template, threshold)
             )
-    taken: list[tuple[str, float, int, int]] = []
+    # Passages taken share no word, so only the neighbours of a new one can overlap it.
+    taken: list[tuple[int, int, str, float]] = []
     for dice, _, first, name, last in sorted(found):
-        if all(last + 1 < other[2] or first > other[3] for other in taken):
-            taken.append((name, -dice, first, last + 1))
-    return sorted(taken, key=lambda x: x[2])
+        at = bisect_left(taken, (first,))
+        if (at == 0 or taken[at - 1][1] < first) and (at == len(taken) or taken[at][0] > last + 1):
+            taken.insert(at, (first, last + 1, name, -dice))
+    return [(name, dice, first, last) for first, last, name, dice in taken]
 
 
 def licence_scan(
@@ -165,7 +129,8 @@ def licence_scan(
     A passage is a run of words whose set of bigrams has a Dice coefficient of at
     least ``threshold`` with a template's. Whole texts are scanned where they lie; nothing is shuffled.
     A NULL, empty or one-word text has none. Repeated rows are scanned each. An empty
-    table gives no rows. Columns besides the two named are not read.
+    table gives no rows. Columns besides the two named are not read. A very long text costs its
+    length times the bigrams of the templates that it could hold.
     """
     templates = templates_of(texts)
     known: dict[tuple[str, str], list[int]] = {}
@@ -183,10 +148,7 @@ def licence_scan(
                 own = words(body)
                 passages = _scan(list(zip(own, own[1:], strict=False)), known, templates, threshold)
                 if passages:
-                    # Lower case can change lengths; positions are those of the text as it is.
                     spans = [m.span() for m in _WORD.finditer(body)]
-                    if len(spans) != len(own):
-                        spans = [m.span() for m in _WORD.finditer(body.lower())]
                     for name, dice, first, last in passages:
                         out.append((doc_id, name, dice, spans[first][0], spans[last][1]))
             yield pd.DataFrame(out, columns=columns)
