@@ -1,4 +1,4 @@
-"""Secrets in documents: long tokens, sorted out by a random forest trained on labelled findings."""
+"""Secrets in documents: assigned values and tokens, sorted out by a random forest trained on labelled findings."""
 
 from __future__ import annotations
 
@@ -10,8 +10,24 @@ from pyspark.sql import functions as F
 
 from clearledger.llm.common import running_sums, stored
 
-# Tokens of 12 characters or more that hold a digit; they begin where no such character is before them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.~-])(?=[A-Za-z+/_=.~-]*+[0-9])[A-Za-z0-9+/_=.~-]{12,}+"
+# Parts of names whose values may be secrets.
+NAMES = "token|secret|passw|passphrase|pwd|key|auth|bearer|credential|private"
+# What stands before an assigned value: its name, a sign, perhaps a scheme and a quotation mark.
+_NAMED = r"[A-Za-z0-9_-]++[\x22\x27\x60]?+\x20*+[:=]++>?+\x20*+(?:(?i:bearer|basic)\x20++)?+"
+ASSIGNMENT = rf"^{_NAMED}[\x22\x27\x60]?+(?=.)"
+# A value under such a name, whatever it is: all within quotation marks, or else up to a space or mark. The
+# look ahead fails at once where no sign follows the name, so a long run of letters is read once.
+ASSIGNED = (
+    rf"(?<![A-Za-z0-9_-])(?={_NAMED}[^\s])[A-Za-z0-9_-]*?(?i:{NAMES})[A-Za-z0-9_-]*+[\x22\x27\x60]?+\x20*+[:=]++>?+\x20*+"
+    r"(?:(?i:bearer|basic)\x20++)?+(?:\x22[^\x22\r\n]++(?=\x22)|\x27[^\x27\r\n]++(?=\x27)|\x60[^\x60\r\n]++(?=\x60)"
+    r"|[\x22\x27\x60]?+[^\s\x22\x27\x60,;]++)"
+)
+# Tokens that hold a letter and a digit; = ends them. Full stops count between other characters.
+TOKEN = (
+    r"(?<![A-Za-z0-9+/_.~-])(?=[A-Za-z+/_.~-]*+[0-9])(?=[0-9+/_.~-]*+[A-Za-z])"
+    r"[A-Za-z0-9+/_~-]++(?:\.++[A-Za-z0-9+/_~-]++)*+={0,2}+"
+)
+CANDIDATE = f"{ASSIGNED}|{TOKEN}"
 THRESHOLD = 0.5
 TREES, DEPTH = 30, 6
 TRAINED_ON = 6000
@@ -45,16 +61,29 @@ _ROW = "__secret_row"
 
 
 def found_tokens(text: str) -> Column:
-    """Candidates of a text with their start and end (code points) and the text beside them."""
+    """Candidates of a text with their start and end (code points) and the words beside them.
+
+    ``left`` is the two words before the value with what stands between, ``right`` the word after it,
+    of any length. Only where three candidates stand in one word, ``left`` begins within it.
+    """
     both = "transform(m, (x, i) -> CAST(length(get(s, i)) + length(x) AS BIGINT))"
     none = "CAST(array() AS array<struct<start: bigint, end: bigint, found: string, left: string, right: string>>)"
+    value = f"regexp_replace(x, r'{ASSIGNMENT}', '')"
+    # Read backwards, the words before a place are at the start, where they are found without a search.
+    before = (
+        "concat(CASE WHEN i > 1 THEN concat(s[i - 2], m[i - 2]) ELSE '' END, CASE WHEN i > 0 THEN concat(s[i - 1], m[i - 1]) "
+        "ELSE '' END, s[i], substring(x, 1, length(x) - length(v)))"
+    )
+    words = r"^[^\p{L}\p{N}]*+\S*+(?:\s[^\p{L}\p{N}]*+\S*+)?+"
+    left = f"reverse(regexp_extract(reverse({before}), r'{words}', 0))"
+    right = r"regexp_extract(get(s, i + 1), r'^\s*+\S*+', 0)"
     return F.expr(
         f"""transform(array(regexp_extract_all({text}, r'{CANDIDATE}', 0)), m ->
           CASE WHEN size(m) = 0 THEN {none} ELSE transform(
             array(split({text}, r'{CANDIDATE}', -1)), s -> transform(
-              array({running_sums(both)}), at -> transform(m, (x, i) -> named_struct(
-                'start', at[i] + length(s[i]), 'end', at[i] + length(s[i]) + length(x), 'found', x,
-                'left', right(s[i], 40), 'right', left(get(s, i + 1), 20))))[0])[0] END)[0]"""
+              array({running_sums(both)}), at -> transform(m, (x, i) -> transform(array({value}), v -> named_struct(
+                'start', at[i] + length(s[i]) + length(x) - length(v), 'end', at[i] + length(s[i]) + length(x),
+                'found', v, 'left', {left}, 'right', {right}))[0]))[0])[0] END)[0]"""
     )
 
 
@@ -90,15 +119,28 @@ def features(findings: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, n: int = TRAINED_ON) -> DataFrame:
-    """Findings ``found, left, right, label`` of known make, half of them secrets.
+    """Findings ``found, left, right, label`` that ``found_tokens`` makes of ``labelled_texts``.
 
-    Secrets are digests in the alphabets and settings that keys are written in; the rest
-    are commits, checksums, identifiers, paths, versions and numbers. All follow from the row's number.
+    A finding within the text's stated part has its label; others are no secrets.
+    """
+    texts = labelled_texts(spark, n)
+    found = texts.select("start", "end", "label", F.explode(found_tokens("text")).alias("t"))
+    inside = (F.col("t.start") < F.col("end")) & (F.col("t.end") > F.col("start"))
+    return found.select("t.found", "t.left", "t.right", F.when(inside, F.col("label")).otherwise(0.0).alias("label"))
+
+
+def labelled_texts(spark: SparkSession, n: int = TRAINED_ON) -> DataFrame:
+    """Short texts with one part of known make, ``text, start, end, label``; in half of them it is a secret.
+
+    Secrets are digests in the alphabets and settings that keys are written in, short passwords and phrases of
+    words under a password's name; the rest are commits, checksums, identifiers, paths, versions, numbers and plain
+    words under such names. All follow from the row's number.
     """
     h = F.sha2(F.col("id").cast("string"), 256)
     b = F.translate(F.base64(F.unhex(h)), "\n", "")
     word = F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.col("id") % len(DICTIONARY) + 1).cast("int"))
     other = F.element_at(F.array(*map(F.lit, DICTIONARY)), ((F.col("id") * 7 + 3) % len(DICTIONARY) + 1).cast("int"))
+    third = F.element_at(F.array(*map(F.lit, DICTIONARY)), ((F.col("id") * 11 + 5) % len(DICTIONARY) + 1).cast("int"))
     digits = F.translate(h, "abcdef", "135792")
 
     def sub(c: Column, size: int) -> Column:
@@ -111,23 +153,34 @@ def labelled_findings(spark: SparkSession, n: int = TRAINED_ON) -> DataFrame:
         (F.concat(F.lit("AK1A"), F.upper(sub(h, 16))), F.concat(word, F.lit(" access key ")), F.lit(" ")),
         (F.concat(F.lit("gh_"), sub(F.translate(b, "+/=", "xyz"), 36)), F.concat(word, F.lit(" ")), F.lit(" ")),
         (sub(b, 24), F.concat(word, F.lit(' password = "')), F.lit('"')),
-        (F.concat(sub(b, 20), F.lit("."), F.substring(b, 21, 20)), F.lit("authorization: bearer "), F.lit(" ")),
+        (F.concat(sub(b, 20), F.lit("."), F.substring(b, 21, 20)), F.concat(word, F.lit("_authorization: bearer ")), F.lit(" ")),
         (sub(F.translate(b, "+/=", "abc"), 32), F.concat(word, F.lit(' = "')), F.lit('"')),
+        (F.concat(sub(F.translate(b, "+/=", "xyz"), 8), F.lit("&"), sub(digits, 2)), F.concat(word, F.lit(' password = "')), F.lit('"')),
+        (F.concat(sub(F.translate(b, "+/=", "xyz"), 9), F.lit("!")), F.concat(word, F.lit("_passwd: ")), F.lit(" ")),
+        (F.concat(word, other, third), F.concat(other, F.lit(" password: ")), F.lit(" ")),
+        (F.concat(other, third, word, F.lit("s")), F.concat(word, F.lit(' db_password="')), F.lit('"')),
+        (F.concat(F.lit("w"), sub(b, 39)), F.concat(F.upper(word), F.lit("_SECRET_KEY=")), F.lit(" ")),
     ]
     others = [
-        (sub(h, 40), F.concat(F.lit("in commit "), F.lit("")), F.concat(F.lit(" "), word)),
-        (h, F.lit("sha256: "), F.lit(" ")),
+        (sub(h, 40), F.concat(other, F.lit(" commit ")), F.concat(F.lit(" "), word)),
+        (h, F.concat(word, F.lit(" sha256: ")), F.lit(" ")),
         (sub(digits, 16), F.concat(word, F.lit(" ")), F.concat(F.lit(" "), other)),
         (
             F.concat_ws("-", sub(h, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)),
             F.concat(word, F.lit(" id ")), F.lit(" "),
         ),
-        (F.concat(word, F.lit("/"), other, F.lit("/"), sub(digits, 4), F.lit(".html")), F.lit("see https://site/"), F.lit(" ")),
-        (F.concat(F.lit("//"), other, F.lit("/"), word, F.lit("/"), other, F.lit("/"), sub(digits, 4), F.lit(".html")), F.lit("see https:"), F.lit(" ")),
+        (F.concat(word, F.lit("/"), other, F.lit("/"), sub(digits, 4), F.lit(".html")), F.concat(third, F.lit(" https://site/")), F.lit(" ")),
+        (F.concat(F.lit("//"), other, F.lit("/"), word, F.lit("/"), other, F.lit("/"), sub(digits, 4), F.lit(".html")), F.concat(third, F.lit(" https:")), F.lit(" ")),
         (F.concat(word, F.lit("_"), other, F.lit("_"), sub(digits, 2)), F.concat(other, F.lit(" ")), F.lit(" = ")),
         (F.concat_ws(".", sub(digits, 3), F.substring(digits, 4, 3), F.substring(digits, 7, 2), F.substring(digits, 9, 3)),
          F.concat(word, F.lit(" ")), F.lit(" ")),
         (F.concat(word, F.lit("."), sub(digits, 2), F.lit("-"), other, F.lit(".com")), F.concat(word, F.lit("@")), F.lit(" ")),
+        (word, F.concat(third, F.lit(" password: ")), F.concat(F.lit(" "), other)),
+        (word, F.concat(third, F.lit(' token = "')), F.lit('"')),
+        (F.concat(word, F.lit(" "), other), F.concat(third, F.lit(' api_key: "')), F.lit('"')),
+        (F.concat(word, F.lit("."), other), F.concat(third, F.lit(" auth = ")), F.lit(" ")),
+        (F.concat(F.substring(word, 1, 1), sub(digits, 2)), F.concat(other, F.lit(" ")), F.concat(F.lit(" "), word)),
+        (F.concat(F.substring(word, 1, 1), sub(digits, 1), F.substring(other, 1, 1)), F.concat(third, F.lit(" token ")), F.concat(F.lit(" "), word)),
     ]
 
     def pick(makers: list, part: int) -> Column:
@@ -142,7 +195,12 @@ def labelled_findings(spark: SparkSession, n: int = TRAINED_ON) -> DataFrame:
         F.when(is_secret, pick(secrets, p)).otherwise(pick(others, p)).alias(name)
         for p, name in enumerate(("found", "left", "right"))
     ]
-    return spark.range(n).select(*columns, is_secret.cast("double").alias("label"))
+    parts = spark.range(n).select(*columns, is_secret.cast("double").alias("label"))
+    start = F.length("left")
+    return parts.select(
+        F.concat("left", "found", "right").alias("text"), start.alias("start"),
+        (start + F.length("found")).alias("end"), "label",
+    )
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 3) -> RandomForestClassificationModel:
