@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 from array import array
@@ -17,7 +18,8 @@ from clearledger.llm.common import columns_of, stored
 
 CAPACITY = 2048
 END_ID = 1
-# Lengths are rounded up to this unit in patterns; it bounds the linear program to 256 rows.
+# Patterns count in this unit, which bounds the linear program to 256 rows. Pieces of one short length go in
+# bundles that fill whole units; other lengths are rounded up.
 UNIT = 8
 # Words a task remembers the ids of; beyond it the memory is emptied and filled anew.
 REMEMBERED = 500_000
@@ -227,33 +229,60 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, in
     return rows
 
 
+def bundles(
+    counts: dict[int, int], capacity: int, unit: int
+) -> tuple[dict[int, int], list[tuple[int, int, int, int, int, int]]]:
+    """The demand of items by size in units, and how pieces of each length make items.
+
+    The rows are ``(length, first piece, last + 1, pieces in an item, size, first item of that size)``. The fewest pieces
+    of a length that fill whole units are one item, unless they take over half a sequence; what is left of
+    such a length, fewer pieces than an item's, and all longer ones are items of their own, rounded up.
+    """
+    demand: dict[int, int] = {}
+    rows = []
+    for length, n in sorted(counts.items()):
+        together = unit // math.gcd(unit, length)
+        if 2 * together * length > capacity:
+            together = 1
+        whole = n // together
+        for first, upto, per, items in ((0, whole * together, together, whole), (whole * together, n, 1, n - whole * together)):
+            if items:
+                size = -(-per * length // unit)
+                rows.append((length, first, upto, per, size, demand.get(size, 0)))
+                demand[size] = demand.get(size, 0) + items
+    return demand, rows
+
+
 def packed(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces: each in one sequence, gapless from 0.
 
-    Only the histogram of lengths, ``capacity / unit`` counts at most, reaches the
-    driver, and patterns for it go back. Pieces are ranked within their length class by
-    groups of bounded size whose counts are added up, so that a class may hold any share of all rows.
+    Only the histogram of lengths, ``capacity`` counts at most, reaches the
+    driver, and patterns for it go back. Pieces are ranked within their length by
+    groups of bounded size whose counts are added up, so that a length may hold any share of all rows.
     """
     spark = cut.sparkSession
-    cut = cut.withColumn("size", F.ceil(F.col("length") / unit).cast("int"))
-    counts = {r["size"]: r["count"] for r in cut.groupBy("size").count().collect()}
-    patterns = cutting_stock(counts, capacity // unit)
+    counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
+    demand, makes = bundles(counts, capacity, unit)
+    patterns = cutting_stock(demand, capacity // unit)
     groups = max(1, -(-max(counts.values(), default=0) // RANKED))
     cut = cut.withColumn("part", F.pmod(F.xxhash64("row", "start"), F.lit(groups)).cast("int"))
-    before = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut.groupBy("size", "part").count().select(
-        "size", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("earlier")
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy("length", "part").count().select(
+        "length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("earlier")
     )
-    order = Window.partitionBy("size", "part").orderBy("row", "start")
-    ranked = cut.join(offsets, ["size", "part"]).withColumn("rank", F.col("earlier") + F.row_number().over(order) - 1)
-    # One row for each size of a pattern: a constant bound, whatever the number of documents.
+    order = Window.partitionBy("length", "part").orderBy("row", "start")
+    ranked = cut.join(offsets, ["length", "part"]).withColumn("place", F.col("earlier") + F.row_number().over(order) - 1)
+    # Two rows for each length and one for each size of a pattern: constant bounds, whatever the number of documents.
+    items = spark.createDataFrame(makes, "length long, begin long, finish long, per long, size int, base long")
     table = spark.createDataFrame(slots(patterns), "size int, first long, upto long, count long, sequence long")
-    placed = ranked.join(F.broadcast(table), "size").where("rank >= first AND rank < upto")
+    placed = ranked.join(F.broadcast(items), "length").where("place >= begin AND place < finish")
+    placed = placed.withColumn("rank", F.expr("base + (place - begin) div per"))
+    placed = placed.join(F.broadcast(table), "size").where("rank >= first AND rank < upto")
     placed = placed.withColumn("sequence_id", F.expr("sequence + (rank - first) div count"))
     within = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "row", "start")
     within = within.rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0)).cast("long"))
-    return placed.drop("size", "part", "earlier", "rank", "first", "upto", "count", "sequence")
+    return placed.select(*cut.drop("part").columns, "sequence_id", "offset")
 
 
 def pack_documents(

@@ -105,3 +105,37 @@ def test_a_hot_length_is_ranked_in_many_groups(spark, monkeypatch, tokenizer):
     monkeypatch.setattr(packing, "RANKED", 50)
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("one two three four five six").alias("text"))
     check(packing.pack_documents(docs).collect(), ["one two three four five six"] * 2000, tokenizer)
+
+
+def test_short_pieces_are_bundled_without_rounding():
+    for unit, capacity in ((8, 2048), (8, 64), (1, 16)):
+        counts = {length: length * 7 % 23 + 1 for length in range(1, capacity + 1)}
+        demand, rows = packing.bundles(counts, capacity, unit)
+        made, pieces = {}, {}
+        for length, first, upto, per, size, base in rows:
+            assert pieces.get(length, 0) == first < upto and (upto - first) % per == 0
+            assert made.get(size, 0) == base and size <= capacity // unit
+            assert per * length <= size * unit < per * length + unit
+            assert per == 1 or (per * length == size * unit and 2 * per * length <= capacity)
+            pieces[length] = upto
+            made[size] = base + (upto - first) // per
+        assert pieces == counts and made == demand
+        assert all(sum(u - f for n, f, u, per, *_ in rows if n == length and per == 1) < unit
+                   for length in range(1, capacity // (2 * unit) + 1) if unit // np.gcd(unit, length) > 1)
+    assert packing.bundles({}, 2048, 8) == ({}, [])
+
+
+def test_many_empty_and_short_texts_leave_little_padding(spark, documents, tokenizer):
+    """A third of all texts are empty, as many are of one to five words."""
+    own = documents.select("doc_id", "text")
+    n = own.count()
+    empty = spark.range(n).select((-1 - F.col("id")).alias("doc_id"), F.lit("").alias("text"))
+    short = spark.range(n).select(
+        (-1_000_000 - F.col("id")).alias("doc_id"), F.expr("repeat('word ', CAST(id % 5 + 1 AS INT))").alias("text")
+    )
+    docs = own.unionByName(empty).unionByName(short)
+    sequences = check(packing.pack_documents(docs).collect(), [r["text"] for r in docs.collect()], tokenizer)
+    assert sum(sequences.values()) > 0.99 * packing.CAPACITY * (len(sequences) - 1)
+    alone = check(packing.pack_documents(empty.union(empty).union(short)).collect(),
+                  [""] * 2 * n + [r["text"] for r in short.collect()], tokenizer)
+    assert sum(alone.values()) > 0.99 * packing.CAPACITY * (len(alone) - 1)
