@@ -24,16 +24,20 @@ HINTS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){13}",
     "phone": r"\+[0-9]",
 }
-# Tokens that look like identifiers: something around an @, or digits with the usual separators.
+# Tokens that look like identifiers: something around an @, letters with digits, or digits, with the usual separators.
 CANDIDATE = (
     r"(?<![^\x20\x09-\x0D@])[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D@]++"
+    r"|(?<![A-Za-z0-9/.-])(?=[0-9/.-]*+[A-Za-z])(?=[A-Za-z/.-]*+[0-9])[A-Za-z0-9]++(?:[/.-]++[A-Za-z0-9]++)*+"
     r"|(?<![A-Za-z0-9])[+(]{0,2}[0-9][0-9().\x20/-]*[0-9](?![A-Za-z0-9])"
 )
-CANDIDATE_LENGTHS = (7, 40)
+# Contexts and instances longer than this stand in the graph by their digest.
+NAMED = 256
 # Rounds over the graph for each set of seeds, and what a pattern needs to find identifiers of its own.
 ROUNDS = 2
 MIN_SEEDS, MIN_CONFIDENCE, MIN_SCORE = 3, 0.8, 0.5
-_LEFT = r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*$"
+# Words next to a place. Those before it are read backwards, where they come first and need no search.
+_WORD = r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]*+"
+_TWO_WORDS = r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]*+(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)?+"
 _ROW, _TEXT, _BASE, _NEAR = "__pii_row", "__pii_text", "__pii_base", "__pii_near"
 
 
@@ -57,22 +61,21 @@ def _valid(kind: str) -> str:
     }[kind]
 
 
-def located(text: str, pattern: str, hint: str) -> str:
-    """SQL: the matches of a pattern as structs of start, end (code points), the match and the texts beside it.
+def located(text: str, pattern: str, hint: str, beside: str = "") -> str:
+    """SQL: the matches of a pattern as structs of start, end (code points), the match and further fields.
 
     The texts between the matches come from a split by the same pattern; the
-    lengths of both add up to the positions.
+    lengths of both add up to the positions. ``beside`` makes further fields of the matches ``m``, the
+    texts ``s`` between them and the place ``i`` of a match.
     """
     both = "transform(m, (x, i) -> CAST(length(get(s, i)) + length(x) AS BIGINT))"
+    fields = f", {beside}" if beside else ""
     return f"""
-    CASE WHEN {text} RLIKE r'{hint}' THEN
-      transform(array(regexp_extract_all({text}, r'{pattern}', 0)), m -> transform(
-        array(split({text}, r'{pattern}', -1)), s -> transform(
-          array({running_sums(both)}), at -> transform(m, (x, i) -> named_struct(
-            'start', CASE WHEN size(m) = 0 THEN 0L ELSE at[i] + length(s[i]) END,
-            'end', CASE WHEN size(m) = 0 THEN 0L ELSE at[i] + length(s[i]) + length(x) END,
-            'found', x, 'left', right(s[i], 48), 'right', left(get(s, i + 1), 32))))[0])[0])[0]
-    ELSE CAST(array() AS array<struct<start: bigint, end: bigint, found: string, left: string, right: string>>) END
+    transform(array(CASE WHEN {text} RLIKE r'{hint}' THEN regexp_extract_all({text}, r'{pattern}', 0)
+                    ELSE CAST(array() AS array<string>) END), m -> transform(
+      array(CASE WHEN size(m) = 0 THEN CAST(array() AS array<string>) ELSE split({text}, r'{pattern}', -1) END),
+      s -> transform(array({running_sums(both)}), at -> transform(m, (x, i) -> named_struct(
+          'start', at[i] + length(s[i]), 'end', at[i] + length(s[i]) + length(x), 'found', x{fields})))[0])[0])[0]
     """
 
 
@@ -86,23 +89,33 @@ def base_spans(text: str) -> Column:
 
 
 def candidates(text: str) -> Column:
-    """Identifier-like tokens with their place, folded form and the words around them.
+    """Identifier-like tokens of any length with their place, folded form and the words around them.
 
     The fold keeps letters and digits in lower case. Contexts are the two words
-    before the token, and the word before with the word after it; digits in them count alike.
+    before the token, and the word before with the word after it, whole words of any length; digits in them count
+    alike. A neighbouring token counts as a word. Only where three tokens follow each other, the words before the
+    last begin with the first of the two tokens before it.
     """
-    low, high = CANDIDATE_LENGTHS
-    found = f"filter({located(text, CANDIDATE, '[0-9@]')}, x -> length(x.found) BETWEEN {low} AND {high})"
-    plain = "regexp_replace(trim(BOTH ' \\t\\n\\r' FROM {}), '[0-9]+', '0')"
-    before = plain.format(f"regexp_extract(lower(x.left), r'{_LEFT}', 0)")
-    word = plain.format(r"regexp_extract(lower(x.left), r'[^\x20\x09-\x0D]+[\x20\x09-\x0D]*$', 0)")
-    after = plain.format(r"regexp_extract(lower(x.right), r'^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+', 0)")
+    back = (
+        "reverse(concat(CASE WHEN i > 1 THEN m[i - 2] ELSE '' END, CASE WHEN i > 0 THEN concat(s[i - 1], m[i - 1]) "
+        "ELSE '' END, s[i]))"
+    )
+    ahead = "concat(get(s, i + 1), coalesce(get(m, i + 1), ''), coalesce(get(s, i + 2), ''))"
+    beside = (
+        f"'two', reverse(regexp_extract({back}, r'{_TWO_WORDS}', 0)), "
+        f"'one', reverse(regexp_extract({back}, r'{_WORD}', 0)), 'next', regexp_extract({ahead}, r'{_WORD}', 0)"
+    )
+    before, word, after = (
+        f"regexp_replace(trim(BOTH ' \\t\\n\\r' FROM lower(x.{c})), '[0-9]+', '0')" for c in ("two", "one", "next")
+    )
+    named = "CASE WHEN length({0}) > " + str(NAMED) + " THEN sha2({0}, 256) ELSE {0} END"
+    folded = "regexp_replace(lower(x.found), '[^a-z0-9@]', '')"
     return F.expr(
-        f"""transform({found}, x -> named_struct(
+        f"""transform({located(text, CANDIDATE, '[0-9@]', beside)}, x -> named_struct(
             'start', x.start, 'end', x.end, 'kind', CASE WHEN contains(x.found, '@') THEN 0 ELSE 1 END,
-            'instance', regexp_replace(lower(x.found), '[^a-z0-9@]', ''),
-            'contexts', filter(array(concat('l ', {before}), concat('b ', {word}, ' _ ', {after})),
-                               c -> NOT c RLIKE r'^(l |b  _)' OR length(c) > 4)))"""
+            'instance', {named.format(folded)},
+            'contexts', transform(filter(array(concat('l ', {before}), concat('b ', {word}, ' _ ', {after})),
+                               c -> NOT c RLIKE r'^(l |b  _)' OR length(c) > 4), c -> {named.format('c')})))"""
     )
 
 
@@ -159,7 +172,7 @@ def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame,
                 .join(degrees, "instance")
                 .select("instance", "kind", (F.col("sum") / F.col("n")).alias("score"))
             )
-            scores = stored(seeds.unionByName(found.where("score > 0.05")), "pii-scores")
+            scores = stored(seeds.unionByName(found), "pii-scores")
         fit = patterns.where(f"seeds >= {MIN_SEEDS} AND confidence >= {MIN_CONFIDENCE}").drop("seeds")
         if accepted is not None:
             fit = fit.unionByName(accepted).groupBy("context", "kind").agg(F.max("confidence").alias("confidence"))
@@ -175,7 +188,7 @@ def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame,
             return accepted, scores
         seeds = stored(seeds.unionByName(added), "pii-seeds")
         unknown = stored(unknown.join(added, "instance", "left_anti"), "pii-unknown")
-        degrees = degrees.join(added, "instance", "left_anti")
+        degrees = stored(degrees.join(added, "instance", "left_anti"), "pii-degrees")
 
 
 def _fits() -> Column:

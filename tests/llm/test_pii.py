@@ -1,6 +1,11 @@
 from __future__ import annotations
 
+import hashlib
+import random
+import re
+
 import brute
+from pyspark.sql import functions as F
 
 from clearledger.llm import pii, queries
 
@@ -76,12 +81,13 @@ def test_overlapping_spans_give_one_mark(spark):
     assert got["text"].count("[") == 1 and got["text"].startswith("a ") and got["text"].endswith(" b")
 
 
+def card(n):
+    body = f"411111{n:09d}"
+    return next(body + str(c) for c in range(10) if brute.luhn(body + str(c)))
+
+
 def test_identifiers_found_find_others_in_their_turn(spark):
     """Known cards stand behind one phrase, found numbers behind it and a second, the last behind the second and a third."""
-    def card(n):
-        body = f"411111{n:09d}"
-        return next(body + str(c) for c in range(10) if brute.luhn(body + str(c)))
-
     first, second, third = "please debit account number {} today", "refund goes to folder {} soon", "see also drawer {} below"
     one, two, three = ([f"{a}-00-81-77-{b:02d}" for b in range(n)] for a, n in ((55, 25), (66, 5), (77, 1)))
     texts = [first.format(card(n)) for n in range(110)] + [first.format(x) for x in one]
@@ -93,3 +99,60 @@ def test_identifiers_found_find_others_in_their_turn(spark):
         begin = text.find("-00-81") - 2
         wanted = begin > 0 and not text.startswith("the train")
         assert [tuple(s) for s in row["spans"] if s not in row["base"]] == [(begin, 2, begin + 14)] * wanted, text
+
+
+def plain_candidates(text):
+    """Candidates with their contexts, from the whole text on both sides."""
+    blank, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    one = r"[^\x20\x09-\x0D@]"
+    found = re.compile(
+        rf"(?<![^\x20\x09-\x0D@]){one}+@{one}+|(?<![A-Za-z0-9/.-])(?=[A-Za-z0-9/.-]*[A-Za-z])(?=[A-Za-z0-9/.-]*[0-9])"
+        r"[A-Za-z0-9]+(?:[/.-]+[A-Za-z0-9]+)*(?![A-Za-z0-9])|(?<![A-Za-z0-9])[+(]{0,2}[0-9][0-9().\x20/-]*[0-9](?![A-Za-z0-9])"
+    )
+
+    def plain(part):
+        return re.sub("[0-9]+", "0", part.strip(" \t\n\r").lower())
+
+    def named(name):
+        return hashlib.sha256(name.encode()).hexdigest() if len(name) > pii.NAMED else name
+
+    out = []
+    for m in found.finditer(text):
+        before, last = (
+            re.search(rf"{p}$", text[: m.start()])[0] for p in (rf"(?:(?:{word}+{blank}+)?{word}+)?{blank}*", rf"{word}*{blank}*")
+        )
+        after = re.match(rf"{blank}*{word}*", text[m.end() :])[0]
+        contexts = ["l " + plain(before), "b " + plain(last) + " _ " + plain(after)]
+        contexts = [named(c) for c in contexts if not (c.startswith(("l ", "b  _")) and len(c) <= 4)]
+        out.append((m.start(), m.end(), named(re.sub("[^a-z0-9@]", "", m[0].lower())), contexts))
+    return out
+
+
+def test_candidates_equal_plain_ones(spark):
+    pick = random.Random(8)
+    words = ["pay", "Due", "é", "😀", "12", "3", "AB-12", "(55", "x@y", "7/8x", "w" * 300, "1" * 300, "ab.c", "no:"]
+    texts = ["".join(pick.choice(words) + pick.choice([" ", "  ", "\n"]) for _ in range(pick.randint(0, 12))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for row in docs.select("text", pii.candidates("text").alias("c")).collect():
+        got = [(c["start"], c["end"], c["instance"], c["contexts"]) for c in row["c"]]
+        assert got == plain_candidates(row["text"]), row["text"]
+
+
+def test_long_runs_are_read_once(spark):
+    texts = ["a-" * 100_000, "1-" * 100_000, "a1-" * 100_000, "w" * 200_000 + " 12", "x 12 " * 40_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    sizes = docs.select("id", F.size(pii.candidates("text")).alias("n")).collect()
+    assert {r["id"]: r["n"] for r in sizes} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 40_000}
+
+
+def test_identifiers_of_any_length_are_found(spark):
+    """Behind the phrase of known cards stand numbers and codes of 3 to 300 characters, after a word of any length."""
+    for word in ("number", "n" * 120):
+        rows = [f"please debit account {word} {card(n)} today" for n in range(60)]
+        codes = ["571", "A-7", "ZX-40-B", "5" * 60, "-".join(["b7c"] * 75)]
+        docs = [*rows, *(f"please debit account {word} {c} today" for c in codes), "the train 572 is late, A-8 too"]
+        df = spark.createDataFrame([(t,) for t in docs], "text string")
+        got = {r["text"]: [r["text"][s["start"] : s["end"]] for s in r["spans"] if s not in r["base"]]
+               for r in pii.with_spans(df, keep=("text",)).collect()}
+        assert [got[f"please debit account {word} {c} today"] for c in codes] == [[c] for c in codes]
+        assert got["the train 572 is late, A-8 too"] == []
